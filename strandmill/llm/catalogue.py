@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import lookalike
+from . import encoding, lookalike
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,7 +30,11 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_classes(table(spark, d, "raw_record"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_classes)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p6_ids)}
 ORACLES: dict[str, str] = {}
 
 
