@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import encoding, lookalike
+from . import encoding, leaks, lookalike, mixing, pieces, windows
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,12 +30,69 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_classes(table(spark, d, "raw_record"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    experiments = table(spark, d, "experiment_config")
+    return windows.divided(windows.pack(table(spark, d, "split_record"), experiments), experiments)
+
+
+def p3_windows(spark: SparkSession, d: str) -> DataFrame:
+    return windows.pack(table(spark, d, "split_record"), table(spark, d, "experiment_config"))
+
+
+def p3_unused(spark: SparkSession, d: str) -> DataFrame:
+    experiments = table(spark, d, "experiment_config")
+    return windows.unused(windows.pack(table(spark, d, "split_record"), experiments), experiments)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "mcq_example"))
+
+
+def p4_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "mcq_example"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.over_limit(table(spark, d, "raw_record"), table(spark, d, "data_source"))
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.cut_texts(table(spark, d, "raw_record"), table(spark, d, "data_source"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p6_ids)}
-ORACLES: dict[str, str] = {}
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixing_target")).documents()
+
+
+def p7_slots(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixing_target")).slots()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixing_target")).shares()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_forms, p1_classes, p3_found, p3_windows, p3_unused, p4_found, p4_items, p5_found, p5_pieces, p6_ids,
+        p7_documents, p7_slots, p7_shares,
+    )
+}
+ORACLES: dict[str, str] = {
+    "p3_found": """
+        SELECT DISTINCT e.experiment, r.record_id
+        FROM split_record r, experiment_config e
+        WHERE r.split = 'train' AND r.record_id IS NOT NULL AND r.n_tokens > e.max_length""",
+    "p5_found": """
+        SELECT DISTINCT r.record_id
+        FROM raw_record r JOIN data_source s ON r.source = s.source
+        WHERE length(r.text) > least(s.chunk_size, s.max_length)""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
