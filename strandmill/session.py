@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -55,6 +56,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows; otherwise as it is, so that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors on other machines this package (once per application)."""
     sc = spark.sparkContext
