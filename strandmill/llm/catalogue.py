@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import encoding, leaks, lookalike, mixing, pieces, windows
+from . import encoding, leaks, lookalike, mixing, overlap, pieces, windows
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,6 +30,14 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_classes(table(spark, d, "raw_record"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.as_pairs(overlap.overlaps(table(spark, d, "split_record")))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "split_record"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     experiments = table(spark, d, "experiment_config")
     return windows.divided(windows.pack(table(spark, d, "split_record"), experiments), experiments)
@@ -79,7 +87,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_forms, p1_classes, p3_found, p3_windows, p3_unused, p4_found, p4_items, p5_found, p5_pieces, p6_ids,
+        p1_found, p1_forms, p1_classes, p2_found, p2_report, p3_found, p3_windows, p3_unused, p4_found, p4_items, p5_found, p5_pieces, p6_ids,
         p7_documents, p7_slots, p7_shares,
     )
 }
