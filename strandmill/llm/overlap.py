@@ -2,8 +2,8 @@
 
 Two records overlap if at most a tenth of the words of the longer must be changed, added or dropped. The work goes
 
-1. Route. Each text emits a few keys such that any two overlapping texts share one (see `route_keys`); train and
-   evaluation rows meet on these keys, a 48-bit sketch of word counts removes nearly all chance meetings.
+1. Route. Texts emit windows of words such that any two overlapping texts share one (see `route_keys`); train and
+   evaluation rows meet on these keys, and a sketch of 116 parities of word counts removes nearly all chance meetings.
 2. Search. Evaluation texts that met a training text are indexed in shards of bounded size by a compressed full-text
    index over words (`WordIndex`, a sorted Burrows-Wheeler transform); the training texts routed to a shard are streamed
    through backward search, which gives all matches of `SEED` words; along a diagonal they merge to maximal
@@ -28,21 +28,13 @@ from ..session import checkpoint, small
 from . import folding
 
 SEED = 3
-#: Edit budgets for which texts are routed alike; a budget is served by the least level that is not below it.
-LEVELS = [2, 3, 4, 6, 9]
+#: Texts of this many words or more share many windows if they overlap, and their windows carry their place.
+LONG = 256
 #: Pairs in a shard of the index, and members of two classes up to which their copies are paired fully.
 SHARD_PAIRS = 20_000
 EXPAND = 10_000
 
 
-def levels(most: int) -> list[int]:
-    """The levels up to the one that serves a budget of `most`: they grow by about half."""
-    out = list(LEVELS)
-    while out[-1] < most:
-        out.append(out[-1] * 3 // 2)
-    return out
-
-
 def longest_partner(n: np.ndarray) -> np.ndarray:
     """The most words that a text overlapping one of n words can have: the largest m with m - m // 10 <= n."""
     m = n * 10 // 9 + 1
@@ -59,93 +51,87 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def route_keys(flat: np.ndarray, weight: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of texts (text number, key) such that two texts with at most a tenth of words edited share one.
+def window_length(n: np.ndarray) -> np.ndarray:
+    """Words in a window of a training text of n >= 9 words: 7 where K + 1 such windows fit, else 5, and 4 for 9 words."""
+    fits = n >= 7 * (longest_partner(n.copy()) // 10 + 1)
+    return np.where(fits & (n > 20), 7, np.where(n > 9, 5, 4))
+
+
+def _window_hashes(flat: np.ndarray, w: int) -> np.ndarray:
+    """Hashes of all runs of w words; those at the end, where no run fits, are 0."""
+    out = np.zeros(len(flat), np.uint64)
+    n = len(flat) - w + 1
+    if n > 0:
+        with np.errstate(over="ignore"):
+            h = np.full(n, w, np.uint64)
+            for k in range(w):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n]
+            out[:n] = _mixed(h)
+    return out
+
+
+def route_keys(flat: np.ndarray, weight: np.ndarray, n: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of texts, as (text number, key, place), such that overlapping train and evaluation texts share one.
 
     `flat` has the word hashes of all texts one after another, `weight` how telling each word is, `n` the number of
-    words (at least 1). Let K be the edit budget of a pair, a tenth of the longer text.
-
-    * K = 0: the whole text.
-    * K = 1: the longer has M words; one edit leaves the first or the last (M - 1) // 2 words as they are. Each text
-      emits both for M = n and M = n + 1.
-    * K >= 2: words are dealt to g = 2K + 1 + s classes by their hash. An edit changes the words of at most two
-      classes, so at least 1 + s classes are equal in both texts. A text emits its 2K + 1 most telling classes: of
-      the equal classes the most telling one has s equal ones behind it in either text, so both emit it.
+    words (at least 1). With K the largest edit budget that a training text can have with any partner, K + 1 windows of
+    it that have no word in common can't all be hit by edits, so at least one stands unchanged in the partner. A
+    training text emits the most telling window of each of K + 1 parts, an evaluation text all windows of the lengths
+    that its partners may use. Texts of `LONG` words emit a window for each 7 words: n // 7 - K of them are unchanged.
+    Texts of up to 9 words emit a key of the whole, as their budget is 0, except with one word more.
     """
-    texts, keys = [], []
-    start = np.concatenate([[0], np.cumsum(n)])[:-1]
+    texts, keys, places = [], [], []
+    total = np.concatenate([[0], np.cumsum(n)])
+    start = total[:-1]
     of = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(flat)) - start[of]
-    with np.errstate(over="ignore"):
-        # Ordered hashes of prefixes, by sums of words mixed with their place; suffix hashes count places from the end.
-        ahead = _mixed(flat ^ _mixed(at.astype(np.uint64) + np.uint64(1)))
-        behind = _mixed(flat ^ _mixed((n[of] - at).astype(np.uint64) + np.uint64(1 << 40)))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ahead, dtype=np.uint64)])
-        total_b = np.concatenate([np.zeros(1, np.uint64), np.cumsum(behind, dtype=np.uint64)])
-        prefix = lambda t, p: total[start[t] + p] - total[start[t]]
-        suffix = lambda t, p: total_b[start[t] + n[t]] - total_b[start[t] + n[t] - p]
-        top = longest_partner(n.copy())
-        t = np.flatnonzero(n <= 9)
-        texts.append(t), keys.append(_mixed(prefix(t, n[t]) + np.uint64(3)))
-        for more in (0, 1):
-            m = n + more
-            t = np.flatnonzero((m // 10 == 1) & (m <= top))
-            p = (m[t] - 1) // 2
-            size = _mixed(m[t].astype(np.uint64) + np.uint64(1 << 33))
-            texts += [t, t]
-            keys += [_mixed(prefix(t, p) ^ size), _mixed(suffix(t, p) ^ size + np.uint64(1))]
-        least, most = n // 10, top // 10
-        low = 1
-        for level in levels(int(most.max())) if len(n) else []:
-            chosen = (most > low) & (least <= level) & (most >= 2)
-            low = level
-            if not chosen.any():
-                continue
-            spare = max(1, level // 2)
-            g, emit = 2 * level + 1 + spare, 2 * level + 1
-            take = chosen[of]
-            f, r, w = flat[take], of[take], weight[take]
-            cls = (_mixed(f ^ np.uint64(level)) % np.uint64(g)).astype(np.int64)
-            cell = r * g + cls
-            order = np.argsort(cell, kind="stable")
-            cell, value, w = cell[order], _mixed(f[order] + np.uint64(5)), w[order]
-            edge = np.flatnonzero(np.concatenate([[True], np.diff(cell) > 0]))
-            key, telling, cell = np.add.reduceat(value, edge), np.add.reduceat(w, edge), cell[edge]
-            # Classes without words are equal, least telling and need a key only if fewer than `emit` have words.
-            ids = np.flatnonzero(chosen)
-            filled = np.bincount(cell // g, minlength=len(n))[ids]
-            lack = np.maximum(0, emit - filled)
-            if lack.any():
-                have = np.zeros((int((lack > 0).sum()), g), bool)
-                short = ids[lack > 0]
-                row = np.full(len(n), -1)
-                row[short] = np.arange(len(short))
-                mine = row[cell // g]
-                have[mine[mine >= 0], (cell % g)[mine >= 0]] = True
-                i, c = np.nonzero(~have)
-                turn = np.arange(len(i)) - np.searchsorted(i, i)
-                use = turn < lack[lack > 0][i]
-                cell = np.concatenate([cell, short[i[use]] * g + c[use]])
-                key = np.concatenate([key, np.zeros(int(use.sum()), np.uint64)])
-                telling = np.concatenate([telling, np.zeros(int(use.sum()), telling.dtype)])
-            owner, cls = cell // g, cell % g
-            order = np.lexsort((cls, -telling, owner))
-            sorted_owner = owner[order]
-            first = np.flatnonzero(np.concatenate([[True], np.diff(sorted_owner) > 0]))
-            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate([first, [len(order)]])))
-            kept = order[rank < emit]
-            texts.append(owner[kept])
-            keys.append(_mixed(key[kept] ^ _mixed(cls[kept].astype(np.uint64) + np.uint64(level << 20))))
-    return np.concatenate(texts), np.concatenate(keys)
-
-
-def sketches(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Number of words (16 bits, at most 65535) and the words counted in 12 buckets modulo 16 (48 bits)."""
+    whole = np.flatnonzero(n <= 9)
+    if len(whole):
+        with np.errstate(over="ignore"):
+            placed = np.cumsum(np.concatenate([np.zeros(1, np.uint64), _mixed(flat + _mixed(at.astype(np.uint64)))]), dtype=np.uint64)
+            texts.append(whole)
+            keys.append(_mixed(placed[total[whole + 1]] - placed[total[whole]]))
+            places.append(np.zeros(len(whole), np.int64))
+    mine = window_length(n)
+    parts = np.where(n >= LONG, n // 7, longest_partner(n.copy()) // 10 + 1)
+    heavy = np.concatenate([[0], np.cumsum(weight)])
+    for w in (4, 5, 7):
+        if train:
+            chosen = (mine == w) & (n >= 9)
+        else:
+            chosen = {4: n == 10, 5: (n >= 9) & (n <= 30), 7: n >= 19}[w]
+        i = np.flatnonzero(chosen[of] & (at + w <= n[of]))
+        if not len(i):
+            continue
+        if train:
+            r = of[i]
+            part = at[i] * parts[r] // n[r]
+            inside = (at[i] + w - 1) * parts[r] // n[r] == part
+            # Parts are at least w words, so each holds a window; the most telling one is taken, the first of equals.
+            i, r, part = i[inside], r[inside], part[inside]
+            telling = heavy[i + w] - heavy[i]
+            order = np.lexsort((i, -telling, part, r))
+            i, r, part = i[order], r[order], part[order]
+            i = i[np.concatenate([[True], (np.diff(r) != 0) | (np.diff(part) != 0)])]
+        texts.append(of[i])
+        keys.append(_window_hashes(flat, w)[i])
+        places.append(at[i])
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(texts), np.concatenate(keys), np.concatenate(places)
+
+
+def sketches(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two integers per text: number of words (12 bits, at most 4095) with parities of word counts in 52 buckets, and in 64.
+
+    An edit changes the parity of at most two buckets.
+    """
     of = np.repeat(np.arange(len(n)), n)
-    bucket = (_mixed(flat + np.uint64(11)) % np.uint64(12)).astype(np.int64)
-    counts = np.bincount(of * 12 + bucket, minlength=len(n) * 12).reshape(-1, 12) & 15
-    packed = (counts.astype(np.uint64) << (np.arange(12, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
-    return (packed | (np.minimum(n, 65535).astype(np.uint64) << np.uint64(48))).view(np.int64)
+    bucket = (_mixed(flat + np.uint64(11)) % np.uint64(116)).astype(np.int64)
+    odd = (np.bincount(of * 116 + bucket, minlength=len(n) * 116).reshape(-1, 116) & 1).astype(np.uint64)
+    first = (odd[:, :52] << np.arange(52, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    second = (odd[:, 52:] << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return (first | (np.minimum(n, 4095).astype(np.uint64) << np.uint64(52))), second
 
 
 class Words:
@@ -171,7 +157,7 @@ def class_key(ws: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "replace"))
 
 
-def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _route(batches: Iterator[pa.RecordBatch], train: bool) -> Iterator[pa.RecordBatch]:
     words, seen = Words(), set()
     for batch in batches:
         for at in range(0, batch.num_rows, 4000):
@@ -187,9 +173,14 @@ def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not ids:
                 continue
             flat, weight, n = words(listed)
-            text, key = route_keys(flat, weight, n)
-            meta = sketches(flat, n)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.array(ids, np.int64)[text]), pa.array(meta[text])], ["key", "record_id", "meta"])
+            text, key, place = route_keys(flat, weight, n, train)
+            first, second = sketches(flat, n)
+            first = first[text]
+            # The places of long texts stand where others have parities, which tell nothing of long texts.
+            long = n[text] >= LONG
+            first[long] = (first[long] >> np.uint64(52) << np.uint64(52)) | np.minimum(place[long], (1 << 52) - 1).astype(np.uint64)
+            cols = [key.view(np.int64), np.array(ids, np.int64)[text], first.view(np.int64), second[text].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "record_id", "first", "second"])
 
 
 class WordIndex:
@@ -344,14 +335,6 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["train_id", "eval_id", "words", "covered", "matches", "edits"]).astype({"train_id": "int64", "eval_id": "int64"})
 
 
-def _sketch_distance(a, b):
-    total = F.lit(0)
-    for i in range(12):
-        d = F.abs(F.shiftright(a, 4 * i).bitwiseAND(15) - F.shiftright(b, 4 * i).bitwiseAND(15))
-        total = total + F.least(d, 16 - d)
-    return total
-
-
 def overlapping_texts(records: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:
     """Overlaps between distinct texts: `train_id`, `eval_id` (a record of each), `words` of the longer, `covered`, `matches`, `edits`.
 
@@ -359,12 +342,27 @@ def overlapping_texts(records: DataFrame, train: str = "train", evaluation: tupl
     """
     rows = records.where("record_id is not null and text is not null").select(F.col("record_id").cast("bigint").alias("record_id"), F.col("text").cast("string").alias("text"), "split")
     sides = {False: rows.where(F.col("split") == train).select("record_id", "text"), True: rows.where(F.col("split").isin(*evaluation)).select("record_id", "text")}
-    routed = {s: sides[s].mapInArrow(_route, "key bigint, record_id bigint, meta bigint") for s in sides}
+    routed = {s: sides[s].mapInArrow(lambda it, s=s: _route(it, not s), "key bigint, record_id bigint, first bigint, second bigint") for s in sides}
     t, e = routed[False].alias("t"), routed[True].alias("e")
-    n_t, n_e = (F.shiftrightunsigned(F.col(f"{x}.meta"), 48) for x in "te")
+    n_t, n_e = (F.shiftrightunsigned(F.col(f"{x}.first"), 52) for x in "te")
+    rest_t, rest_e = (F.col(f"{x}.first").bitwiseAND((1 << 52) - 1) for x in "te")
     budget = F.floor(F.greatest(n_t, n_e) / 10)
-    near = (F.greatest(n_t, n_e) == 65535) | ((F.abs(n_t - n_e) <= budget) & (_sketch_distance(F.col("t.meta"), F.col("e.meta")) <= 2 * budget))
-    met = t.join(e, (F.col("t.key") == F.col("e.key")) & near).select(F.col("t.record_id").alias("train_id"), F.col("e.record_id").alias("eval_id")).distinct()
+    odd = F.bit_count(rest_t.bitwiseXOR(rest_e)) + F.bit_count(F.col("t.second").bitwiseXOR(F.col("e.second")))
+    near = (
+        F.when(F.greatest(n_t, n_e) == 4095, F.lit(True))
+        .when(F.greatest(n_t, n_e) < LONG, odd <= 2 * budget)
+        .when(F.least(n_t, n_e) >= LONG, F.abs(rest_t - rest_e) <= budget)
+        .otherwise(True)
+        & ((F.abs(n_t - n_e) <= budget) | (F.greatest(n_t, n_e) == 4095))
+    )
+    need = F.when((n_t >= LONG) & (F.greatest(n_t, n_e) < 4095), F.floor(n_t / 7) - budget).otherwise(1)
+    met = (
+        t.join(e, (F.col("t.key") == F.col("e.key")) & near)
+        .groupBy(F.col("t.record_id").alias("train_id"), F.col("e.record_id").alias("eval_id"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max(need).alias("need"))
+        .where("n >= need")
+        .select("train_id", "eval_id")
+    )
     met = checkpoint(met.where("train_id != eval_id"))
     # Shards: by evaluation record, split further by training record where one has many partners.
     n_pairs = met.count()
