@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import encoding, leaks, lookalike, mixing, overlap, pieces, windows
+from . import encoding, leaks, lookalike, mixing, overlap, pieces, quality, windows
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -84,11 +84,19 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixing_target")).shares()
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.junk(table(spark, d, "documents"), table(spark, d, "common_word"))
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.assess(table(spark, d, "documents"), table(spark, d, "common_word"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_forms, p1_classes, p2_found, p2_report, p3_found, p3_windows, p3_unused, p4_found, p4_items, p5_found, p5_pieces, p6_ids,
-        p7_documents, p7_slots, p7_shares,
+        p7_documents, p7_slots, p7_shares, p8_found, p8_statistics,
     )
 }
 ORACLES: dict[str, str] = {
