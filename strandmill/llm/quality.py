@@ -28,86 +28,113 @@ TAIL_Z = 2.0
 LEAST_RANGE = 0.02
 LEAST_TEXTS = 50
 
-_WORD = re.compile(r"(?<![\w/=+])[^\W\d_]+(?![\w/=+])")
+_WORD = re.compile(r"\b[^\W\d_]+\b")
 _BLOCK = re.compile(r"\n[^\S\n]*\n\s*")
 _END = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*(?:\s+|$)|(?<=[。！？])")
-_PUNCTUATED = re.compile(r"[.!?…。！？;:,][\"'”’»)\]]*\s*$")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&[a-z]+;")
-_ITEM = re.compile(r"^\s*(?:[-*•·–+]|\(?\d{1,4}[.):]|\[\d|[#>|])\s*")
+_ITEM = re.compile(r"\s*(?:[-*•·–+]|\(?\d{1,4}[.):]|\[\d|[#>|])\s*")
 _LEADER = re.compile(r"\.{4,}|_{4,}|-{4,}|={3,}|\|")
+_LEADERS = ("....", "____", "----", "===", "|")
 _MARKER = re.compile(r"<\|[^|<>\n]*\|>")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
+_CLOSING = "\"'”’»)] \t\n"
+_STOPS = ".!?…。！？"
+_PAUSES = _STOPS + ";:,"
+_OPENING = "\"'“„«»¿¡—–- ("
 
 
-def readable(part: str, common: frozenset[str], closed: bool = True) -> bool:
-    """Whether a piece of text between sentence ends reads as a sentence.
+class CommonWords:
+    """A word list per language: which languages (as bits) each word is common in."""
 
-    In Latin letters a sentence has some of the common words of the listed languages: an eighth of its words, more than
-    one if it is long; half as many do if it starts with a capital and is `closed` by punctuation. In other scripts,
-    for which none are listed, it has words of usual lengths.
+    def __init__(self, common: dict[str, set[str] | frozenset[str]]):
+        self.languages = sorted(common)
+        self.bits: dict[str, int] = {}
+        for k, lang in enumerate(self.languages):
+            for w in common[lang]:
+                self.bits[w] = self.bits.get(w, 0) | 1 << k
+
+
+def readable(part: str, words: list[str], letters: int, hits: int, kinds: int, closed: bool = True) -> bool:
+    """Whether a piece of text between sentence ends, with its words, reads as a sentence.
+
+    In Latin letters a sentence has some of the common words of the listed languages (`hits`, of which `kinds` are
+    different): an eighth of its words, more than one if it is long; half as many do if it starts with a capital and
+    is `closed` by punctuation. In other scripts, for which none are listed, it has words of usual lengths.
     """
-    if _TAG.search(part) or len(_LEADER.findall(part)) > 1:
+    if ("<" in part or "&" in part) and _TAG.search(part):
         return False
-    solid = len(part) - sum(map(part.count, " \n\t"))
-    cjk = len(_CJK.findall(part))
-    if cjk >= 0.5 * solid:
-        return cjk >= 5
-    words = _WORD.findall(part)
-    letters = sum(map(len, words))
-    if len(words) < 3 or letters < 0.6 * solid or letters > 16 * len(words):
+    if any(map(part.__contains__, _LEADERS)) and len(_LEADER.findall(part)) > 1:
         return False
-    if sum(w[0] >= "\u0370" for w in words) > 0.5 * len(words):
+    n, solid = len(words), len(part) - part.count(" ") - part.count("\n") - part.count("\t")
+    if not part.isascii():
+        cjk = len(_CJK.findall(part))
+        if cjk >= 0.5 * solid:
+            return cjk >= 5
+    if n < 3 or letters < 0.6 * solid or letters > 16 * n:
+        return False
+    if not part.isascii() and sum(w[0] >= "Ͱ" for w in words) > 0.5 * n:
+        return True
+    if hits and closed and hits >= 0.06 * n and part.lstrip(_OPENING)[:1].isupper() and sum(map(part.count, ",;/|»•·")) < 0.25 * n:
         return True
-    hits = [w for x in words if (w := x.lower()) in common]
-    if closed and part.lstrip("\"'“„«»¿¡—–- (")[:1].isupper() and sum(map(part.count, ",;/|»•·")) < 0.25 * len(words):
-        return len(hits) >= max(1, 0.06 * len(words))
-    return len(hits) >= max(1, 0.12 * len(words)) and (len(words) < 10 or len(set(hits)) > 1)
+    return hits >= max(1, 0.12 * n) and (n < 10 or kinds > 1)
 
 
-def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
+def statistics(text: str, common: CommonWords) -> tuple:
     """(language, words, characters, lines, the values of STATISTICS) of a text with visible characters."""
     size = len(text)
-    text = _MARKER.sub("\n\n", folding.canonical(text))
-    words = [w.lower() for w in _WORD.findall(text)]
-    counts = {k: sum(map(v.__contains__, words)) for k, v in common.items()}
-    lang = max(counts, key=lambda k: (counts[k], k)) if counts else "und"
-    share = counts[lang] / len(words) if words and counts else 0.0
-    every = frozenset().union(*common.values())
-    prose = whole = 0
+    text = folding.canonical(text)
+    if "<|" in text:
+        text = _MARKER.sub("\n\n", text)
+    bit = common.bits.get
+    prose = whole = n_words = letters = n_lines = punctuated = 0
+    tally: dict[int, int] = {}
+    distinct: set[str] = set()
     for block in _BLOCK.split(text):
-        lines = block.split("\n")
+        lines = [x for x in block.split("\n") if x.strip()]
+        n_lines += len(lines)
+        punctuated += sum(x.rstrip(_CLOSING)[-1:] in _PAUSES for x in lines if x.rstrip(_CLOSING))
         listed = len(lines) >= 3 and sum(_ITEM.match(x) is not None for x in lines) >= 0.6 * len(lines)
         at = 0
-        for end in [*(m.end() for m in _END.finditer(block)), len(block)]:
-            part, closed = block[at:end].strip(), end < len(block) or _END.search(block, max(0, len(block) - 8)) is not None
+        for end in [*[m.end() for m in _END.finditer(block)], len(block)]:
+            part = block[at:end].strip()
             at = end
             if not part:
                 continue
+            words = _WORD.findall(part.lower())
+            found = [w for w in words if w in common.bits]
+            for w in found:
+                m = bit(w)
+                tally[m] = tally.get(m, 0) + 1
+            mine = sum(map(len, words))
+            letters += mine
+            n_words += len(words)
+            distinct.update(words)
             whole += len(part)
             # Lines of a wrapped sentence are long; those of a list are not. Without a sentence end it is a heading, a
             # cut sentence or a list: only a longer one counts.
+            closed = part.rstrip(_CLOSING)[-1:] in _STOPS
             breaks = part.count("\n")
-            short = breaks > 1 and len(part) / (breaks + 1) < 20
-            item = listed and (breaks == 0 and len(part) < 25 or not closed)
-            if not short and not item and (closed or len(part) / (breaks + 1) >= 30) and readable(part, every, closed):
+            if breaks > 1 and len(part) < 20 * (breaks + 1) or listed and (breaks == 0 and len(part) < 25 or not closed):
+                continue
+            if (closed or len(part) >= 30 * (breaks + 1)) and readable(part, words, mine, len(found), len(set(found)), closed):
                 prose += len(part)
-    lines = [x for x in text.split("\n") if x.strip()]
+    counts = [sum(n for m, n in tally.items() if m >> k & 1) for k in range(len(common.languages))]
+    most = max(counts, default=0)
     tokens = text.split()
     solid = sum(map(len, tokens))
-    letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
     return (
-        lang if counts and counts[lang] else "und", len(words), size, len(lines),
+        common.languages[counts.index(most)] if most else "und", n_words, size, n_lines,
         prose / whole if whole else 0.0,
-        share,
-        sum(_PUNCTUATED.search(x) is not None for x in lines) / len(lines) if lines else 0.0,
-        max(0.0, 1.0 - (sum(map(str.isalpha, text)) + digits) / solid) if solid else 0.0,
+        most / n_words if n_words else 0.0,
+        punctuated / n_lines if n_lines else 0.0,
+        max(0.0, 1.0 - (letters + digits) / solid) if solid else 0.0,
         digits / solid if solid else 0.0,
-        letters / len(words) if words else 0.0,
-        len(set(words)) / len(words) if words else 0.0,
+        letters / n_words if n_words else 0.0,
+        len(distinct) / n_words if n_words else 0.0,
         letters / solid if solid else 0.0,
         float(max(map(len, tokens))) if solid else 0.0,
-        len(words) / len(lines) if lines else 0.0,
+        n_words / n_lines if n_lines else 0.0,
     )
 
 
@@ -122,7 +149,7 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
     rows = common_words.where("lang is not null and word is not null").select("lang", "word").distinct().limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("more than 100,000 common words")
-    common = {lang: frozenset(r[1].lower() for r in rows if r[0] == lang) for lang in sorted({r[0] for r in rows})}
+    common = CommonWords({lang: {r[1].lower() for r in rows if r[0] == lang} for lang in {r[0] for r in rows}})
     names = ["language", "n_words", "n_chars", "n_lines", *STATISTICS]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()] + [pa.float64()] * len(STATISTICS)
     nothing = (None,) * len(names)
