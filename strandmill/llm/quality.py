@@ -185,14 +185,15 @@ def assess(documents: DataFrame, common_words: DataFrame, tail: float = TAIL_Z)
     prose, or blank. Repeated rows are each assessed; an empty table gives no rows.
     """
     stats = checkpoint(document_statistics(documents, common_words))
-    groups = distributions(stats)
-    # At most one row per listed language, one for none and one for all.
-    own = F.broadcast(groups.where(f"group is not null and group != 'und' and n >= {LEAST_TEXTS}").select(F.col("group").alias("_g"), *[F.col(k).alias(f"_o_{k}") for k in STATISTICS]))
-    every = F.broadcast(groups.where("group is null").select(*[F.col(k).alias(f"_a_{k}") for k in STATISTICS], F.lit(1).alias("_one")))
-    rows = stats.withColumn("_one", F.lit(1)).join(own, F.col("language") == F.col("_g"), "left").join(every, "_one", "left")
+    # At most one row per listed language, one for texts without a language and one for all.
+    groups = {r["group"]: r for r in distributions(stats).collect()}
+    chosen = [(g, *[(r if g != "und" and r["n"] >= LEAST_TEXTS else groups[None])[k] for k in STATISTICS]) for g, r in groups.items() if g is not None]
+    pooled = [[groups[None][k] for k in STATISTICS]] if None in groups else [[[None] * 3] * len(STATISTICS)]
+    own = stats.sparkSession.createDataFrame(chosen, "_g string, " + ", ".join(f"_o_{k} array<double>" for k in STATISTICS))
+    rows = stats.join(F.broadcast(own), F.col("language") == F.col("_g"), "left")
     scores, tails = [], F.lit(0)
-    for k, side in STATISTICS.items():
-        q = F.coalesce(F.col(f"_o_{k}"), F.col(f"_a_{k}"))
+    for i, (k, side) in enumerate(STATISTICS.items()):
+        q = F.coalesce(F.col(f"_o_{k}"), F.array(*[F.lit(x).cast("double") for x in pooled[0][i]]))
         width = F.greatest(q[2] - q[0], F.lit(LEAST_RANGE), F.abs(q[1]) * LEAST_RANGE) / 1.349
         z = (F.col(k) - q[1]) / width
         scores.append(z.alias(f"z_{k}"))
