@@ -197,7 +197,8 @@ def assess(documents: DataFrame, common_words: DataFrame, tail: float = TAIL_Z)
         width = F.greatest(q[2] - q[0], F.lit(LEAST_RANGE), F.abs(q[1]) * LEAST_RANGE) / 1.349
         z = (F.col(k) - q[1]) / width
         scores.append(z.alias(f"z_{k}"))
-        out = F.abs(z) >= tail if side == 0 else z * side >= tail
+        # Without any prose to be held against, every document is in the tail.
+        out = F.coalesce(F.abs(z) >= tail if side == 0 else z * side >= tail, F.lit(True))
         tails = tails + F.when(out, 1).otherwise(0)
     rows = rows.withColumn("tails", F.when(F.col("language").isNotNull(), tails))
     kind = (
