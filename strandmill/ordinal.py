@@ -32,32 +32,29 @@ def scan(
     """
     running = running or {}
     keys = list(group)
-    data = df.withColumn("_block", block)
-    sums = [F.count(F.lit(1)).alias("_n")] + [F.coalesce(F.sum(c), F.lit(0)).alias(f"_s_{new}") for new, c in running.items()]
-    blocks = data.groupBy(*keys, "_block").agg(*sums)
-    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = by_group.orderBy(F.col("_block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    # One struct as the key of window, aggregate and join: its null fields are equal, and all three share a partitioning.
+    data = df.withColumn("_scan_key", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], block.alias("block")))
+    sums = [F.count(F.lit(1)).alias("_scan_n")] + [F.coalesce(F.sum(c), F.lit(0)).alias(f"_scan_s_{new}") for new, c in running.items()]
+    blocks = data.groupBy("_scan_key").agg(*sums)
+    by_group = Window.partitionBy(*([F.col(f"_scan_key.k{i}") for i in range(len(keys))] or [F.lit(0)]))
+    before = by_group.orderBy(F.col("_scan_key.block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
-        *[F.col(k).alias(f"_g_{k}") for k in keys],
-        F.col("_block").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        *[F.coalesce(F.sum(f"_s_{new}").over(before), F.lit(0)).alias(f"_before_{new}") for new in running],
-        *([F.sum("_n").over(by_group).alias("_total")] if total else []),
+        "_scan_key",
+        F.coalesce(F.sum("_scan_n").over(before), F.lit(0)).alias("_scan_before"),
+        *[F.coalesce(F.sum(f"_scan_s_{new}").over(before), F.lit(0)).alias(f"_scan_before_{new}") for new in running],
+        *([F.sum("_scan_n").over(by_group).alias("_scan_total")] if total else []),
     )
-    match = F.col("_block").eqNullSafe(F.col("_b"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    within = Window.partitionBy(*keys, "_block").orderBy(*order)
+    within = Window.partitionBy("_scan_key").orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = data.withColumn("_rank", F.row_number().over(within).cast("bigint"))
+    ranked = data.withColumn("_scan_rank", F.row_number().over(within).cast("bigint"))
     for new, c in running.items():
-        ranked = ranked.withColumn(f"_run_{new}", F.coalesce(F.sum(c).over(upto), F.lit(0)))
-    out = ranked.join(offsets, match, "inner")
-    out = out.withColumn(rank, F.col("_before") + F.col("_rank"))
+        ranked = ranked.withColumn(f"_scan_run_{new}", F.coalesce(F.sum(c).over(upto), F.lit(0)))
+    out = ranked.join(offsets, "_scan_key")
+    out = out.withColumn(rank, F.col("_scan_before") + F.col("_scan_rank"))
     for new in running:
-        out = out.withColumn(new, F.col(f"_before_{new}") + F.col(f"_run_{new}"))
+        out = out.withColumn(new, F.col(f"_scan_before_{new}") + F.col(f"_scan_run_{new}"))
     if total:
-        out = out.withColumn(total, F.col("_total"))
+        out = out.withColumn(total, F.col("_scan_total"))
     return out.select(*df.columns, rank, *running, *([total] if total else []))
 
 
