@@ -130,22 +130,17 @@ def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
     outputs = mixing.curriculum_outputs(staged, config.curriculum.output_mode if config.curriculum.enabled else "merged")
     keyed = outputs.withColumn("_unit", F.col("stage_ord") * 10_000_000_000 + F.col("mix_ord"))
     cutter = mixing.split_stratified if split.stratified else mixing.split_simple
-    parts = [cutter(keyed.where(F.col("output") == o), split.seed, split.train, split.val, "_unit", split.shuffle) for o in _outputs(config)]
-    if config.curriculum.enabled and config.curriculum.output_mode != "merged":
-        names = [r[0] for r in outputs.select("output").distinct().collect()]
-        parts = [cutter(keyed.where(F.col("output") == o), split.seed, split.train, split.val, "_unit", split.shuffle) for o in sorted(names)]
+    merged = not config.curriculum.enabled or config.curriculum.output_mode == "merged"
+    # Stages are few: their names come from the config or from the lengths of equal parts.
+    names = ["merged"] if merged else sorted(r[0] for r in outputs.select("output").distinct().collect())
+    parts = [cutter(keyed.where(F.col("output") == o), split.seed, split.train, split.val, "_unit", split.shuffle) for o in names]
     selected = parts[0]
     for p in parts[1:]:
         selected = selected.unionByName(p)
-    single = not config.curriculum.enabled or config.curriculum.output_mode == "merged"
-    name = F.col("split") if single else F.concat_ws("_", "output", "split")
+    name = F.col("split") if merged else F.concat_ws("_", "output", "split")
     return SimpleNamespace(documents=documents, selected=selected.withColumn("write_ord", F.col("_unit")).withColumn("output", name).drop("_unit"))
 
 
-def _outputs(config: SimpleNamespace) -> list[str]:
-    return ["merged"]
-
-
 def run(spark: SparkSession, config: SimpleNamespace, cache: str | None = None, resolve=None) -> dict:
     """Writes token files, statistics and the manifest of a config; gives the manifest."""
     cf.check(config)

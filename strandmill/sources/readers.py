@@ -38,7 +38,7 @@ def read_text(spark: SparkSession, path: str, delimiter: str = "\n\n") -> DataFr
     """
     raw = spark.read.option("lineSep", delimiter).text(_paths(path, ".txt"))
     raw = raw.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_id"))
-    raw = raw.withColumn("text", F.replace("text", F.lit("�"), F.lit("")))
+    raw = raw.withColumn("text", F.replace(F.make_valid_utf8("text"), F.lit("�"), F.lit("")))
     return _numbered(segment(raw, delimiter, "_id"), ["text"], ["_id", "piece"])
 
 
