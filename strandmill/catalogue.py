@@ -14,7 +14,7 @@ from .operators import documents as dc
 from .operators import evaluation as ev
 from .operators import lint, mixing, packing, sampling
 from .ordinal import id_block, scan
-from .session import ship, table
+from .session import checkpoint, ship, table
 
 SEED = 42
 RATIOS = {"webmirror": 2.0, "crawl_edu": 1.0, "run_notes": 1.0, "fr_presse": 0.5}
@@ -59,8 +59,13 @@ def _prepared(spark: SparkSession, d: str) -> DataFrame:
     return dc.prepared(table(spark, d, "documents"), normalize=False)
 
 
+def _narrow(spark: SparkSession, d: str) -> DataFrame:
+    """The prepared rows, written once to the shared folder: ranks read their input twice, and these are a few bytes a document."""
+    return checkpoint(_prepared(spark, d))
+
+
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.split_stratified(_prepared(spark, d), SEED, 0.8, 0.1)
+    return mixing.split_stratified(_narrow(spark, d), SEED, 0.8, 0.1)
 
 
 # ---------------------------------------------------------------- preparation
@@ -76,7 +81,7 @@ def prep_stats_by_split_source(spark, d):
 
 @query()
 def prep_stats_normalized(spark, d):
-    rows = dc.prepared(table(spark, d, "documents"))
+    rows = checkpoint(dc.prepared(table(spark, d, "documents")))
     return packing.statistics(mixing.split_stratified(rows, SEED, 0.8, 0.1)).withColumn("mean_len", F.round("mean_len", 6))
 
 
@@ -189,7 +194,7 @@ def length_filter(spark, d):
       SELECT source, doc_ord, n_tokens FROM r WHERE i <= 20 AND u <= 30000"""
 )
 def source_caps(spark, d):
-    return dc.source_caps(_prepared(spark, d), 20, 30_000)
+    return dc.source_caps(_narrow(spark, d), 20, 30_000)
 
 
 # ---------------------------------------------------------------- sampling and mixing
@@ -207,7 +212,7 @@ def mix_plan(spark, d):
 
 @query(f"WITH {_LEFT} SELECT source, n_docs, CAST(CASE WHEN ratio < 1e-9 THEN 0 ELSE floor(700::DOUBLE * ratio) END AS BIGINT) AS target FROM j")
 def target_by_docs(spark, d):
-    return mixing.targets(_prepared(spark, d), RATIOS, total_docs=700)
+    return mixing.targets(_narrow(spark, d), RATIOS, total_docs=700)
 
 
 @query(
@@ -215,12 +220,12 @@ def target_by_docs(spark, d):
       SELECT source, n_docs, CAST(CASE WHEN want <= 0 THEN 0 ELSE greatest(1, floor(want / greatest(1.0, n_tokens_all / n_docs))) END AS BIGINT) AS target FROM w"""
 )
 def target_by_tokens(spark, d):
-    return mixing.targets(_prepared(spark, d), RATIOS, total_tokens=900_000)
+    return mixing.targets(_narrow(spark, d), RATIOS, total_tokens=900_000)
 
 
 @query(f"WITH {_C} SELECT source, n_docs, (SELECT max(n_docs) FROM n) AS target FROM n")
 def target_balance_max(spark, d):
-    return mixing.targets(_prepared(spark, d), balance="max")
+    return mixing.targets(_narrow(spark, d), balance="max")
 
 
 _DRAWN = f"""{_C}, q AS (SELECT *, {{target}} AS target FROM n),
@@ -235,7 +240,7 @@ _TARGETS = {"sample_down": "least(15, n_docs)", "sample_up": "(n_docs * 2 + 3)",
 
 
 def _wanted(spark, d, kind):
-    rows = _prepared(spark, d)
+    rows = _narrow(spark, d)
     sizes = mixing.counts(rows).select("source", "n_docs")
     if kind == "sample_down":
         return rows, sizes.withColumn("target", F.least(F.lit(15), F.col("n_docs")))
@@ -255,7 +260,7 @@ _DOWN = _DRAWN.replace("{target}", _TARGETS["sample_down"]) + ", o AS (SELECT so
 
 
 def _drawn(spark, d):
-    return mixing.with_source_order(mixing.sample(*_wanted(spark, d, "sample_down"), SEED))
+    return mixing.with_source_order(checkpoint(mixing.sample(*_wanted(spark, d, "sample_down"), SEED)))
 
 
 @query(f"WITH {_DOWN} SELECT source, doc_ord, CAST(row_number() OVER (ORDER BY source_ord, draw) - 1 AS BIGINT) AS mix_ord FROM b")
@@ -286,7 +291,7 @@ def mix_interleave_b3(spark, d):
       SELECT split, source, i.doc_ord, CAST(j.slot AS BIGINT) AS write_ord FROM i JOIN j USING (split, source, i)"""
 )
 def mix_schedule(spark, d):
-    rows = _split(spark, d).withColumn("draw", F.col("doc_ord"))
+    rows = checkpoint(_split(spark, d).withColumn("draw", F.col("doc_ord")))
     return mixing.schedule(rows, SEED).select("split", "source", "doc_ord", "write_ord")
 
 
@@ -299,7 +304,7 @@ _LENGTH = f"""{_P}, r AS (SELECT *, row_number() OVER (ORDER BY n_tokens, doc_or
 
 @query(f"WITH {_LENGTH} SELECT source, doc_ord, stage_ord, stage FROM e")
 def curriculum_length(spark, d):
-    return mixing.by_length(_prepared(spark, d), 3).select("source", "doc_ord", "stage_ord", "stage")
+    return mixing.by_length(_narrow(spark, d), 3).select("source", "doc_ord", "stage_ord", "stage")
 
 
 @query(
@@ -307,7 +312,7 @@ def curriculum_length(spark, d):
       SELECT source, doc_ord, o AS stage_ord, 'stage' || o || '_' || source AS stage FROM p JOIN f USING (source)"""
 )
 def curriculum_domain(spark, d):
-    return mixing.by_domain(_prepared(spark, d), "doc_ord").select("source", "doc_ord", "stage_ord", "stage")
+    return mixing.by_domain(_narrow(spark, d), "doc_ord").select("source", "doc_ord", "stage_ord", "stage")
 
 
 @query(
@@ -319,12 +324,12 @@ def curriculum_domain(spark, d):
       SELECT CAST(stage_ord AS BIGINT) AS stage_ord, stage, source, doc_ord FROM r WHERE cap IS NULL OR i <= cap"""
 )
 def curriculum_custom(spark, d):
-    return mixing.by_rules(_prepared(spark, d), STAGES, "doc_ord").select("stage_ord", "stage", "source", "doc_ord")
+    return mixing.by_rules(_narrow(spark, d), STAGES, "doc_ord").select("stage_ord", "stage", "source", "doc_ord")
 
 
 @query(f"WITH {_LENGTH}, b AS (SELECT stage AS output, * FROM e UNION ALL SELECT 'merged', * FROM e) SELECT output, count(*) AS num_docs, CAST(sum(n_tokens) AS BIGINT) AS total_tokens FROM b GROUP BY output")
 def curriculum_both_modes(spark, d):
-    out = mixing.curriculum_outputs(mixing.by_length(_prepared(spark, d), 3), "both")
+    out = mixing.curriculum_outputs(mixing.by_length(_narrow(spark, d), 3), "both")
     return out.groupBy("output").agg(F.count(F.lit(1)).alias("num_docs"), F.sum("n_tokens").alias("total_tokens"))
 
 
@@ -341,7 +346,7 @@ def split_stratified(spark, d):
       SELECT source, doc_ord, CASE WHEN i < floor(c * 0.29::DOUBLE) THEN 'train' WHEN i < floor(c * (0.29::DOUBLE + 0.5::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM r"""
 )
 def split_simple(spark, d):
-    return mixing.split_simple(_prepared(spark, d), SEED, 0.29, 0.5).select("source", "doc_ord", "split")
+    return mixing.split_simple(_narrow(spark, d), SEED, 0.29, 0.5).select("source", "doc_ord", "split")
 
 
 @query(
@@ -349,7 +354,7 @@ def split_simple(spark, d):
       SELECT CASE WHEN window_id < floor(s * (1 - 0.05::DOUBLE)) THEN 'train' ELSE 'val' END AS split, count(*) AS n_windows FROM w GROUP BY 1"""
 )
 def split_windows(spark, d):
-    total = _prepared(spark, d).agg(F.floor(F.sum("n_tokens") / 129).alias("s"))
+    total = _narrow(spark, d).agg(F.floor(F.sum("n_tokens") / 129).alias("s"))
     w = total.select("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1)).alias("window_id"))
     return w.groupBy(F.when(F.col("window_id") < F.floor(F.col("s") * (1 - 0.05)), "train").otherwise("val").alias("split")).agg(F.count(F.lit(1)).alias("n_windows"))
 
@@ -370,12 +375,12 @@ _SHARDS = f"""WITH RECURSIVE {_SPLIT}, o AS (SELECT *, row_number() OVER (PARTIT
 
 @query(f"{_SHARDS} SELECT split, source, doc_ord, shard FROM f")
 def shard_assign(spark, d):
-    return packing.assign_shards(_split(spark, d), 20_000, "doc_ord").select("split", "source", "doc_ord", "shard")
+    return packing.assign_shards(checkpoint(_split(spark, d)), 20_000, "doc_ord").select("split", "source", "doc_ord", "shard")
 
 
 @query(f"{_SHARDS} SELECT split, shard, count(*) AS num_docs, CAST(sum(n_tokens) AS BIGINT) AS num_tokens FROM f GROUP BY split, shard")
 def shard_summary(spark, d):
-    return packing.shard_summary(packing.assign_shards(_split(spark, d), 20_000, "doc_ord"))
+    return packing.shard_summary(packing.assign_shards(checkpoint(_split(spark, d)), 20_000, "doc_ord"))
 
 
 def _stream(spark, d):
@@ -412,7 +417,7 @@ def windows_offset(spark, d):
       SELECT doc_ord, CAST(i % 4 AS BIGINT) AS rank, CAST(i // 4 AS BIGINT) AS turn FROM r"""
 )
 def rank_shards(spark, d):
-    return packing.rank_shards(_prepared(spark, d).select("doc_ord"), 4, SEED, "doc_ord")
+    return packing.rank_shards(_narrow(spark, d).select("doc_ord"), 4, SEED, "doc_ord")
 
 
 _LINES = f"""{_D}, q AS (SELECT doc_ord, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM d),

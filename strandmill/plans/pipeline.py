@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from types import SimpleNamespace
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators import documents as dc
 from ..operators import mixing, packing
+from ..session import checkpoint, checkpoint_dir
 from ..sources import npy, readers
 
 
@@ -93,13 +95,19 @@ def stage_cache(spark: SparkSession, rows, folder: str, name: str, key: str) ->
 
 
 def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None, resolve=None) -> SimpleNamespace:
-    """Lazy tables of a checked config: `documents` (with tokens) and `selected` (narrow, with `output`, `split`, `write_ord`)."""
+    """Tables of a checked config: `documents` (with tokens) and `selected` (narrow, with `output`, `split`, `write_ord`).
+
+    Tokens are written once per source (to `cache`, or to the shared folder for checkpoints) and read again only by the
+    sink. What lies between is a few bytes per document and is checkpointed after each stage, as ranks read their
+    input twice.
+    """
     encode = encoder(config.tokenizer)
     active = [(i, s) for i, s in enumerate(config.datasets) if s.weight > 0]
+    folder = cache or os.path.join(checkpoint_dir(spark).removeprefix("file://"), f"tokens-{uuid4().hex}")
     read = []
     for i, s in active:
         make = lambda i=i, s=s: read_source(spark, s, i, encode, resolve)
-        read.append(make() if cache is None else stage_cache(spark, make, cache, s.name, cf.fingerprint(vars(s), vars(config.tokenizer))))
+        read.append(stage_cache(spark, make, folder, s.name, cf.fingerprint(vars(s), vars(config.tokenizer))))
     documents = read[0]
     for more in read[1:]:
         documents = documents.unionByName(more)
@@ -108,15 +116,15 @@ def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
     ratios = mixing.derive_ratios({s.name: s.weight for _, s in active}, mix.source_ratios, mix.weight_by)
     balance = "max" if mix.upsample_to_max else "min" if mix.downsample_to_min else None
     sample = lambda rows: mixing.sample(rows, mixing.targets(rows, ratios, mix.target_total_docs, mix.target_total_tokens, balance), seed)
-    drawn = mixing.with_source_order(sample(narrow.drop("source_ord")), [s.name for s in config.datasets])
+    drawn = checkpoint(mixing.with_source_order(sample(narrow.drop("source_ord")), [s.name for s in config.datasets]))
     if not config.curriculum.enabled and split.stratified:
         # Splits are cut from the draws of each source, and the order is a schedule of sources.
-        cut = mixing.split_stratified(drawn, split.seed, split.train, split.val, "draw", split.shuffle)
-        selected = mixing.schedule(cut, split.seed).withColumn("output", F.col("split"))
+        cut = checkpoint(mixing.split_stratified(drawn, split.seed, split.train, split.val, "draw", split.shuffle))
+        selected = checkpoint(mixing.schedule(cut, split.seed).withColumn("output", F.col("split")))
         return SimpleNamespace(documents=documents, selected=selected)
     if mix.strategy not in mixing.MIXERS:
         raise cf.ConfigError(f"unknown mixing strategy {mix.strategy!r}")
-    mixed = mixing.MIXERS[mix.strategy](drawn, seed, mix.block_size)
+    mixed = checkpoint(mixing.MIXERS[mix.strategy](drawn, seed, mix.block_size))
     staged = mixed.withColumns({"stage_ord": F.lit(0).cast("bigint"), "stage": F.lit("default")})
     if config.curriculum.enabled:
         kinds = {
@@ -127,7 +135,7 @@ def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
         if config.curriculum.type not in kinds:
             raise cf.ConfigError(f"unknown curriculum {config.curriculum.type!r}")
         staged = kinds[config.curriculum.type]()
-    outputs = mixing.curriculum_outputs(staged, config.curriculum.output_mode if config.curriculum.enabled else "merged")
+    outputs = mixing.curriculum_outputs(checkpoint(staged), config.curriculum.output_mode if config.curriculum.enabled else "merged")
     keyed = outputs.withColumn("_unit", F.col("stage_ord") * 10_000_000_000 + F.col("mix_ord"))
     cutter = mixing.split_stratified if split.stratified else mixing.split_simple
     merged = not config.curriculum.enabled or config.curriculum.output_mode == "merged"
@@ -138,7 +146,7 @@ def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
     for p in parts[1:]:
         selected = selected.unionByName(p)
     name = F.col("split") if merged else F.concat_ws("_", "output", "split")
-    return SimpleNamespace(documents=documents, selected=selected.withColumn("write_ord", F.col("_unit")).withColumn("output", name).drop("_unit"))
+    return SimpleNamespace(documents=documents, selected=checkpoint(selected.withColumn("write_ord", F.col("_unit")).withColumn("output", name).drop("_unit")))
 
 
 def run(spark: SparkSession, config: SimpleNamespace, cache: str | None = None, resolve=None) -> dict:
