@@ -22,7 +22,7 @@ from ..ordinal import id_block, scan
 from ..session import checkpoint, small
 from . import encoding
 
-BLOCK_TOKENS = 256
+BLOCK_TOKENS = 128
 SHARD_BLOCKS = 1024
 MOST_SHARDS = 4096
 MOST_TARGETS = 10_000

@@ -68,6 +68,13 @@ def _marks(text: str, delimiter: str | None, room: int) -> tuple[np.ndarray, np.
             marks, kinds = marks[order], kinds[order]
             first = np.concatenate([[True], np.diff(marks) > 0])
             marks, kinds = marks[first], kinds[first]
+    # Where characters are joined for longer than a piece can be, even they are parted.
+    edges = np.concatenate([[0], marks, [n]])
+    forced = [x for w in np.flatnonzero(np.diff(edges) > room) for x in range(int(edges[w]) + room, int(edges[w + 1]), room)]
+    if forced:
+        marks, kinds = np.concatenate([marks, forced]), np.concatenate([kinds, np.full(len(forced), 6, np.int8)])
+        order = np.argsort(marks, kind="stable")
+        marks, kinds = marks[order], kinds[order]
     return marks, kinds
 
 
@@ -107,7 +114,7 @@ def cut(text: str, limit: int, overlap: int = 0, delimiter: str | None = None) -
             size[(size > room) & (pos[:j] > 0)] = np.inf
         if a == 0:
             size[0] = pos[j] - overlap if pos[j] <= limit else np.inf
-        total = best[a:j] + 4.0 * ((size - equal) / equal) ** 2
+        total = best[a:j] + ((size - equal) / equal) ** 2
         k = int(np.argmin(total))
         best[j], back[j] = total[k] + cost[j], a + k
     cuts, j = [], len(pos) - 1
