@@ -41,25 +41,31 @@ _CAPITAL = re.compile("[" + "".join(LOOK_ALIKE_CAPITAL) + "]")
 _LATIN = re.compile("[A-Za-z]")
 _CHUNK = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W_]+")
+_ASCII_WORDS = {i: chr(i) if chr(i).isalnum() else " " for i in range(128)}
 _ASCII_CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f]")
 
 
 @cache
-def _tables() -> tuple[dict, dict, dict, dict, re.Pattern]:
-    """Translations: invisible and spacing characters, those with look-alikes, small look-alikes, capital ones; protected."""
-    spacing: dict[int, str | None] = {c: None for a, b in DEFAULT_IGNORABLE for c in range(a, b + 1)}
-    spacing |= {c: None for c in [*range(0x20), *range(0x7F, 0xA0)]}
-    spacing |= {ord("\n"): "\n", ord("\t"): "\t", 0x85: "\n", 0x2028: "\n", 0x2029: "\n", 0x0B: "\n", 0x0C: "\n"}
+def _tables() -> tuple[dict[str, str], dict[str, str], re.Pattern]:
+    """What characters become: for the canonical form, for the folded form (after case folding), and those to be kept."""
+    spacing = {chr(c): "" for a, b in DEFAULT_IGNORABLE for c in range(a, b + 1)}
+    spacing |= {chr(c): "" for c in [*range(0x09), *range(0x0E, 0x20), *range(0x7F, 0xA0)]}
+    spacing |= dict.fromkeys("\x0b\x0c\x85\u2028\u2029", "\n")
     protected = []
     for c in range(0xA0, sys.maxunicode + 1):
         ch = chr(c)
         if ud.category(ch) == "Zs":
-            spacing[c] = " "
+            spacing[ch] = " "
         elif ud.decomposition(ch).partition(" ")[0] in VISIBLE_TAGS:
             protected.append(ch)
-    small = {ord(k): v for k, v in LOOK_ALIKE_SMALL.items()}
-    capital = {ord(k): v for k, v in LOOK_ALIKE_CAPITAL.items()}
-    return spacing, spacing | small | capital, small, capital, re.compile("[" + "".join(protected) + "]+")
+    return spacing | LOOK_ALIKE_SMALL | LOOK_ALIKE_CAPITAL, spacing | LOOK_ALIKE_SMALL, re.compile("[" + "".join(protected) + "]+")
+
+
+def _mapped(text: str, table: dict[str, str]) -> str:
+    """The text with characters replaced; texts have few different ones, so each is looked up once."""
+    for c in set(text) & table.keys():
+        text = text.replace(c, table[c])
+    return text
 
 
 def canonical(text: str) -> str:
@@ -69,10 +75,10 @@ def canonical(text: str) -> str:
     """
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    spacing, full, _, _, protected = _tables()
     if text.isascii():
         return _ASCII_CONTROL.sub(lambda m: "\n" if m[0] in "\x0b\x0c" else "", text) if _ASCII_CONTROL.search(text) else text
-    if "‍" in text:
+    table, _, protected = _tables()
+    if "\u200d" in text:
         text = _JOINED.sub(_KEEP_JOIN, text)
     if protected.search(text):
         parts, at = [], 0
@@ -82,22 +88,24 @@ def canonical(text: str) -> str:
         text = "".join([*parts, ud.normalize("NFKD", text[at:])])
     else:
         text = ud.normalize("NFKD", text)
-    text = ud.normalize("NFC", text.translate(full))
-    # Composing can make a character that has a look-alike itself only through a base that was mapped before.
-    return text.replace(_KEEP_JOIN, "‍") if _KEEP_JOIN in text else text
+    text = ud.normalize("NFC", _mapped(text, table))
+    return text.replace(_KEEP_JOIN, "\u200d") if _KEEP_JOIN in text else text
 
 
 def fold(text: str) -> str:
     """`canonical` with full compatibility mapping and full case folding; capital look-alikes count in Latin words."""
     if text.isascii():
         return text.lower()
-    spacing, _, small, capital, _ = _tables()
-    text = ud.normalize("NFKD", text).translate(spacing)
+    text = ud.normalize("NFKD", text)
     if _CAPITAL.search(text):
-        text = _CHUNK.sub(lambda m: m[0].translate(capital) if _LATIN.search(m[0]) else m[0], text)
-    return ud.normalize("NFKC", text.casefold().translate(small))
+        text = _CHUNK.sub(lambda m: _mapped(m[0], LOOK_ALIKE_CAPITAL) if _LATIN.search(m[0]) else m[0], text)
+    return ud.normalize("NFKC", _mapped(text.casefold(), _tables()[1]))
 
 
 def words(text: str | None) -> list[str]:
     """The folded runs of letters and digits of a text, [] for null."""
-    return _WORD.findall(fold(text)) if text else []
+    if not text:
+        return []
+    if text.isascii():
+        return text.lower().translate(_ASCII_WORDS).split()
+    return _WORD.findall(fold(text))
