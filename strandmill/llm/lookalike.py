@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from . import folding
 
 #: Members of a class up to this number are paired fully; larger classes are linked through representatives.
@@ -85,7 +86,7 @@ def look_alike_pairs(records: DataFrame, id_col: str = "record_id", text_col: st
     with `look_alike_classes` no link is lost and the number of rows stays linear. Null and blank texts, and equal
     texts, are no pairs; an empty table has none; other columns, whatever their names, are ignored.
     """
-    keys = form_keys(records, id_col, text_col)
+    keys = checkpoint(form_keys(records, id_col, text_col))
     texts = keys.groupBy("fold_key", "form_key", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("least"))
     first = F.struct("least", "text_key")
     classes = (
