@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship, table
 from . import encoding, leaks, lookalike, mixing, overlap, pieces, quality, windows
@@ -60,6 +61,11 @@ def p4_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "mcq_example"))
 
 
+def p4_regions(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "mcq_example"), edits=2)
+    return found.where("matched >= 10").groupBy("doc_id", "item_id", "passage").agg(F.max("matched").alias("matched"), F.min("edits").alias("edits"), F.max("run").alias("run"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.over_limit(table(spark, d, "raw_record"), table(spark, d, "data_source"))
 
@@ -95,7 +101,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_forms, p1_classes, p2_found, p2_report, p3_found, p3_windows, p3_unused, p4_found, p4_items, p5_found, p5_pieces, p6_ids,
+        p1_found, p1_forms, p1_classes, p2_found, p2_report, p3_found, p3_windows, p3_unused, p4_found, p4_items, p4_regions, p5_found, p5_pieces, p6_ids,
         p7_documents, p7_slots, p7_shares, p8_found, p8_statistics,
     )
 }
