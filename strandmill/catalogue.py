@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import arrays, schedule
+from .functions import arrays, schedule, tokenizers
 from .functions import text as tx
 from .functions import tokens as tk
 from .operators import documents as dc
@@ -477,6 +477,18 @@ def extract_docs_budget(spark, d):
     return packing.within_budget(segments, 200_000, "n_bytes", "segment")
 
 
+@query(
+    f"""{_BLANK}, t AS (SELECT segment, count(*) AS n_lines, CAST(sum(bytes) AS BIGINT) AS n_bytes FROM g GROUP BY segment),
+      u AS (SELECT *, sum(n_bytes) OVER (ORDER BY segment ROWS UNBOUNDED PRECEDING) AS upto FROM t), k AS (SELECT * FROM u WHERE upto - n_bytes < 200000)
+      SELECT count(*) AS n_docs, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, CAST(sum(n_bytes) // 4 AS BIGINT) AS est_tokens,
+        round(greatest(0, sum(n_bytes) - 200000) * 100 / 200000, 6) AS overage_percent FROM k"""
+)
+def extract_stats(spark, d):
+    rows = dc.segment_lines(_lines(spark, d), tx.boundary(F.col("line"), "blank_line"), "line_no")
+    kept = packing.within_budget(_per_segment(rows), 200_000, "n_bytes", "segment")
+    return packing.subset_statistics(kept, 200_000).withColumn("overage_percent", F.round("overage_percent", 6))
+
+
 @query(f"WITH {_LINES}, u AS (SELECT *, sum(bytes) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS upto FROM l) SELECT line_no, bytes FROM u WHERE upto - bytes < 200000")
 def extract_lines_budget(spark, d):
     return packing.within_budget(_lines(spark, d), 200_000, "bytes", "line_no").select("line_no", "bytes")
@@ -699,6 +711,16 @@ def effective_batch(spark, d):
     return table(spark, d, "experiment_config").select("experiment", (F.col("max_length").cast("bigint") * schedule.effective_batch(16, 10)).alias("tokens_per_step"))
 
 
+@query(
+    """SELECT experiment, CASE WHEN tokenizer_backend = 'gpt2_bpe' THEN CASE WHEN vocab_size < 10000 THEN 'hf_bpe' ELSE 'bpe' END WHEN tokenizer_backend = 'unigram' THEN 'unigram' ELSE 'char' END AS tokenizer,
+      CASE WHEN tokenizer_backend IN ('gpt2_bpe', 'unigram') THEN NULL ELSE tokenizer_mode END AS mode FROM experiment_config"""
+)
+def tok_configured(spark, d):
+    rows = table(spark, d, "experiment_config").select("experiment", "tokenizer_backend", "tokenizer_mode", "vocab_size").limit(10_000).collect()
+    out = [(r[0], *(lambda name, s: (name, s.get("mode")))(*tokenizers.resolve("char", r[1], r[2], r[3]))) for r in rows]
+    return spark.createDataFrame(out, "experiment string, tokenizer string, mode string")
+
+
 # ---------------------------------------------------------------- checkpoints (labels of embeddings as checkpoints)
 
 _WEIGHTS = """ls AS (SELECT label, avg(abs(list_sum(embedding)))::DOUBLE AS loss FROM embeddings GROUP BY label),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ordinal import id_block, md5_block, md5_key, scan
-from ..session import small
+from ..session import checkpoint, small
 
 
 def normalized_ratios(ratios: dict[str, float]) -> dict[str, float]:
@@ -163,27 +163,51 @@ def by_domain(rows: DataFrame, order: str) -> DataFrame:
     return rows.join(small(ranks), F.col("source") == F.col("_s")).drop("_s").withColumn("stage", F.concat(F.lit("stage"), F.col("stage_ord"), F.lit("_"), F.col("source")))
 
 
+def reweighted(rows: DataFrame, weights: dict[str, float], order: str, seed: int = 42) -> DataFrame:
+    """As many rows as there are, drawn by source weights; sources in the order in which they first appear, then draws."""
+    wanted = targets(rows, weights, total_docs=rows.count())
+    first = rows.groupBy("source").agg(F.min(order).alias("_first"))
+    ranks = scan(first, [], F.lit(0), ["_first", "source"], "_so").select(F.col("source").alias("_s"), "_so")
+    drawn = sample(rows, wanted, seed).join(small(ranks), F.col("source") == F.col("_s"))
+    out = scan(drawn, [], F.struct("_so", id_block("draw", 65536).alias("b")), ["_so", "draw"], order)
+    return out.withColumn(order, F.col(order) - 1).select("source", "doc_ord", "n_tokens", order)
+
+
 def by_rules(rows: DataFrame, stages: list[dict], order: str) -> DataFrame:
     """Stages that may overlap: name, least and greatest length (0 or None: any), sources, then a part of the first.
 
-    `fraction` counts `int(all documents * fraction)`; without it `num_docs` is the limit; without both all match.
+    `source_weights` draws a stage's documents anew by source. `fraction` counts `int(all documents * fraction)`;
+    without it (or 0) `num_docs` is the limit; without both all match. Gives `stage_ord`, `stage`, `source`, `doc_ord`,
+    `n_tokens` and `order`.
     """
     table = [
-        (i, s["name"], s.get("min_length") or None, s.get("max_length") or None, s.get("sources"), s.get("fraction"), s.get("num_docs"))
+        (i, s["name"], s.get("min_length") or None, s.get("max_length") or None, s.get("sources") or None, s.get("fraction") or None, s.get("num_docs") or None)
         for i, s in enumerate(stages)
     ]
     kinds = "stage_ord bigint, stage string, _min bigint, _max bigint, _sources array<string>, _fraction double, _docs bigint"
     each = F.broadcast(rows.sparkSession.createDataFrame(table, kinds))
-    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_all")))
     fits = (
         (F.col("_min").isNull() | (F.col("n_tokens") >= F.col("_min")))
         & (F.col("_max").isNull() | (F.col("n_tokens") <= F.col("_max")))
         & (F.col("_sources").isNull() | F.array_contains(F.col("_sources"), F.col("source")))
     )
-    matched = rows.join(each, fits)
-    ranked = scan(matched, ["stage_ord"], id_block(order, 65536), [order], "_rank").join(total)
+    columns = ["stage_ord", "source", "doc_ord", "n_tokens", order]
+    named = [c for c in dict.fromkeys(["source", "doc_ord", "n_tokens", order])]
+    matched = rows.select(*named).join(each, fits).select(*dict.fromkeys(columns))
+    weighted = [i for i, s in enumerate(stages) if s.get("source_weights")]
+    picked = matched.where(~F.col("stage_ord").isin(weighted)) if weighted else matched
+    for i in weighted:
+        mine = checkpoint(matched.where(F.col("stage_ord") == i).drop("stage_ord"))
+        again = reweighted(mine.withColumn("_at", F.col(order)), stages[i]["source_weights"], "_at")
+        again = again.withColumn("stage_ord", F.lit(i).cast("bigint"))
+        if order != "doc_ord":
+            again = again.withColumn(order, F.col("_at"))
+        picked = picked.unionByName(again.select(*dict.fromkeys(columns)))
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_all")))
+    caps = F.broadcast(rows.sparkSession.createDataFrame(table, kinds).select("stage_ord", "stage", "_fraction", "_docs"))
+    ranked = scan(picked, ["stage_ord"], id_block(order, 65536), [order], "_rank").join(total).join(caps, "stage_ord")
     cap = F.when(F.col("_fraction").isNotNull(), F.floor(F.col("_all") * F.col("_fraction"))).otherwise(F.col("_docs"))
-    return ranked.where(cap.isNull() | (F.col("_rank") <= cap)).drop("_min", "_max", "_sources", "_fraction", "_docs", "_rank", "_all")
+    return ranked.where(cap.isNull() | (F.col("_rank") <= cap)).select("stage_ord", "stage", *named)
 
 
 def curriculum_outputs(staged: DataFrame, mode: str) -> DataFrame:

@@ -154,3 +154,12 @@ def corpus_prefix(rows: DataFrame, characters: int, order: list[str]) -> DataFra
     return at.withColumn("text", F.substring("text", F.lit(1), F.least(F.col("_n"), F.lit(characters) - (F.col("_upto") - F.col("_n"))).cast("int"))).drop("_r", "_upto", "_n")
 
 
+
+
+def subset_statistics(rows: DataFrame, budget: int, cost: str = "n_bytes", lines: str | None = "n_lines") -> DataFrame:
+    """Documents, lines, bytes, tokens at four bytes each, and how far the budget was exceeded (percent)."""
+    used = F.coalesce(F.sum(cost), F.lit(0))
+    n_lines = F.coalesce(F.sum(lines), F.lit(0)) if lines else F.lit(0).cast("bigint")
+    out = rows.agg(F.count(F.lit(1)).alias("n_docs"), n_lines.alias("n_lines"), used.alias("n_bytes"))
+    over = F.greatest(F.lit(0), F.col("n_bytes") - budget) * 100.0 / budget
+    return out.withColumns({"est_tokens": F.floor(F.col("n_bytes") / 4), "overage_percent": over})

@@ -12,58 +12,25 @@ from pyspark.sql import functions as F
 
 from .. import config as cf
 from ..functions import text as tx
+from ..functions import tokenizers
 from ..functions import tokens as tk
 from ..operators import documents as dc
 from ..operators import mixing, packing
 from ..session import checkpoint, checkpoint_dir
 from ..sources import npy, readers
+from . import diagnostics
 
 
 def encoder(settings: SimpleNamespace):
-    """The column function of a config's tokenizer.
-
-    Character modes and raw bytes are built in. Vocabularies of other kinds are applied, never trained: `model_path`
-    names a file for the tokenizers library ("bpe", "hf_bpe") or for sentencepiece ("unigram").
-    """
-    kind = settings.type
-    if kind == "utf8":
-        return lambda c: tk.encode(c, "utf8")
-    if kind == "char":
-        return lambda c: tk.encode(c, "codepoint", settings.vocab_size)
-    if kind not in ("bpe", "hf_bpe", "unigram"):
-        raise cf.ConfigError(f"unknown tokenizer {kind!r}")
-    if not settings.model_path:
-        raise cf.ConfigError(f"tokenizer {kind!r} needs a model_path")
-    return library_encoder(kind, settings.model_path)
-
-
-_LOADED: dict = {}
-
-
-def library_encoder(kind: str, path: str):
-    """Token ids by a vocabulary file; the worker keeps the loaded model."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pa.Array) -> pa.Array:
-        if (kind, path) not in _LOADED:
-            if kind == "unigram":
-                import sentencepiece
-
-                model = sentencepiece.SentencePieceProcessor(model_file=path)
-                _LOADED[kind, path] = lambda listed: model.encode(listed, num_threads=1)
-            else:
-                from tokenizers import Tokenizer
-
-                model = Tokenizer.from_file(path)
-                model.encode_special_tokens = True
-                _LOADED[kind, path] = lambda listed: [e.ids for e in model.encode_batch(listed, add_special_tokens=False)]
-        listed = texts.to_pylist()
-        found = _LOADED[kind, path]([t or "" for t in listed])
-        return pa.array([None if t is None else ids for t, ids in zip(listed, found)], pa.list_(pa.int32()))
-
-    return encode
+    """The column function of a config's tokenizer; vocabularies of libraries need a `model_path`."""
+    try:
+        if settings.type == "char":
+            return tokenizers.create("char", mode="codepoint", vocab_size=settings.vocab_size).encode
+        if settings.type == "utf8":
+            return tokenizers.create("utf8").encode
+        return tokenizers.create(settings.type, path=settings.model_path).encode
+    except ValueError as e:
+        raise cf.ConfigError(str(e)) from e
 
 
 def read_source(spark: SparkSession, source: SimpleNamespace, ordinal: int, encode, resolve=None) -> DataFrame:
@@ -154,12 +121,15 @@ def run(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
     cf.check(config)
     out = config.output
     os.makedirs(out.dir, exist_ok=True)
+    diagnostics.emit(out.dir, out.prefix, "start", datasets=len(config.datasets))
     made = plan(spark, config, cache, resolve)
+    diagnostics.emit(out.dir, out.prefix, "selected")
     sharded = packing.assign_shards(made.selected, out.shard_size_tokens, "write_ord", "output", out.eos_token_id)
     rows = sharded.join(made.documents.select("source", "doc_ord", "tokens"), ["source", "doc_ord"])
     rows = rows.withColumn("tokens", tk.append_eos(F.col("tokens"), out.eos_token_id))
     name = ["output", "shard"] if out.shard_size_tokens else ["output"]
     files = sorted((r["file"], r["n_tokens"]) for r in npy.write_npy(rows, out.dir, name, ["write_ord"], out.prefix).collect())
+    diagnostics.emit(out.dir, out.prefix, "written", files=len(files), tokens=sum(n for _, n in files))
     stats: dict = {}
     for r in packing.statistics(made.selected, ("output", "source")).collect():
         stats.setdefault(r["output"], {"sources": {}})["sources"][r["source"]] = {k: r[k] for k in ("num_docs", "total_tokens", "mean_len", "median_len", "min_len", "max_len")}

@@ -168,3 +168,12 @@ def test_checkpoint_average(spark):
     assert abs(sum(w.values()) - 1) < 1e-12 and w["a"] == w["b"] > w["c"]
     values = spark.createDataFrame([("a", "p", [0.0, 2.0]), ("b", "p", [2.0, 4.0]), ("c", "p", [1.0, 3.0])], "checkpoint string, param string, values array<double>")
     assert [round(r["value"], 9) for r in ev.average_checkpoints(values, weights).orderBy("pos").collect()] == [1.0, 3.0]
+
+
+def test_weighted_stages(spark):
+    df = narrow(spark, {"a": 30, "b": 30}).withColumn("mix_ord", F.col("doc_ord") * 2 + F.when(F.col("source") == "b", 0).otherwise(1))
+    stages = [{"name": "x", "source_weights": {"a": 3.0, "b": 1.0}}, {"name": "y", "num_docs": 5}, {"name": "z", "fraction": 0.0, "sources": ["a"]}]
+    rows = mixing.by_rules(df, stages, "mix_ord").collect()
+    x = sorted((r["mix_ord"], r["source"]) for r in rows if r["stage"] == "x")
+    assert [s for _, s in x] == ["b"] * 15 + ["a"] * 45 and [m for m, _ in x] == list(range(60))
+    assert [len([r for r in rows if r["stage"] == s]) for s in "yz"] == [5, 30]

@@ -74,3 +74,33 @@ def test_fit_window_against_plain_code(spark):
 def test_eos_and_truncation(spark):
     df = spark.createDataFrame([([1, 2, 3],)], "a array<int>")
     assert df.select(tk.append_eos(F.col("a"), 9), tk.append_eos(F.col("a"), -1), tk.truncate(F.col("a"), 2), tk.truncate(F.col("a"), 0)).first()[:] == ([1, 2, 3, 9], [1, 2, 3], [1, 2], [1, 2, 3])
+
+
+def test_registry(spark, tmp_path):
+    from strandmill.functions import tokenizers as tz
+
+    assert tz.names() == ["bpe", "char", "hf_bpe", "unigram", "utf8"]
+    with pytest.raises(ValueError, match="registered"):
+        tz.register("char", tz.character)
+    for make in (lambda: tz.create("nothing"), lambda: tz.create("bpe"), lambda: tz.create("char", mode="utf8", vocab_size=5)):
+        with pytest.raises(ValueError):
+            make()
+    assert tz.resolve("char", "gpt2_bpe", None, 512) == ("hf_bpe", {})
+    assert tz.resolve("char", None, "codepoint", None) == ("char", {"mode": "codepoint", "vocab_size": 256})
+    assert tz.configured("char", mode="utf16").name == "char_utf16"
+
+
+@pytest.mark.parametrize(("kind", "file"), [("bpe", "byte_bpe_50k.tiktoken"), ("hf_bpe", "byte_bpe_50k.json"), ("unigram", "piece_bpe_32k.model")])
+def test_library_vocabularies(spark, kind, file):
+    import os
+
+    from strandmill.functions import tokenizers as tz
+
+    path = f"/opt/tokenizers/{file}"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary files")
+    t = tz.create(kind, path=path)
+    df = spark.createDataFrame([(0, "hello world, naïve"), (1, ""), (2, None)], "i int, t string")
+    rows = df.select("i", t.encode(F.col("t")).alias("ids"), t.decode(t.encode(F.col("t"))).alias("back")).orderBy("i").collect()
+    assert rows[0]["back"] == "hello world, naïve" and len(rows[0]["ids"]) > 3
+    assert rows[1]["ids"] == [] and rows[2]["ids"] is None
