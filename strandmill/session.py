@@ -61,6 +61,15 @@ def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan (no shuffle before) for costly work per row: dealt out anew if it has fewer tasks than there are cores.
+
+    A small file or one row group is one task, however long its rows take; large inputs have tasks enough and stay.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors on other machines this package (once per application)."""
     sc = spark.sparkContext
