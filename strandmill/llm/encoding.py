@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 # Fixed value: the word pattern that belongs to the public byte-level vocabularies.
@@ -224,8 +226,8 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: `doc_id`, `ids` (array of int) without special tokens.
 
     Null and empty texts have the empty list; blank texts have the ids of their white space; special tokens'
-    strings are ordinary text. Rows keep their order within a partition and are not shuffled. Repeated rows
-    come out as often as they come in; other columns, whatever their names, are ignored.
+    strings are ordinary text. Repeated rows come out as often as they come in; other columns, whatever their names,
+    are ignored. Only a scan of fewer tasks than cores is shuffled.
     """
     shared = load(documents.sparkSession, vocabulary, folder)
     name = f"{folder}/{vocabulary}"
@@ -239,7 +241,8 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def token_counts(documents: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = BYTE_BPE_50K, folder: str = TOKENIZERS) -> DataFrame:
@@ -257,4 +260,4 @@ def token_counts(documents: DataFrame, keep: list[str], text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(offsets))], [*keep, "n_tokens"])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens bigint"])
-    return documents.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return spread(documents.select(*keep, F.col(text_col).cast("string").alias("_text"))).mapInArrow(run, schema)

@@ -4,7 +4,7 @@ Q-gram lemma filtering. The passages (question and choices of each item, as fold
 are indexed by character q-grams in blocks of bounded size, and each block is broadcast. Documents stream past: their
 q-grams are hashed array-wise, matches are counted in diagonal bands of (document, passage), bands that can't hold
 enough shared q-grams for a passage of the least length within the edit budget are dropped, and what remains is verified
-by banded alignment of words. Documents are never shuffled.
+by banded alignment of words. Documents are not shuffled (but for a scan of fewer tasks than cores).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import folding
 
 Q = 12
@@ -207,7 +208,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
     known = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "prompt", "choices")
     size = known.agg(F.sum(F.coalesce(F.length("prompt"), F.lit(0)) + F.coalesce(F.length(F.array_join("choices", " ")), F.lit(0)))).first()[0] or 0
     n_blocks = max(1, -(-int(size) // block_chars))
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     out = None
     for k in range(n_blocks):
         part = known if n_blocks == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)

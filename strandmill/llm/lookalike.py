@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from . import folding
 
 #: Members of a class up to this number are paired fully; larger classes are linked through representatives.
@@ -49,7 +49,7 @@ def _forms(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordB
 
 def canonical_forms(records: DataFrame, id_col: str = "record_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `record_id`, `form` (canonical) and `folded` (its full case folding); null stays null."""
-    return records.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return spread(records.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(
         lambda it: _forms(it, True), "record_id bigint, form string, folded string"
     )
 
@@ -60,7 +60,7 @@ def form_keys(records: DataFrame, id_col: str = "record_id", text_col: str = "te
     A record delivered again with the same text counts once. A null id is kept as a record of its own kind but
     can be in no pair.
     """
-    keys = records.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    keys = spread(records.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(
         lambda it: _forms(it, False), "record_id bigint, fold_key binary, form_key binary, text_key binary"
     )
     return keys.where("form_key is not null and record_id is not null").distinct()

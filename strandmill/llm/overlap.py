@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, small
+from ..session import checkpoint, small, spread
 from . import folding
 
 SEED = 3
@@ -342,7 +342,7 @@ def overlapping_texts(records: DataFrame, train: str = "train", evaluation: tupl
     """
     rows = records.where("record_id is not null and text is not null").select(F.col("record_id").cast("bigint").alias("record_id"), F.col("text").cast("string").alias("text"), "split")
     sides = {False: rows.where(F.col("split") == train).select("record_id", "text"), True: rows.where(F.col("split").isin(*evaluation)).select("record_id", "text")}
-    routed = {s: sides[s].mapInArrow(lambda it, s=s: _route(it, not s), "key bigint, record_id bigint, first bigint, second bigint") for s in sides}
+    routed = {s: spread(sides[s]).mapInArrow(lambda it, s=s: _route(it, not s), "key bigint, record_id bigint, first bigint, second bigint") for s in sides}
     t, e = routed[False].alias("t"), routed[True].alias("e")
     n_t, n_e = (F.shiftrightunsigned(F.col(f"{x}.first"), 52) for x in "te")
     rest_t, rest_e = (F.col(f"{x}.first").bitwiseAND((1 << 52) - 1) for x in "te")
@@ -390,7 +390,7 @@ def overlaps(records: DataFrame, train: str = "train", evaluation: tuple[str, ..
     found = overlapping_texts(records, train, evaluation).select("train_id", "eval_id")
     rows = records.where("record_id is not null and text is not null").where(F.col("split").isin(train, *evaluation))
     classes = rows.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("text").cast("string").alias("text"), "split")
-    keyed = classes.select("record_id", "text", F.col("split").isin(*evaluation).alias("side")).mapInArrow(_keyed, "record_id bigint, side boolean, class binary")
+    keyed = spread(classes.select("record_id", "text", F.col("split").isin(*evaluation).alias("side"))).mapInArrow(_keyed, "record_id bigint, side boolean, class binary")
     members = checkpoint(keyed.where("class is not null").distinct())
     found = checkpoint(found)
     left = members.where("not side").select(F.col("record_id").alias("train_id"), F.col("class").alias("train_class"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from . import folding
 
 #: Statistics with a sketch, and the tail that is suspicious: -1 low, 1 high, 0 both.
@@ -160,7 +160,8 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
                 found = [statistics(t, common) if t and t.strip() else nothing for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found), kinds))], ["doc_id", *names])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, " + _KINDS)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id bigint, " + _KINDS)
 
 
 def distributions(stats: DataFrame) -> DataFrame:
