@@ -14,7 +14,8 @@ from .operators import documents as dc
 from .operators import evaluation as ev
 from .operators import lint, mixing, packing, sampling
 from .ordinal import id_block, scan
-from .session import checkpoint, ship, table
+from .session import checkpoint, ship, spread, table
+from .streaming import tail
 
 SEED = 42
 RATIOS = {"webmirror": 2.0, "crawl_edu": 1.0, "run_notes": 1.0, "fr_presse": 0.5}
@@ -51,12 +52,16 @@ _SPLIT = f"""{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER
     WHEN i < floor(c * (0.8::DOUBLE + 0.1::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM r)"""
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 def _usable(spark: SparkSession, d: str) -> DataFrame:
-    return dc.usable(table(spark, d, "documents"))
+    return dc.usable(_documents(spark, d))
 
 
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
-    return dc.prepared(table(spark, d, "documents"), normalize=False)
+    return dc.prepared(_documents(spark, d), normalize=False)
 
 
 def _narrow(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +86,7 @@ def prep_stats_by_split_source(spark, d):
 
 @query()
 def prep_stats_normalized(spark, d):
-    rows = checkpoint(dc.prepared(table(spark, d, "documents")))
+    rows = checkpoint(dc.prepared(_documents(spark, d)))
     return packing.statistics(mixing.split_stratified(rows, SEED, 0.8, 0.1)).withColumn("mean_len", F.round("mean_len", 6))
 
 
@@ -92,17 +97,17 @@ def prep_documents(spark, d):
 
 @query(f"SELECT doc_id, CAST(length({_CLEAN}) AS BIGINT) AS n_chars_clean FROM documents WHERE text IS NOT NULL")
 def text_strip_controls(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.char_length(tx.strip_controls(F.col("text"))).cast("bigint").alias("n_chars_clean"))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.char_length(tx.strip_controls(F.col("text"))).cast("bigint").alias("n_chars_clean"))
 
 
 @query()
 def text_normalized(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.normalize(F.col("text")).alias("text"))
+    return _documents(spark, d).select("doc_id", tx.normalize(F.col("text")).alias("text"))
 
 
 @query()
 def text_clean_wikitext(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", tx.clean_wikitext(F.col("text")).alias("text"))
+    return _documents(spark, d).where("text is not null").select("doc_id", tx.clean_wikitext(F.col("text")).alias("text"))
 
 
 # ---------------------------------------------------------------- tokenizers
@@ -114,7 +119,7 @@ _SUMMARY = """SELECT doc_id, len(l)::BIGINT AS n, list_sum(l)::BIGINT AS total,
 
 
 def _summary(spark, d, mode, vocab_size=None):
-    rows = table(spark, d, "documents").where("text is not null and text != ''").select("doc_id", tk.encode(F.col("text"), mode, vocab_size).alias("l"))
+    rows = _documents(spark, d).where("text is not null and text != ''").select("doc_id", tk.encode(F.col("text"), mode, vocab_size).alias("l"))
     return rows.where(F.size("l") > 0).select("doc_id", *tk.summary(F.col("l")))
 
 
@@ -152,13 +157,13 @@ def tok_utf8(spark, d):
       list_sum(list_transform(l, lambda x: CASE WHEN x < 65536 THEN 1 ELSE 2 END))::BIGINT AS n_utf16, len(l)::BIGINT AS n_utf32 FROM c"""
 )
 def tok_counts_by_mode(spark, d):
-    rows = table(spark, d, "documents").where("text is not null and text != ''")
+    rows = _documents(spark, d).where("text is not null and text != ''")
     return rows.select("doc_id", *[tk.count_tokens(F.col("text"), m).alias(f"n_{m}") for m in tk.MODES])
 
 
 @query("SELECT count(*) AS n_texts, CAST(0 AS BIGINT) AS changed FROM documents WHERE text IS NOT NULL")
 def tok_roundtrip(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").select("text", *[tk.decode(tk.encode(F.col("text"), m), m).alias(m) for m in ("utf8", "utf16", "utf32")])
+    rows = _documents(spark, d).where("text is not null").select("text", *[tk.decode(tk.encode(F.col("text"), m), m).alias(m) for m in ("utf8", "utf16", "utf32")])
     changed = F.when((F.col("utf8") != F.col("text")) | (F.col("utf16") != F.col("text")) | (F.col("utf32") != F.col("text")), 1).otherwise(0)
     return rows.agg(F.count(F.lit(1)).alias("n_texts"), F.sum(changed).cast("bigint").alias("changed"))
 
@@ -169,7 +174,7 @@ def tok_roundtrip(spark, d):
       SELECT ch AS num_chars, n AS num_tokens, u AS unique_tokens, round(ch / n, 9) AS chars_per_token, round(u / n, 9) AS unique_ratio FROM a, b"""
 )
 def tok_benchmark(spark, d):
-    rows = table(spark, d, "documents").where("text is not null and text != ''").select("doc_id", "text")
+    rows = _documents(spark, d).where("text is not null and text != ''").select("doc_id", "text")
     out = lint.tokenizer_metrics(dc.tokenize(rows, "utf32"), rows)
     return out.withColumns({c: F.round(c, 9) for c in ("chars_per_token", "unique_ratio")})
 
@@ -179,13 +184,13 @@ def tok_benchmark(spark, d):
       SELECT doc_id, CAST(n - u AS BIGINT) AS n_tokens FROM c WHERE u / n::DOUBLE <= 0.02 AND n > u"""
 )
 def unk_filter(spark, d):
-    rows = dc.tokenize(table(spark, d, "documents").where("text is not null and text != ''").select("doc_id", "text"), "utf32")
+    rows = dc.tokenize(_documents(spark, d).where("text is not null and text != ''").select("doc_id", "text"), "utf32")
     return dc.unknown_filter(rows, unk_id=10).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
 @query("SELECT doc_id, CAST(least(500, length(text)) AS BIGINT) AS n_tokens FROM documents WHERE length(text) >= 100")
 def length_filter(spark, d):
-    rows = dc.tokenize(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "utf32")
+    rows = dc.tokenize(_documents(spark, d).where("text is not null").select("doc_id", "text"), "utf32")
     return dc.length_filter(rows, 100, 500).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
@@ -630,6 +635,19 @@ def mean_over_ranks(spark, d):
     return ev.mean_over_ranks(table(spark, d, "events"), ["event_type"], "value").withColumn("mean_value", F.round("mean_value", 6))
 
 
+@query(
+    """SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(avg(value), 6) AS mean_value, round(max(value), 6) AS max_value
+      FROM events GROUP BY 1, 2"""
+)
+def stream_event_windows(spark, d):
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = events.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("phase"), "value", F.col("value").alias("rss_mb"))
+    out = tail.drain(tail.windowed(events, window="6 hours"))
+    return out.select(
+        F.col("phase").alias("event_type"), F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean_value", 6).alias("mean_value"), F.round("max_rss_mb", 6).alias("max_value")
+    )
+
+
 # ---------------------------------------------------------------- sampling filters (embeddings as logits)
 
 _LOGITS = "l AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS token, unnest(embedding)::DOUBLE AS logit FROM embeddings)"

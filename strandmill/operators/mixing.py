@@ -74,6 +74,12 @@ def shuffled(documents: DataFrame, seed: int) -> DataFrame:
     return out.withColumn("place", F.col("place") - 1).drop("_key")
 
 
+def counted(rows: DataFrame, first, stop, name: str, step: int = 65_536) -> DataFrame:
+    """A row for each number from `first` up to `stop`, in two steps, so that no array grows with the data."""
+    parts = rows.where(stop > first).withColumn("_part", F.explode(F.sequence(first, stop - 1, F.lit(step).cast("bigint"))))
+    return parts.withColumn(name, F.explode(F.sequence("_part", F.least(F.col("_part") + step, stop) - 1))).drop("_part")
+
+
 def sample(documents: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """Draws `target` documents of each source: `draw` from 0 with the columns of the document.
 
@@ -85,7 +91,7 @@ def sample(documents: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     down = ranked.where("target < _n and place < target").select("source", "doc_ord", "n_tokens", F.col("place").alias("draw"))
     whole = documents.select("source", "doc_ord", "n_tokens").join(plan, (F.col("source") == F.col("_s")) & (F.col("target") == F.col("_n")))
     same = scan(whole.drop("_s", "target", "_n"), ["source"], id_block("doc_ord", 4096), ["doc_ord"], "draw").withColumn("draw", F.col("draw") - 1)
-    draws = plan.where("target > _n").select("_s", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("target") - 1)).alias("draw"))
+    draws = counted(plan.where("target > _n"), F.lit(0).cast("bigint"), F.col("target"), "draw")
     key = F.conv(F.substring(md5_key(seed, F.col("_s"), F.col("draw")), 1, 8), 16, 10).cast("bigint")
     draws = draws.select(F.col("_s").alias("_d"), "draw", F.pmod(key, F.col("_n")).alias("_at"))
     up = draws.join(ranked.where("target > _n").select("source", "doc_ord", "n_tokens", "place"), (F.col("_d") == F.col("source")) & (F.col("_at") == F.col("place")))

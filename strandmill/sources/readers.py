@@ -121,15 +121,14 @@ def reader(name: str) -> Callable:
 
 # What a path is scored by when a data set is looked for, and folders that are not searched.
 SCORES = (
-    (r"/tinystories-gpt4-clean/train\.txt$", 100), ("tinystories-gpt4-clean", 20), ("/max_llm_cache/", 10), (r"\.txt$", 5), ("boundary", 3),
-    (r"\.arrow$", -10),
+    (r"/tinystories-gpt4-clean/train\.txt$", 100), ("tinystories-gpt4-clean", 20), (r"\.txt$", 5), ("boundary", 3), (r"\.arrow$", -10),
 )
 SUFFIXES = (".txt", ".json", ".jsonl", ".parquet", ".arrow", ".npy")
 SKIPPED = {".git", ".venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache"}
 
 
-def locate(spark: SparkSession, roots: list[str], max_depth: int, word: str = "tinystories") -> DataFrame:
-    """Files below the roots (to a depth) whose path has the word: `path`, `score`, best first."""
+def locate(spark: SparkSession, roots: list[str], max_depth: int, word: str = "tinystories", scores: tuple[tuple[str, int], ...] = SCORES) -> DataFrame:
+    """Files below the roots (to a depth) whose path has the word: `path`, `score`, best first; caches may get scores of their own."""
     found = []
     for root in roots:
         depth = len(os.path.abspath(root).split(os.sep))
@@ -139,7 +138,7 @@ def locate(spark: SparkSession, roots: list[str], max_depth: int, word: str = "t
             inner[:] = sorted(d for d in inner if d not in SKIPPED and not d.startswith("."))
             found += [(os.path.join(os.path.abspath(folder), n),) for n in names if n.lower().endswith(SUFFIXES)]
     rows = spark.createDataFrame(found, "path string").where(F.contains(F.lower("path"), F.lit(word)))
-    score = sum((F.when(F.lower("path").rlike(p), n).otherwise(0) for p, n in SCORES), F.lit(0))
+    score = sum((F.when(F.lower("path").rlike(p), n).otherwise(0) for p, n in scores), F.lit(0))
     return rows.withColumn("score", score).orderBy(F.desc("score"), "path")
 
 
