@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.mixing import counted as numbered
 from ..ordinal import id_block, scan
 from ..session import checkpoint, small
 from . import encoding
@@ -187,7 +188,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, block: int = B
     names = sorted({q.plan for q in plan})
     draws = [d for n in names for d in shard_draws([q for q in plan if q.plan == n], seed)]
     shard_table = spark.createDataFrame(draws, "plan_name string, source string, shard int, first bigint, n bigint, blocks bigint, key bigint")
-    slots = shard_table.select("plan_name", "source", "shard", "blocks", "key", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    slots = numbered(shard_table, F.col("first"), F.col("first") + F.col("n"), "slot").select("plan_name", "source", "shard", "blocks", "key", "slot")
     drawn = slots.mapInArrow(_blocks, "plan_name string, source string, shard int, slot bigint, block bigint")
     at = scan(counted, ["source"], id_block("doc_id", 4096), ["doc_id", "n_tokens"], running={"stop": "n_tokens"}).withColumn("start", F.col("stop") - F.col("n_tokens"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)
