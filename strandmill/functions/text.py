@@ -94,7 +94,7 @@ def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def clean_wikitext(text: Column) -> Column:
     """Tidies tokenised wiki text: @-marks, blank lines, headers, and spaces at punctuation, quotes, currency and dashes."""
-    text = _chain(text, [(" ?@-@ ?", "-"), (" ?@\\.@ ?", "."), ("@", ""), ("\n{3,}", "\n\n")])
+    text = _chain(text, [(" @-@ |@-@", "-"), (r" @\.@ |@\.@", "."), ("@", ""), ("\n{3,}", "\n\n")])
     text = F.array_join(F.transform(F.split(text, "\n"), _header), "\n")
     return _chain(
         text,
@@ -106,13 +106,13 @@ def clean_wikitext(text: Column) -> Column:
             (r"'[ \t]+(\d)", "'$1"),
             (r"(?U)\"[\s&&[^\n]]*([^\"\n]*?)[\s&&[^\n]]*\"", '"$1"'),
             (r"(?U)(^|[\s(\[{])\"[ \t]+", '$1"'),
-            (r"(?U)(\S)[ \t]+\"(?=$|[ \t]*[,.!?;:)\]}])", '$1"'),
+            (r"(?Ud)(\S)[ \t]+\"(?=$|[ \t]*[,.!?;:)\]}])", '$1"'),
             (r"(?U)(?<!\w)'[\s&&[^\n]]*([^'\n]*?)[\s&&[^\n]]*'(?!\w)", "'$1'"),
             (r"(?U)([$£€¥])\s+", "$1"),
             (r"[ \t]+([–—])[ \t]+", "$1"),
             (r"[ \t]{2,}", " "),
-            (r"(?m)^[ \t]+", ""),
-            (r"(?m)[ \t]+$", ""),
+            (r"(?md)^[ \t]+", ""),
+            (r"(?md)[ \t]+$", ""),
         ],
     )
 

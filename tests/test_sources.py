@@ -204,3 +204,25 @@ def test_streaming(spark, tmp_path):
         q.stop()
     assert sorted(r["n"] for r in spark.table("tail_w").collect()) == [1, 2]
     assert [r["n"] for r in spark.table("tail_s").collect()] == [3]
+
+
+def test_subset_chain(spark, tmp_path):
+    from strandmill.functions import tokenizers
+    from strandmill.plans import subsets
+
+    path = tmp_path / "w.txt"
+    path.write_text(" = One = \n\nfirst @-@ part\n = Two = \nsecond\n = Three = \nthird é")
+    lines = subsets.file_lines(spark, str(path)).orderBy("line_no").collect()
+    assert sum(r["n_bytes"] for r in lines) == path.stat().st_size and [r["line_no"] for r in lines] == list(range(7))
+    kept = subsets.extract_text(spark, str(path), "28", "wikitext").orderBy("line_no").collect()
+    assert [r["line"] for r in kept] == [" = One = ", "", "first @-@ part", " = Two = ", "second"]
+    assert subsets.extract_text(spark, str(path), "1", "wikitext").count() == 3
+    assert [r["line"] for r in subsets.extract_text(spark, str(path), "10").orderBy("line_no").collect()] == [" = One = "]
+    cleaned = {r["segment"]: r["text"] for r in subsets.clean_file(spark, str(path)).collect()}
+    assert cleaned[1] == "= One =\n\nfirst-part"
+    made = subsets.tokenize_file(spark, str(path), tokenizers.create("utf8"), str(tmp_path / "out"), "w_tokens").collect()
+    assert [tuple(r) for r in made] == [("w_tokens.npy", path.stat().st_size)]
+    assert bytes(np.load(tmp_path / "out" / "w_tokens.npy").astype(np.uint8)) == path.read_bytes()
+    short = subsets.extract_token_file(spark, str(tmp_path / "out" / "w_tokens.npy"), "10", str(tmp_path / "out"), "w_short").collect()
+    assert [r["n_tokens"] for r in short] == [10]
+    assert np.load(tmp_path / "out" / "w_short.npy").tolist() == list(path.read_bytes()[:10])

@@ -49,6 +49,7 @@ def test_boundary_pattern_wins_and_unknown_names_raise(spark):
 
 CLEANED = [
     ("a @-@ b 1 @.@ 5 @,@ c@d", "a-b 1.5, cd"),
+    ("a @-@b c@-@ d", "a -b c- d"),
     ("a\n\n\n\nb", "a\n\nb"),
     ("= = Career = =", "== Career =="),
     (" = Title = ", "= Title ="),
