@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,22 +37,32 @@ def _lists(values: np.ndarray, sizes: np.ndarray, missing: np.ndarray) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32, copy=False)), mask=mask)
 
 
-def _units(texts: pa.Array, encoding: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All units of an encoding, the number of each text, and which texts are null."""
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts one after another, the offsets of each, and which texts are null."""
     missing = np.asarray(texts.is_null())
-    listed = [t or "" for t in texts.to_pylist()]
-    parts = [t.encode(encoding, "surrogatepass") for t in listed]
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(parts), kind), np.fromiter(map(len, parts), np.int64, len(parts)) // width, missing
+    held = pc.fill_null(texts, "").cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    data = held.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0], missing
+
+
+def _units(texts: pa.Array, encoding: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All units of an encoding, the number of each text, and which texts are null: one conversion of the whole batch."""
+    whole, offsets, missing = _bytes(texts)
+    units = np.frombuffer(whole.tobytes().decode("utf-8", "replace").encode(encoding, "surrogatepass"), kind)
+    # A unit for each byte that starts a character, in UTF-16 two for characters of four bytes.
+    starts = ((whole & 0xC0) != 0x80).astype(np.int64)
+    if kind == "<u2":
+        starts += whole >= 0xF0
+    before = np.concatenate([[0], np.cumsum(starts)])
+    return units, np.diff(before[offsets]), missing
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _utf8(texts: pa.Array) -> pa.Array:
-    texts = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return _lists(whole[offsets[0] : offsets[-1]], np.diff(offsets), np.asarray(texts.is_null()))
+    whole, offsets, missing = _bytes(texts)
+    return _lists(whole, np.diff(offsets), missing)
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -105,23 +116,23 @@ def count_tokens(text: Column, mode: str = "utf8", vocab_size: int | None = None
 
 
 def _decoder(mode: str, size: int):
-    kinds = {"utf8": ("<u1", "utf-8"), "utf16": ("<u2", "utf-16-le")}
+    kind, encoding = {"utf8": ("<u1", "utf-8"), "utf16": ("<u2", "utf-16-le")}.get(mode, ("<u4", "utf-32-le"))
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
-        out = []
-        for row in ids.to_pylist():
-            if row is None:
-                out.append(None)
-                continue
-            values = np.array([x for x in row if x is not None and 0 <= x < size], np.int64)
-            if mode in kinds:
-                kind, encoding = kinds[mode]
-                out.append(values.astype(kind).tobytes().decode(encoding, "ignore"))
-            else:
-                values = values[(values <= 0x10FFFF) & ~((values >= 0xD800) & (values <= 0xDFFF))]
-                out.append(values.astype("<u4").tobytes().decode("utf-32-le", "ignore"))
-        return pa.array(out, pa.string())
+        lengths = pc.list_value_length(ids)
+        missing = np.asarray(lengths.is_null())
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False))])
+        values = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+        keep = (values >= 0) & (values < size)
+        if kind == "<u4":
+            keep &= (values <= 0x10FFFF) & ~((values >= 0xD800) & (values <= 0xDFFF))
+        if not keep.all():
+            ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+            values = values[keep]
+        raw, width = values.astype(kind).tobytes(), np.dtype(kind).itemsize
+        cut = (ends * width).tolist()
+        return pa.array([None if gone else raw[a:b].decode(encoding, "ignore") for gone, a, b in zip(missing.tolist(), cut, cut[1:])], pa.string())
 
     return decode
 

@@ -15,7 +15,7 @@ PACKAGE = Path(__file__).resolve().parent
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "strandmill") -> SparkSession:
     """A local session with the settings the tests and the benchmark use."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -27,6 +27,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,9 +73,9 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors on other machines this package (once per application)."""
+    """Give Python workers this package, wherever they run and whatever their path (once per application)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or getattr(sc, "_strandmill_shipped", False):
+    if getattr(sc, "_strandmill_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="strandmill-code-"), "strandmill.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
