@@ -45,7 +45,11 @@ def fill_shards(sizes: np.ndarray, size: int, filled: int = 0) -> tuple[np.ndarr
         if filled >= size:
             fit = at
         else:
-            fit = int(np.searchsorted(ends, ends[at] + (size - filled), side="right")) - 1
+            full = ends[at] + (size - filled)
+            fit = int(np.searchsorted(ends, full, side="right")) - 1
+            if ends[fit] == full:
+                # A full shard takes nothing more, not even documents without tokens.
+                fit = int(np.searchsorted(ends, full, side="left"))
         if fit > at:
             filled += int(ends[fit] - ends[at])
             at = fit

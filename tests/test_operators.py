@@ -99,7 +99,7 @@ def test_splits_are_partitions(spark, cut):
         assert (a.count("train"), a.count("val"), a.count("test")) == (int(100 * 0.29), int(100 * (0.29 + 0.5)) - int(100 * 0.29), 100 - int(100 * (0.29 + 0.5)))
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=1000, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=40), st.integers(1, 25), st.integers(0, 25))
 def test_shard_fold(sizes, size, filled):
     buf, shard, expected = filled, 0, []
