@@ -30,6 +30,8 @@ from . import folding
 SEED = 3
 #: Texts of this many words or more share many windows if they overlap, and their windows carry their place.
 LONG = 256
+#: A window that more than this share of training texts (and at least so many) emit is hot: others are taken instead.
+HOT_SHARE, HOT_LEAST = 0.001, 200
 #: Pairs in a shard of the index, and members of two classes up to which their copies are paired fully.
 SHARD_PAIRS = 20_000
 EXPAND = 10_000
@@ -70,14 +72,41 @@ def _window_hashes(flat: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def route_keys(flat: np.ndarray, weight: np.ndarray, n: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _avoid(i: np.ndarray, owner: np.ndarray, hashes: np.ndarray, hot: np.ndarray, start: np.ndarray, n: np.ndarray, parts: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen windows `i` (with their text `owner`, ascending) with those of texts that chose hot ones replaced.
+
+    Such a text takes windows among the words that no hot window covers, if these hold as many separate windows as it
+    needs: of the same length, else of 5 words (given apart). What it emits is still K + 1 windows without a common word,
+    so nothing is lost. Otherwise it keeps its choice.
+    """
+    out, fives, at = [], [], 0
+    for t in np.unique(owner[np.isin(hashes[i], hot) & (n[owner] < LONG)]):
+        a, m = int(start[t]), int(n[t])
+        first, last = np.searchsorted(owner, [t, t + 1])
+        heated = np.flatnonzero(np.isin(hashes[a : a + m - w + 1], hot))
+        covered = np.zeros(m + 1, np.int64)
+        np.add.at(covered, heated, 1)
+        np.add.at(covered, heated + w, -1)
+        edge = np.diff(np.concatenate([[0], (np.cumsum(covered)[:m] == 0).astype(np.int8), [0]]))
+        runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+        for size in (w, 5) if w == 7 else (w,):
+            free = [a + s + k * size for s, e in runs for k in range((e - s) // size)]
+            if len(free) >= parts[t]:
+                out.append(i[at:first])
+                (out if size == w else fives).append(np.array(free, np.int64))
+                at = last
+                break
+    return np.concatenate([*out, i[at:]]), np.concatenate([np.zeros(0, np.int64), *fives])
+
+
+def route_keys(flat: np.ndarray, weight: np.ndarray, n: np.ndarray, train: bool, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of texts, as (text number, key, place), such that overlapping train and evaluation texts share one.
 
     `flat` has the word hashes of all texts one after another, `weight` how telling each word is, `n` the number of
     words (at least 1). With K the largest edit budget that a training text can have with any partner, K + 1 windows of
     it that have no word in common can't all be hit by edits, so at least one stands unchanged in the partner. A
-    training text emits the most telling window of each of K + 1 parts, an evaluation text all windows of the lengths
-    that its partners may use. Texts of `LONG` words emit a window for each 7 words: n // 7 - K of them are unchanged.
+    training text emits the most telling window of each of K + 1 parts, or windows beside those in `hot` (keys that too
+    many texts emit); an evaluation text emits all windows of the lengths that its partners may use (of 5 words too if anything is hot). Texts of `LONG` words emit a window for each 7 words: n // 7 - K of them are unchanged.
     Texts of up to 9 words emit a key of the whole, as their budget is 0, except with one word more.
     """
     texts, keys, places = [], [], []
@@ -99,7 +128,7 @@ def route_keys(flat: np.ndarray, weight: np.ndarray, n: np.ndarray, train: bool)
         if train:
             chosen = (mine == w) & (n >= 9)
         else:
-            chosen = {4: n == 10, 5: (n >= 9) & (n <= 30), 7: n >= 19}[w]
+            chosen = {4: n == 10, 5: (n >= 9) & ((n <= 30) | bool(hot is not None and len(hot))), 7: n >= 19}[w]
         i = np.flatnonzero(chosen[of] & (at + w <= n[of]))
         if not len(i):
             continue
@@ -113,8 +142,15 @@ def route_keys(flat: np.ndarray, weight: np.ndarray, n: np.ndarray, train: bool)
             order = np.lexsort((i, -telling, part, r))
             i, r, part = i[order], r[order], part[order]
             i = i[np.concatenate([[True], (np.diff(r) != 0) | (np.diff(part) != 0)])]
+        hashes = _window_hashes(flat, w)
+        if train and hot is not None and len(hot):
+            i, fives = _avoid(i, of[i], hashes, hot, start, n, parts, w)
+            if len(fives):
+                texts.append(of[fives])
+                keys.append(_window_hashes(flat, 5)[fives])
+                places.append(at[fives])
         texts.append(of[i])
-        keys.append(_window_hashes(flat, w)[i])
+        keys.append(hashes[i])
         places.append(at[i])
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -157,7 +193,7 @@ def class_key(ws: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "replace"))
 
 
-def _route(batches: Iterator[pa.RecordBatch], train: bool) -> Iterator[pa.RecordBatch]:
+def _route(batches: Iterator[pa.RecordBatch], train: bool, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     words, seen = Words(), set()
     for batch in batches:
         for at in range(0, batch.num_rows, 4000):
@@ -173,7 +209,7 @@ def _route(batches: Iterator[pa.RecordBatch], train: bool) -> Iterator[pa.Record
             if not ids:
                 continue
             flat, weight, n = words(listed)
-            text, key, place = route_keys(flat, weight, n, train)
+            text, key, place = route_keys(flat, weight, n, train, hot)
             first, second = sketches(flat, n)
             first = first[text]
             # The places of long texts stand where others have parities, which tell nothing of long texts.
@@ -335,14 +371,21 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["train_id", "eval_id", "words", "covered", "matches", "edits"]).astype({"train_id": "int64", "eval_id": "int64"})
 
 
-def overlapping_texts(records: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:
+def overlapping_texts(records: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
     """Overlaps between distinct texts: `train_id`, `eval_id` (a record of each), `words` of the longer, `covered`, `matches`, `edits`.
 
     A class of equal texts may be represented by several of its records. Null texts and texts without words are in none.
     """
     rows = records.where("record_id is not null and text is not null").select(F.col("record_id").cast("bigint").alias("record_id"), F.col("text").cast("string").alias("text"), "split")
     sides = {False: rows.where(F.col("split") == train).select("record_id", "text"), True: rows.where(F.col("split").isin(*evaluation)).select("record_id", "text")}
-    routed = {s: spread(sides[s]).mapInArrow(lambda it, s=s: _route(it, not s), "key bigint, record_id bigint, first bigint, second bigint") for s in sides}
+    kinds = "key bigint, record_id bigint, first bigint, second bigint"
+    emitted = spread(sides[False]).mapInArrow(lambda it: _route(it, True), kinds).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    most = max(hot_least, int(hot_share * sides[False].count()))
+    # A text emits about a window for each nine words, so keys above a share of all texts are few whatever their number.
+    found = emitted.where(F.col("n") > most).select("key").limit(1_000_000).collect()
+    hot = np.array(sorted(r[0] for r in found), np.int64).view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+    routed = {s: spread(sides[s]).mapInArrow(lambda it, s=s: _route(it, not s, shared.value), kinds) for s in sides}
     t, e = routed[False].alias("t"), routed[True].alias("e")
     n_t, n_e = (F.shiftrightunsigned(F.col(f"{x}.first"), 52) for x in "te")
     rest_t, rest_e = (F.col(f"{x}.first").bitwiseAND((1 << 52) - 1) for x in "te")

@@ -63,10 +63,12 @@ def test_routes_meet():
             if not b or d > longer // 10:
                 continue
             hashed = overlap.Words()
+            plain = overlap.route_keys(*hashed([a]), True)[1]
+            hot = np.sort(np.array(rng.sample(plain.tolist(), min(2, len(plain))), np.uint64)) if n > 9 and rng.random() < 0.5 else None
             keys = []
             for side, ws in ((True, a), (False, b)):
                 flat, weight, count = hashed([ws])
-                text, key, place = overlap.route_keys(flat, weight, count, side)
+                text, key, place = overlap.route_keys(flat, weight, count, side, hot)
                 first, second = overlap.sketches(flat, count)
                 keys.append((set(key.tolist()), list(zip(key.tolist(), place.tolist())), int(first[0]), int(second[0])))
             shared = keys[0][0] & keys[1][0]
@@ -118,6 +120,25 @@ def test_pairs_and_report(spark):
     assert (hot["split"], hot["n_records"], hot["n_overlapping"], hot["share"]) == ("val", 10, 10, 1.0)
 
 
+def test_shared_passage(spark):
+    """Windows of a passage that all records share are left out where others do; the pairs stay the same."""
+    rng = random.Random(8)
+    passage, rows = [f"rights{i}" for i in range(25)], []
+    for i in range(60):
+        own = [f"word{rng.randrange(400)}" for _ in range(60)]
+        rows.append((2 * i, "s", "train", " ".join(passage + own)))
+        rows.append((2 * i + 1, "s", rng.choice(["val", "test"]), " ".join(edited(passage + own, rng.randrange(12), rng))))
+    df = spark.createDataFrame(rows, "record_id bigint, source string, split string, text string")
+    expected = {p for p in brute(df)}
+    found = overlap.overlapping_texts(df, hot_share=0.0, hot_least=5).collect()
+    assert {(min(r["train_id"], r["eval_id"]), max(r["train_id"], r["eval_id"])) for r in found} == expected and len(expected) > 20
+    hashed = overlap.Words()
+    flat, weight, n = hashed([folding.words(r[3]) for r in rows if r[2] == "train"])
+    keys, counts = np.unique(overlap.route_keys(flat, weight, n, True)[1], return_counts=True)
+    hot = keys[counts > 5]
+    assert len(hot) and not np.isin(overlap.route_keys(flat, weight, n, True, hot)[1], hot).any()
+
+
 def test_empty(spark):
     df = fixture(spark).limit(0)
     assert overlap.overlaps(df).count() == 0 and overlap.overlap_report(df).count() == 0
