@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, spread
-from . import folding
+from . import blocks, folding
 
-#: Members of a class up to this number are paired fully; larger classes are linked through representatives.
+#: Members of a class up to this number are paired by one join; larger classes in blocks of so many.
 EXPAND = 1000
 
 
@@ -81,19 +81,14 @@ def look_alike_classes(records: DataFrame, id_col: str = "record_id", text_col:
 def look_alike_pairs(records: DataFrame, id_col: str = "record_id", text_col: str = "text", expand: int = EXPAND) -> DataFrame:
     """Pairs (`record_id_1` < `record_id_2`) of records whose texts differ in characters but look the same.
 
-    In a class of up to `expand` records every such pair comes out. In a larger class each record is linked to the
-    least record of its class, or, having that record's very text, to the least record with another text: together
-    with `look_alike_classes` no link is lost and the number of rows stays linear. Null and blank texts, and equal
-    texts, are no pairs; an empty table has none; other columns, whatever their names, are ignored.
+    Every such pair comes out, whatever the size of its class. A class of up to `expand` records is paired by one join,
+    a larger one in blocks of so many records: copies of a text with more records have blocks of their own and aren't
+    compared with each other, the others share blocks. Null and blank texts, and equal texts, are no pairs; an empty
+    table has none; other columns, whatever their names, are ignored.
     """
     keys = checkpoint(form_keys(records, id_col, text_col))
     texts = keys.groupBy("fold_key", "form_key", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("least"))
-    first = F.struct("least", "text_key")
-    classes = (
-        texts.groupBy("fold_key", "form_key")
-        .agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_texts"), F.min(first).alias("a"))
-        .where("n_texts > 1")
-    )
+    classes = texts.groupBy("fold_key", "form_key").agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
     members = keys.join(classes, ["fold_key", "form_key"])
     small = members.where(F.col("n_records") <= expand).select("form_key", "fold_key", "text_key", "record_id")
     left, right = small.alias("l"), small.alias("r")
@@ -104,12 +99,18 @@ def look_alike_pairs(records: DataFrame, id_col: str = "record_id", text_col: st
         & (F.col("l.record_id") < F.col("r.record_id"))
         & (F.col("l.text_key") != F.col("r.text_key")),
     ).select(F.col("l.record_id").alias("record_id_1"), F.col("r.record_id").alias("record_id_2"))
-    large = members.where(F.col("n_records") > expand)
-    # The least record with another text than the class's least record: a second minimum, by pre-aggregated texts.
-    big = classes.where(F.col("n_records") > expand)
-    second = texts.join(big, ["fold_key", "form_key"]).where("text_key != a.text_key").groupBy("fold_key", "form_key").agg(F.min("least").alias("b"))
-    star = large.join(second, ["fold_key", "form_key"]).select(
-        "record_id", F.when(F.col("text_key") == F.col("a.text_key"), F.col("b")).otherwise(F.col("a.least")).alias("other")
-    )
-    star = star.where("record_id != other").select(F.least("record_id", "other").alias("record_id_1"), F.greatest("record_id", "other").alias("record_id_2"))
-    return full.unionByName(star).distinct()
+    # Blocks of larger classes: `own` is the text that has blocks of its own, or empty where texts share them.
+    key = ["fold_key", "form_key"]
+    sized = texts.join(classes.where(F.col("n_records") > expand), key).withColumn("own", F.when(F.col("n") > expand, F.col("text_key")).otherwise(F.lit(b"")))
+    parts = checkpoint(sized.groupBy(*key, "own").agg(F.ceil(F.sum("n") / expand).alias("parts")))
+    block = lambda own, part: F.struct(*key, F.col(own).alias("own"), F.col(part).cast("bigint").alias("part"))
+    placed = keys.join(sized.select(*key, "text_key", "own"), [*key, "text_key"]).join(parts, [*key, "own"])
+    rows = placed.withColumn("part", F.pmod(F.xxhash64("record_id"), "parts")).select(block("own", "part").alias("block"), "record_id", "text_key")
+    first, second = (parts.select(*key, F.col("own").alias(f"own_{i}"), F.col("parts").alias(f"parts_{i}")) for i in (1, 2))
+    pairs = first.join(second, key).where("own_1 < own_2 or own_1 = own_2 and own_1 = X''")
+    for i in (1, 2):
+        pairs = pairs.withColumn(f"part_{i}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"parts_{i}") - 1)))
+    pairs = pairs.where("own_1 < own_2 or part_1 <= part_2").select(block("own_1", "part_1").alias("block_1"), block("own_2", "part_2").alias("block_2"))
+    one, two = (rows.select(F.col("block").alias(f"block_{i}"), F.col("record_id").alias(f"id_{i}"), F.col("text_key").alias(f"text_{i}")) for i in (1, 2))
+    large = blocks.cross(pairs, one, two).where("text_1 != text_2 and id_1 != id_2 and (block_1 != block_2 or id_1 < id_2)")
+    return full.unionByName(large.select(F.least("id_1", "id_2").alias("record_id_1"), F.greatest("id_1", "id_2").alias("record_id_2"))).distinct()

@@ -60,6 +60,25 @@ def test_large_classes_keep_every_link(spark):
     assert linked == {1, 2, 3, 4}
 
 
+def test_large_classes_are_paired_in_full(spark):
+    """A class above the default bound (here 1,108 records) has every pair of different texts, at any size of blocks."""
+    kinds = [("abc x", 1001), ("ａbc x", 60), ("аbc x", 40), ("abc  x", 3), ("abc\u2003x", 7)]
+    texts = [t for t, n in kinds for _ in range(n)]
+    random.Random(3).shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "record_id bigint, text string")
+    expected = brute(df.collect())
+    assert len(expected) == 1001 * 107 + 60 * 47 + 40 * 7
+    for expand in (lookalike.EXPAND, 50, 500):
+        found = [tuple(r) for r in lookalike.look_alike_pairs(df, expand=expand).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_small_blocks_change_nothing(spark):
+    df = records(spark)
+    for expand in (1, 2, 3):
+        assert {tuple(r) for r in lookalike.look_alike_pairs(df, expand=expand).collect()} == brute(df.collect())
+
+
 def test_classes_and_forms(spark):
     df = records(spark)
     rows = {r["record_id"]: r for r in lookalike.look_alike_classes(df).collect()}
