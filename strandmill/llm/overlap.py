@@ -25,16 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, small, spread
-from . import folding
+from . import blocks, folding
 
 SEED = 3
 #: Texts of this many words or more share many windows if they overlap, and their windows carry their place.
 LONG = 256
 #: A window that more than this share of training texts (and at least so many) emit is hot: others are taken instead.
 HOT_SHARE, HOT_LEAST = 0.001, 200
-#: Pairs in a shard of the index, and members of two classes up to which their copies are paired fully.
+#: Pairs in a shard of the index, pairs of two classes up to which the report pairs their copies fully, copies in a block.
 SHARD_PAIRS = 20_000
 EXPAND = 10_000
+BLOCK = 1000
 
 
 def longest_partner(n: np.ndarray) -> np.ndarray:
@@ -423,12 +424,13 @@ def overlapping_texts(records: DataFrame, train: str = "train", evaluation: tupl
     return pair_rows.unionByName(text_rows).groupBy("shard").applyInPandas(_search, _PAIRS)
 
 
-def overlaps(records: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), expand: int = EXPAND) -> DataFrame:
+def overlaps(records: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), expand: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs of a train and an evaluation record that overlap: `train_id`, `eval_id`, each once.
 
-    Copies (equal words) of two overlapping texts are paired fully if there are at most `expand` pairs; otherwise each
-    copy is paired with the least record of the other text, so that no link is lost and rows stay linear. Null and
-    blank texts and records without an id are in no pair; a record delivered again counts once. Empty tables give none.
+    Copies (equal words) of two overlapping texts are paired fully; classes of more than `block` copies on a side in
+    blocks of so many. With `expand`, where two texts have more than so many pairs, each copy is paired with the least
+    record of the other text only: not all pairs, but every record that is in one. Null and blank texts and records
+    without an id are in no pair; a record delivered again counts once. Empty tables give none.
     """
     found = overlapping_texts(records, train, evaluation).select("train_id", "eval_id")
     rows = records.where("record_id is not null and text is not null").where(F.col("split").isin(train, *evaluation))
@@ -442,14 +444,26 @@ def overlaps(records: DataFrame, train: str = "train", evaluation: tuple[str, ..
     sizes = members.groupBy("class", "side").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("least"))
     st = sizes.where("not side").select(F.col("class").alias("train_class"), F.col("n").alias("n_train"), F.col("least").alias("least_train"))
     se = sizes.where("side").select(F.col("class").alias("eval_class"), F.col("n").alias("n_eval"), F.col("least").alias("least_eval"))
-    sized = links.join(st, "train_class").join(se, "eval_class")
-    fully = sized.where(F.col("n_train") * F.col("n_eval") <= expand)
-    full = fully.join(left, "train_class").join(right, "eval_class").select("train_id", "eval_id")
-    hot = sized.where(F.col("n_train") * F.col("n_eval") > expand)
-    star = hot.join(left, "train_class").select("train_id", F.col("least_eval").alias("eval_id")).unionByName(
-        hot.join(right, "eval_class").select(F.col("least_train").alias("train_id"), "eval_id")
-    )
-    return full.unionByName(star).where("train_id != eval_id").distinct()
+    sized = checkpoint(links.join(st, "train_class").join(se, "eval_class"))
+    hot = F.lit(False) if expand is None else F.col("n_train") * F.col("n_eval") > expand
+    large = F.greatest("n_train", "n_eval") > block
+    full = sized.where(~hot & ~large).join(left, "train_class").join(right, "eval_class").select("train_id", "eval_id")
+    pairs = sized.where(~hot & large)
+    sides = []
+    for i, (side, members_of) in enumerate((("train", left), ("eval", right)), 1):
+        parts = F.ceil(F.col(f"n_{side}") / block)
+        pairs = pairs.withColumn(f"part_{i}", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        part = F.pmod(F.xxhash64(f"{side}_id"), parts)
+        known = sized.where(~hot & large).select(f"{side}_class", f"n_{side}").distinct()
+        sides.append(members_of.join(known, f"{side}_class").select(F.struct(f"{side}_class", part.alias("part")).alias(f"block_{i}"), f"{side}_id"))
+    pairs = pairs.select(*[F.struct(f"{side}_class", F.col(f"part_{i}").alias("part")).alias(f"block_{i}") for i, side in enumerate(("train", "eval"), 1)])
+    full = full.unionByName(blocks.cross(pairs, *sides).select("train_id", "eval_id"))
+    if expand is not None:
+        star = sized.where(hot)
+        full = full.unionByName(star.join(left, "train_class").select("train_id", F.col("least_eval").alias("eval_id"))).unionByName(
+            star.join(right, "eval_class").select(F.col("least_train").alias("train_id"), "eval_id")
+        )
+    return full.where("train_id != eval_id").distinct()
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +482,7 @@ def as_pairs(found: DataFrame) -> DataFrame:
 
 def overlap_report(records: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:
     """Per evaluation split and source: `n_records`, `n_overlapping` (with a train record) and their `share`."""
-    found = overlaps(records, train, evaluation).select(F.col("eval_id").alias("_id")).distinct()
+    found = overlaps(records, train, evaluation, EXPAND).select(F.col("eval_id").alias("_id")).distinct()
     each = records.where(F.col("split").isin(*evaluation)).where("record_id is not null").select("record_id", "split", "source").distinct()
     return (
         each.join(found, F.col("record_id") == F.col("_id"), "left")

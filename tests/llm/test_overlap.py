@@ -120,6 +120,20 @@ def test_pairs_and_report(spark):
     assert (hot["split"], hot["n_records"], hot["n_overlapping"], hot["share"]) == ("val", 10, 10, 1.0)
 
 
+def test_copies_are_paired_in_full(spark):
+    """Two classes with more than 10,000 pairs give all of them: 1,100 x 10 and, for a near copy, 1,100 x 2 and 3 x 10."""
+    ws = [f"word{i}" for i in range(20)]
+    near = [*ws[:9], "other", *ws[10:]]
+    texts = [("train", ws)] * 1100 + [("val", ws)] * 10 + [("test", near)] * 2 + [("train", near)] * 3 + [("val", ws[:15])]
+    rows = [(i, "s", s, " ".join(x).upper() if i % 2 else ", ".join(x)) for i, (s, x) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "record_id bigint, source string, split string, text string")
+    expected = {(t[0], e[0]) for t in rows for e in rows if t[2] == "train" and e[2] != "train" and e[0] != len(rows) - 1}
+    assert len(expected) == 1103 * 12
+    for block in (overlap.BLOCK, 7):
+        found = [tuple(r) for r in overlap.overlaps(df, block=block).select("train_id", "eval_id").collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
 def test_shared_passage(spark):
     """Windows of a passage that all records share are left out where others do; the pairs stay the same."""
     rng = random.Random(8)
