@@ -4,7 +4,8 @@ Q-gram lemma filtering. The passages (question and choices of each item, as fold
 are indexed by character q-grams in blocks of bounded size, and each block is broadcast. Documents stream past: their
 q-grams are hashed array-wise, matches are counted in diagonal bands of (document, passage), bands that can't hold
 enough shared q-grams for a passage of the least length within the edit budget are dropped, and what remains is verified
-by banded alignment of words. Documents are not shuffled (but for a scan of fewer tasks than cores).
+by banded alignment of words. Edits are of words: with an edit budget the q-grams are runs of words and the diagonals
+count words, as one edit of a word may change any number of characters. Documents are not shuffled (but for a scan of fewer tasks than cores).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from ..session import spread
 from . import folding
 
 Q = 12
+#: Words in a q-gram where words may be edited, at most.
+Q_WORDS = 3
 MIN_WORDS = 10
 #: Characters of items in one broadcast index; more items make more blocks, each a pass over the documents.
 BLOCK_CHARS = 16_000_000
@@ -66,6 +70,12 @@ def q_hashes(codes: np.ndarray, q: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
+def word_codes(listed: list[list[str]]) -> np.ndarray:
+    """Hashes of the words of all texts one after another, with a 1 (no word's) after each text."""
+    code = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) | 2 for w in set().union(*listed)}
+    return np.fromiter((c for ws in listed for c in (*map(code.__getitem__, ws), 1)), np.uint64)
+
+
 @dataclass
 class Index:
     """The q-gram index of a block of passages."""
@@ -78,13 +88,16 @@ class Index:
     items: list[list[tuple[int, int]]]  # the (item, kind)s of each passage
     least: np.ndarray  # shared q-grams that a region of each passage must have
     seen: np.ndarray  # filter: which leading hash bits occur
+    by_words: bool  # whether q and positions count words, not characters
 
 
 def build(items: list[tuple[int, str | None, list | None]], q: int, min_words: int, edits: int) -> Index | None:
     """Index of all passages of at least `min_words` words; equal passages are indexed once. None if there are none.
 
-    A run of `min_words` words has at least as many characters as the passage's shortest such run; with `edits` edits
-    it shares at least `length + 1 - q * (edits + 1)` q-grams with what it was.
+    Without edits, q-grams are of characters: a run of `min_words` words has at least as many characters as the passage's
+    shortest such run, and shares all their q-grams. `edits` edits of words leave the matched words in at most `edits` + 1
+    runs, which have `min_words - (edits + 1) * (w - 1)` runs of w words or more, on diagonals at most `edits` apart; w is
+    as large as that is at least 1, up to Q_WORDS.
     """
     unique: dict[str, list[tuple[int, int]]] = {}
     for item, prompt, choices in items:
@@ -95,12 +108,18 @@ def build(items: list[tuple[int, str | None, list | None]], q: int, min_words: i
         return None
     texts = list(unique)
     words = [t.split(" ") for t in texts]
-    least = []
-    for ws in words:
-        ends = np.concatenate([[0], np.cumsum([len(w) + 1 for w in ws])])
-        least.append(int((ends[min_words:] - ends[:-min_words]).min()) - 1 + 1 - q * (edits + 1))
-    codes = np.frombuffer("\x00".join(texts).encode("utf-32-le"), np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    if edits:
+        q = min(Q_WORDS, max(min_words - 1, 0) // (edits + 1) + 1)
+        least = [min_words - (edits + 1) * (q - 1)] * len(texts)
+        codes = word_codes(words)
+        starts = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in words])])
+    else:
+        least = []
+        for ws in words:
+            ends = np.concatenate([[0], np.cumsum([len(w) + 1 for w in ws])])
+            least.append(int((ends[min_words:] - ends[:-min_words]).min()) - 1 + 1 - q)
+        codes = np.frombuffer("\x00".join(texts).encode("utf-32-le"), np.uint32)
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     hashes = q_hashes(codes, q)
     ends = starts[1:] - 1
     owner = np.searchsorted(starts, np.arange(len(hashes)), side="right") - 1
@@ -109,7 +128,7 @@ def build(items: list[tuple[int, str | None, list | None]], q: int, min_words: i
     bits = max(16, min(24, int(len(order)).bit_length() + 5))
     seen = np.zeros(1 << bits, bool)
     seen[(hashes[order] >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return Index(q, hashes[order], order, starts[:-1], words, list(unique.values()), np.maximum(1, np.array(least)), seen)
+    return Index(q, hashes[order], order, starts[:-1], words, list(unique.values()), np.maximum(1, np.array(least)), seen, edits > 0)
 
 
 def align(a: list[str], b: list[str], shift: int, width: int) -> tuple[int, int, int, int]:
@@ -146,8 +165,8 @@ def align(a: list[str], b: list[str], shift: int, width: int) -> tuple[int, int,
 def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(text, passage, longest run, words matched, edits, first text word) of every region that passes the filter."""
     listed = [folding.words(t) for t in texts]
-    joined = [" ".join(ws) for ws in listed]
-    codes = np.frombuffer("\x01".join(joined).encode("utf-32-le", "replace"), np.uint32)
+    joined = [] if index.by_words else [" ".join(ws) for ws in listed]
+    codes = word_codes(listed) if index.by_words else np.frombuffer("\x01".join(joined).encode("utf-32-le", "replace"), np.uint32)
     hashes = q_hashes(codes, index.q)
     if not len(hashes):
         return
@@ -158,7 +177,8 @@ def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[
     pos, low, number = pos[number > 0], low[number > 0], number[number > 0]
     if not len(pos):
         return
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in joined])])
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in (listed if index.by_words else joined)])])
+    # Bands of twice the least power of two above the edits, overlapping by half: `edits` + 1 diagonals lie in one.
     band_bits = max(0, int(edits).bit_length())
     # Matches are expanded in parts of bounded size that end between texts.
     text_of = np.searchsorted(starts, pos, side="right") - 1
@@ -186,11 +206,15 @@ def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[
             for e, c in zip(edge[count >= index.least[passage[order[edge]]]], count[count >= index.least[passage[order[edge]]]]):
                 rows = order[e : e + c]
                 i, g = int(t[rows[0]]), int(passage[rows[0]])
-                # The words at the band: those of the passage against the same place of the text.
-                text, where = joined[i], int(p[rows[0]] - starts[i])
-                mine = int(s[rows[0]] - index.starts[g])
-                shift = text.count(" ", 0, where) - " ".join(index.words[g]).count(" ", 0, mine)
-                run, matched, changed, at = align(index.words[g], listed[i], shift, max(1, edits))
+                if index.by_words:
+                    width = 1 << band_bits
+                    shift = (int(band[rows[0]]) << (band_bits + 1)) - (half << band_bits) + width - (1 << 40)
+                else:
+                    # The words at the band: those of the passage against the same place of the text.
+                    text, where = joined[i], int(p[rows[0]] - starts[i])
+                    mine = int(s[rows[0]] - index.starts[g])
+                    width, shift = 1, text.count(" ", 0, where) - " ".join(index.words[g]).count(" ", 0, mine)
+                run, matched, changed, at = align(index.words[g], listed[i], shift, width)
                 yield i, g, run, matched, changed, at
 
 
@@ -204,6 +228,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
     `matched` and `edits` of the best local alignment, `word` (where it starts in the text). A passage of fewer than
     `min_words` words can't leak. Null and blank texts hold nothing; items with null prompts or choices count with what
     they have; a null item_id is ignored. Items that share a passage each count. Repeated rows come out repeatedly.
+
+    `edits` is in words, as is the column: every region whose best local alignment has at least `min_words` matched
+    words and at most `edits` edits comes out, however long the edited words are; others may come out too. `q` is in
+    characters and holds for `edits` = 0.
     """
     known = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "prompt", "choices")
     size = known.agg(F.sum(F.coalesce(F.length("prompt"), F.lit(0)) + F.coalesce(F.length(F.array_join("choices", " ")), F.lit(0)))).first()[0] or 0

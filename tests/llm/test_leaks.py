@@ -79,6 +79,35 @@ def test_edits_within_the_budget(spark):
     assert max(r["matched"] for r in rows) == 19 and min(r["edits"] for r in rows) == 1
 
 
+@pytest.mark.parametrize("lead", range(8))
+def test_dropped_word(lead):
+    """A passage of 12 words of 6 letters without its 7th, wherever it stands in the text."""
+    ws = [c + "abcde" for c in "mnopqrstuvwx"]
+    index = leaks.build([(1, " ".join(ws), None)], leaks.Q, 10, 2)
+    text = " ".join(["y" * lead] + ws[:6] + ws[7:])
+    assert (11, 1) in {(matched, edits) for _, _, _, matched, edits, _ in leaks.search(index, [text], 2)}
+
+
+def test_no_region_within_the_word_edits_is_lost():
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 1, 2, 3, 6, 14, 30]))) for _ in range(120)]
+    lost, cases = [], 0
+    for _ in range(400):
+        a = [rng.choice(vocabulary) for _ in range(rng.randrange(10, 20))]
+        b = list(a)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(30))] + b + [rng.choice(vocabulary) for _ in range(9)]
+        best = leaks.align(a, text, 0, len(a) + len(text))
+        if best[1] >= 10 and best[2] <= 2:
+            cases += 1
+            found = list(leaks.search(leaks.build([(1, " ".join(a), None)], leaks.Q, 10, 2), ["other text", " ".join(text)], 2))
+            if not any((t, m) == (1, best[1]) and e <= 2 for t, _, _, m, e, _ in found):
+                lost.append((a, text, best, found))
+    assert cases > 200 and not lost
+
+
 def test_report_and_empty(spark):
     docs, items = fixture(spark)
     tagged = items.selectExpr("*", "'t' as task", "'s' as split")
