@@ -23,10 +23,9 @@ STATISTICS = {
     "prose_share": -1, "common_share": -1, "punctuated_lines": -1, "symbol_ratio": 1, "digit_ratio": 1, "mean_word_length": 0,
     "distinct_words": 0, "letters_share": -1, "longest_token": 1, "words_per_line": -1,
 }
-#: A robust z-score of this size is in the tail; quartile ranges count as this at least; languages with fewer texts are pooled.
+#: A robust z-score of this size is in the tail; quartile ranges count as this at least.
 TAIL_Z = 2.0
 LEAST_RANGE = 0.02
-LEAST_TEXTS = 50
 
 _WORD = re.compile(r"\b[^\W\d_]+\b")
 _BLOCK = re.compile(r"\n[^\S\n]*\n\s*")
@@ -181,14 +180,14 @@ def distributions(stats: DataFrame) -> DataFrame:
 def assess(documents: DataFrame, common_words: DataFrame, tail: float = TAIL_Z) -> DataFrame:
     """`document_statistics` with robust z-scores (`z_...`), the number of tails a document is in (`tails`) and its `kind`.
 
-    Scores are relative to the document's language, or to all languages where a language has fewer than LEAST_TEXTS
-    texts. `kind`: junk (in a tail, and less than half of its characters in readable sentences), unusual (in a tail),
+    Scores are relative to the document's language, however few texts it has, or to all languages where a text has no
+    language or its language no text in the distribution. `kind`: junk (in a tail, and less than half of its characters in readable sentences), unusual (in a tail),
     prose, or blank. Repeated rows are each assessed; an empty table gives no rows.
     """
     stats = checkpoint(document_statistics(documents, common_words))
     # At most one row per listed language, one for texts without a language and one for all.
     groups = {r["group"]: r for r in distributions(stats).collect()}
-    chosen = [(g, *[(r if g != "und" and r["n"] >= LEAST_TEXTS else groups[None])[k] for k in STATISTICS]) for g, r in groups.items() if g is not None]
+    chosen = [(g, *[(r if g != "und" else groups[None])[k] for k in STATISTICS]) for g, r in groups.items() if g is not None]
     pooled = [[groups[None][k] for k in STATISTICS]] if None in groups else [[[None] * 3] * len(STATISTICS)]
     own = stats.sparkSession.createDataFrame(chosen, "_g string, " + ", ".join(f"_o_{k} array<double>" for k in STATISTICS))
     rows = stats.join(F.broadcast(own), F.col("language") == F.col("_g"), "left")

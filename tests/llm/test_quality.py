@@ -61,3 +61,15 @@ def test_tables(spark):
     assert quality.junk(only, words).count() == len(JUNK)
     assert quality.assess(df.limit(0), words).count() == 0
     assert quality.junk(df, words.limit(0)).count() >= len(JUNK) - 1
+
+
+def test_scores_of_a_small_language(spark):
+    """A language with 3 texts is held against these, as it is with 90 of the same."""
+    words = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws], "lang string, word string")
+    few = ["Der Hund ist nicht da.", "Die Kinder und das Pferd sind nicht in der Scheune, das ist ein Problem.", "Das Haus ist alt und die Mauer ist ein wenig schief, und der Garten ist nicht klein."]
+    found = []
+    for copies in (1, 30):
+        rows = [(i, PROSE[0]) for i in range(60)] + [(1000 + 10 * c + i, t) for c in range(copies) for i, t in enumerate(few)]
+        scored = quality.assess(spark.createDataFrame(rows, "doc_id bigint, text string"), words).where("doc_id >= 1000 and doc_id < 1003").orderBy("doc_id").collect()
+        found.append([(r["language"], r["tails"], *(round(r[f"z_{k}"], 9) for k in quality.STATISTICS)) for r in scored])
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {"de"}
