@@ -164,50 +164,63 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
 
 
 def distributions(stats: DataFrame) -> DataFrame:
-    """Quantiles from mergeable sketches: `group` (a language, or null for all), `n`, and low, middle, high quartile of each statistic.
+    """Quantiles from mergeable sketches: `basis`, `group` (a language, or null for all), `n`, and low, middle, high quartile of each statistic.
 
-    Texts of which at least half stands in sentences are what others are held against, so that a corpus (or a source
-    of tables) with little prose doesn't make its junk the usual case.
+    Basis "all" holds every text that isn't blank; "prose" those of which at least half stands in sentences, so that a
+    corpus (or a source of tables) with little prose doesn't make its junk the usual case. Each text is sketched once.
     """
-    known = stats.where("language is not null and prose_share >= 0.5")
+    known = stats.where("language is not null")
     sketches = [F.kll_sketch_agg_double(F.col(k)).alias(k) for k in STATISTICS]
-    by_language = checkpoint(known.groupBy(F.col("language").alias("group")).agg(F.count(F.lit(1)).alias("n"), *sketches))
-    pooled = by_language.groupBy(F.lit(None).cast("string").alias("group")).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in STATISTICS])
+    parts = checkpoint(known.groupBy(F.col("language").alias("group"), (F.col("prose_share") >= 0.5).alias("prose")).agg(F.count(F.lit(1)).alias("n"), *sketches))
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in STATISTICS]]
     quartiles = [F.kll_sketch_get_quantile_double(k, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(k) for k in STATISTICS]
-    return by_language.unionByName(pooled).select("group", "n", *quartiles)
+    out = None
+    for basis, held in (("all", parts), ("prose", parts.where("prose"))):
+        for group in (F.col("group"), F.lit(None).cast("string")):
+            found = held.groupBy(group.alias("group")).agg(*merged).select(F.lit(basis).alias("basis"), "group", "n", *quartiles)
+            out = found if out is None else out.unionByName(found)
+    return out
 
 
 def assess(documents: DataFrame, common_words: DataFrame, tail: float = TAIL_Z) -> DataFrame:
-    """`document_statistics` with robust z-scores (`z_...`), the number of tails a document is in (`tails`) and its `kind`.
+    """`document_statistics` with robust z-scores, the number of tails a document is in and its `kind`.
 
-    Scores are relative to the document's language, however few texts it has, or to all languages where a text has no
-    language or its language no text in the distribution. `kind`: junk (in a tail, and less than half of its characters in readable sentences), unusual (in a tail),
-    prose, or blank. Repeated rows are each assessed; an empty table gives no rows.
+    `z_...` and `tails` are relative to all documents of the document's language, `prose_tails` to those that are prose;
+    a language counts however few texts it has, and all languages where a text has no language or its language no text
+    in the distribution. `kind`: junk (in a tail of either, and less than half of its characters in readable sentences),
+    unusual (in a tail of either), prose, or blank. Repeated rows are each assessed; an empty table gives no rows.
     """
     stats = checkpoint(document_statistics(documents, common_words))
-    # At most one row per listed language, one for texts without a language and one for all.
-    groups = {r["group"]: r for r in distributions(stats).collect()}
-    chosen = [(g, *[(r if g != "und" else groups[None])[k] for k in STATISTICS]) for g, r in groups.items() if g is not None]
-    pooled = [[groups[None][k] for k in STATISTICS]] if None in groups else [[[None] * 3] * len(STATISTICS)]
-    own = stats.sparkSession.createDataFrame(chosen, "_g string, " + ", ".join(f"_o_{k} array<double>" for k in STATISTICS))
+    # At most one row per listed language, one for texts without a language and one for all, of either basis.
+    groups = {(r["basis"], r["group"]): r for r in distributions(stats).collect()}
+    bases = ("all", "prose")
+    nothing = dict.fromkeys(STATISTICS)
+    chosen = [
+        (g, *[((groups.get((b, g)) if g != "und" else None) or groups.get((b, None)) or nothing)[k] for b in bases for k in STATISTICS])
+        for g in sorted({g for _, g in groups if g is not None})
+    ]
+    own = stats.sparkSession.createDataFrame(chosen, "_g string, " + ", ".join(f"_{b}_{k} array<double>" for b in bases for k in STATISTICS))
     rows = stats.join(F.broadcast(own), F.col("language") == F.col("_g"), "left")
-    scores, tails = [], F.lit(0)
-    for i, (k, side) in enumerate(STATISTICS.items()):
-        q = F.coalesce(F.col(f"_o_{k}"), F.array(*[F.lit(x).cast("double") for x in pooled[0][i]]))
-        width = F.greatest(q[2] - q[0], F.lit(LEAST_RANGE), F.abs(q[1]) * LEAST_RANGE) / 1.349
-        z = (F.col(k) - q[1]) / width
-        scores.append(z.alias(f"z_{k}"))
-        # Without any prose to be held against, every document is in the tail.
-        out = F.coalesce(F.abs(z) >= tail if side == 0 else z * side >= tail, F.lit(True))
-        tails = tails + F.when(out, 1).otherwise(0)
-    rows = rows.withColumn("tails", F.when(F.col("language").isNotNull(), tails))
+    scores, tails = [], dict.fromkeys(bases, F.lit(0))
+    for k, side in STATISTICS.items():
+        for b in bases:
+            q = F.col(f"_{b}_{k}")
+            z = (F.col(k) - q[1]) / (F.greatest(q[2] - q[0], F.lit(LEAST_RANGE), F.abs(q[1]) * LEAST_RANGE) / 1.349)
+            if b == "all":
+                scores.append(z.alias(f"z_{k}"))
+            # Without any prose to be held against, every document is in the tail.
+            out = F.coalesce(F.abs(z) >= tail if side == 0 else z * side >= tail, F.lit(True))
+            tails[b] = tails[b] + F.when(out, 1).otherwise(0)
+    for b, name in zip(bases, ("tails", "prose_tails")):
+        rows = rows.withColumn(name, F.when(F.col("language").isNotNull(), tails[b]))
+    flagged = (F.col("tails") > 0) | (F.col("prose_tails") > 0)
     kind = (
         F.when(F.col("language").isNull(), "blank")
-        .when((F.col("tails") > 0) & (F.col("prose_share") < 0.5), "junk")
-        .when(F.col("tails") > 0, "unusual")
+        .when(flagged & (F.col("prose_share") < 0.5), "junk")
+        .when(flagged, "unusual")
         .otherwise("prose")
     )
-    return rows.select(*stats.columns, *scores, "tails", kind.alias("kind"))
+    return rows.select(*stats.columns, *scores, "tails", "prose_tails", kind.alias("kind"))
 
 
 def junk(documents: DataFrame, common_words: DataFrame) -> DataFrame:

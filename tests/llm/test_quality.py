@@ -73,3 +73,16 @@ def test_scores_of_a_small_language(spark):
         scored = quality.assess(spark.createDataFrame(rows, "doc_id bigint, text string"), words).where("doc_id >= 1000 and doc_id < 1003").orderBy("doc_id").collect()
         found.append([(r["language"], r["tails"], *(round(r[f"z_{k}"], 9) for k in quality.STATISTICS)) for r in scored])
     assert found[0] == found[1] and {r[0] for r in found[0]} == {"de"}
+
+
+def test_scores_are_relative_to_all_documents(spark):
+    """Tables enter the distribution: where they are most of a language, they are its middle, and junk all the same."""
+    words = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws], "lang string, word string")
+    table = "| the | 12 |\n|---|---|\n| of | 34 |"
+    df = spark.createDataFrame([(i, table if i % 4 else PROSE[0]) for i in range(40)], "doc_id bigint, text string")
+    rows = quality.assess(df, words).collect()
+    tables = [r for r in rows if r["doc_id"] % 4]
+    assert {r["z_symbol_ratio"] for r in tables} == {0.0} and all(r["z_symbol_ratio"] < 0 for r in rows if not r["doc_id"] % 4)
+    assert all(r["tails"] == 0 and r["prose_tails"] > 0 and r["kind"] == "junk" for r in tables)
+    groups = {(r["basis"], r["group"]): r["n"] for r in quality.distributions(quality.document_statistics(df, words)).collect()}
+    assert groups == {("all", "en"): 40, ("all", None): 40, ("prose", "en"): 10, ("prose", None): 10}
