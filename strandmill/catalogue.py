@@ -536,7 +536,16 @@ def line_lint(spark, d):
       SELECT kind, n, doc_ord AS first_doc, line_no AS first_line, sample AS first_sample FROM r WHERE i = 1"""
 )
 def lint_summary(spark, d):
-    return lint.issue_summary(lint.issues(lint.lines(_usable(spark, d)))).withColumn("first_line", F.col("first_line").cast("bigint"))
+    return lint.issue_summary(lint.issues(lint.lines(_usable(spark, d)))).withColumn("first_line", F.col("first_line").cast("bigint")).drop("samples")
+
+
+@query(
+    f"""{_ISSUES}, r AS (SELECT *, count(*) OVER (PARTITION BY kind) AS n, row_number() OVER (PARTITION BY kind ORDER BY doc_ord, line_no) AS i FROM f)
+      SELECT kind, n, i AS sample_no, doc_ord, line_no, sample FROM r WHERE i <= 3"""
+)
+def lint_samples(spark, d):
+    found = lint.issue_summary(lint.issues(lint.lines(_usable(spark, d))))
+    return found.select("kind", "n", F.inline("samples").alias("sample_no", "doc_ord", "line_no", "sample")).withColumns({c: F.col(c).cast("bigint") for c in ("sample_no", "line_no")})
 
 
 # ---------------------------------------------------------------- evaluation

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -20,11 +20,22 @@ def issues(rows: DataFrame, order: str = "doc_ord", context: int = 50) -> DataFr
     return found.select(order, "line_no", "kind", F.substring("line", 1, context).alias("sample"))
 
 
+def issue_samples(found: DataFrame, order: str = "doc_ord", samples: int = 3) -> DataFrame:
+    """The first `samples` issues of each kind: `kind`, `sample_no` (from 1), `order`, `line_no`, `sample`.
+
+    Ranks are limited before rows are exchanged, so that a task has no more than `samples` rows of a kind of each other.
+    """
+    ranked = found.withColumn("sample_no", F.row_number().over(Window.partitionBy("kind").orderBy(order, "line_no")))
+    return ranked.where(F.col("sample_no") <= samples).select("kind", "sample_no", order, "line_no", "sample")
+
+
 def issue_summary(found: DataFrame, order: str = "doc_ord", samples: int = 3) -> DataFrame:
-    """Per kind: how many, and the first samples; the samples come from a bounded sort, not from all issues of a kind."""
+    """Per kind: how many (`n`), the first issue (`first_doc`, `first_line`, `first_sample`) and the first `samples` as an array."""
     totals = found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    best = found.groupBy("kind").agg(F.expr(f"min_by(struct({order}, line_no, sample), struct({order}, line_no))").alias("first"))
-    return totals.join(best, "kind").select("kind", "n", F.col(f"first.{order}").alias("first_doc"), F.col("first.line_no").alias("first_line"), F.col("first.sample").alias("first_sample"))
+    row = F.struct("sample_no", F.col(order).alias("doc"), F.col("line_no").alias("line"), "sample")
+    best = issue_samples(found, order, samples).groupBy("kind").agg(F.array_sort(F.collect_list(row)).alias("samples"))
+    first = F.col("samples")[0]
+    return totals.join(best, "kind").select("kind", "n", first["doc"].alias("first_doc"), first["line"].alias("first_line"), first["sample"].alias("first_sample"), "samples")
 
 
 def size_delta(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -79,3 +79,15 @@ def test_lint_patterns(spark):
     for kind, pattern in tx.LINT.items():
         found = column(spark, LINES, lambda c, p=pattern: c.rlike("(?U)" + p))
         assert found == [re.search(pattern, x) is not None for x in LINES], kind
+
+
+def test_first_samples_of_each_kind(spark):
+    from strandmill.operators import lint
+
+    rows = [(d, n, k, f"{k} {d} {n}") for d in range(40, 0, -1) for n in (2, 1) for k in ("a", "b")] + [(5, 1, "c", "c 5 1")]
+    found = spark.createDataFrame(rows, "doc_ord bigint, line_no int, kind string, sample string").repartition(5)
+    for samples in (1, 3):
+        got = {r["kind"]: r for r in lint.issue_summary(found, samples=samples).collect()}
+        expected = {k: [r[3] for r in sorted(rows) if r[2] == k][:samples] for k in "abc"}
+        assert {k: [x["sample"] for x in r["samples"]] for k, r in got.items()} == expected
+        assert {k: (r["n"], r["first_sample"]) for k, r in got.items()} == {k: (1 if k == "c" else 80, v[0]) for k, v in expected.items()}
