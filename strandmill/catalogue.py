@@ -743,9 +743,8 @@ def effective_batch(spark, d):
       CASE WHEN tokenizer_backend IN ('gpt2_bpe', 'unigram') THEN NULL ELSE tokenizer_mode END AS mode FROM experiment_config"""
 )
 def tok_configured(spark, d):
-    rows = table(spark, d, "experiment_config").select("experiment", "tokenizer_backend", "tokenizer_mode", "vocab_size").limit(10_000).collect()
-    out = [(r[0], *(lambda name, s: (name, s.get("mode")))(*tokenizers.resolve("char", r[1], r[2], r[3]))) for r in rows]
-    return spark.createDataFrame(out, "experiment string, tokenizer string, mode string")
+    name, mode = tokenizers.resolved("char", F.col("tokenizer_backend"), F.col("tokenizer_mode"), F.col("vocab_size"))
+    return table(spark, d, "experiment_config").select("experiment", name.alias("tokenizer"), mode.alias("mode"))
 
 
 # ---------------------------------------------------------------- checkpoints (labels of embeddings as checkpoints)

@@ -123,6 +123,13 @@ def resolve(name: str, backend: str | None = None, mode: str | None = None, voca
     return chosen, {"mode": mode} | ({"vocab_size": vocab_size or 256} if mode == "codepoint" else {})
 
 
+def resolved(name: str, backend: Column, mode: Column, vocab_size: Column) -> tuple[Column, Column]:
+    """The name and the mode (null if it has none) that `resolve` gives, as columns."""
+    chosen = F.when(backend == "gpt2_bpe", "bpe").when(backend == "unigram", "unigram").otherwise(name)
+    bare = F.when((chosen == "bpe") & (vocab_size < LEAST_RANKED), "hf_bpe").otherwise(chosen)
+    return bare, F.when(chosen.isin("bpe", "unigram"), None).when(mode != "", mode).otherwise("utf8")
+
+
 def configured(name: str, backend: str | None = None, mode: str | None = None, vocab_size: int | None = None, folder: str | None = None, path: str | None = None) -> Tokenizer:
     """The tokenizer of a training config; `path` names the vocabulary file, or `folder` where the usual ones lie."""
     chosen, settings = resolve(name, backend, mode, vocab_size)

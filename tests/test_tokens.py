@@ -104,3 +104,16 @@ def test_library_vocabularies(spark, kind, file):
     rows = df.select("i", t.encode(F.col("t")).alias("ids"), t.decode(t.encode(F.col("t"))).alias("back")).orderBy("i").collect()
     assert rows[0]["back"] == "hello world, naïve" and len(rows[0]["ids"]) > 3
     assert rows[1]["ids"] == [] and rows[2]["ids"] is None
+
+
+def test_every_experiment_has_its_tokenizer(spark, tmp_path):
+    import itertools
+
+    from strandmill import catalogue
+    from strandmill.functions import tokenizers
+
+    settings = list(itertools.product(["gpt2_bpe", "unigram", "char", "", None], ["bytes", "codepoint", "", None], [1, tokenizers.LEAST_RANKED - 1, tokenizers.LEAST_RANKED, None]))
+    rows = [(f"e{i}", *settings[i % len(settings)]) for i in range(10_050)]
+    spark.createDataFrame(rows, "experiment string, tokenizer_backend string, tokenizer_mode string, vocab_size int").write.parquet(f"{tmp_path}/experiment_config.parquet")
+    found = {r[0]: (r[1], r[2]) for r in catalogue.queries()["tok_configured"](spark, str(tmp_path)).select("experiment", "tokenizer", "mode").collect()}
+    assert found == {e: (name, s.get("mode")) for e, *given in rows for name, s in [tokenizers.resolve("char", *given)]}
