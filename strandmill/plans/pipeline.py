@@ -16,6 +16,7 @@ from ..functions import tokenizers
 from ..functions import tokens as tk
 from ..operators import documents as dc
 from ..operators import mixing, packing
+from ..ordinal import id_block, scan
 from ..session import checkpoint, checkpoint_dir
 from ..sources import npy, readers
 from . import diagnostics
@@ -47,7 +48,7 @@ def read_source(spark: SparkSession, source: SimpleNamespace, ordinal: int, enco
             size = source.chunk_size or 512
             starts = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / size).cast("int"))
             rows = rows.select("doc_ord", F.posexplode(F.transform(starts, lambda i: F.slice("tokens", i * size + 1, size))).alias("_c", "tokens"))
-            rows = rows.withColumn("doc_ord", F.col("doc_ord") * 100_000_000 + F.col("_c"))
+            rows = scan(rows, [], id_block("doc_ord", 16), ["doc_ord", "_c"], "_r").withColumn("doc_ord", F.col("_r") - 1)
         rows = dc.length_filter(rows, source.min_length, None if source.format == "utf8_tokens" else source.max_length, characters=False)
     rows = rows.select(F.lit(source.name).alias("source"), F.lit(ordinal).cast("bigint").alias("source_ord"), "doc_ord", "tokens", F.size("tokens").cast("bigint").alias("n_tokens"))
     return dc.source_caps(rows, source.max_docs, source.max_tokens)
@@ -103,7 +104,7 @@ def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
             raise cf.ConfigError(f"unknown curriculum {config.curriculum.type!r}")
         staged = kinds[config.curriculum.type]()
     outputs = mixing.curriculum_outputs(checkpoint(staged), config.curriculum.output_mode if config.curriculum.enabled else "merged")
-    keyed = outputs.withColumn("_unit", F.col("stage_ord") * 10_000_000_000 + F.col("mix_ord"))
+    keyed = checkpoint(scan(outputs, [], F.struct("stage_ord", id_block("mix_ord")), ["stage_ord", "mix_ord"], "_unit"))
     cutter = mixing.split_stratified if split.stratified else mixing.split_simple
     merged = not config.curriculum.enabled or config.curriculum.output_mode == "merged"
     # Stages are few: their names come from the config or from the lengths of equal parts.
@@ -128,7 +129,7 @@ def run(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
     rows = sharded.join(made.documents.select("source", "doc_ord", "tokens"), ["source", "doc_ord"])
     rows = rows.withColumn("tokens", tk.append_eos(F.col("tokens"), out.eos_token_id))
     name = ["output", "shard"] if out.shard_size_tokens else ["output"]
-    files = sorted((r["file"], r["n_tokens"]) for r in npy.write_npy(rows, out.dir, name, ["write_ord"], out.prefix).collect())
+    files = sorted(((r["file"], r["n_tokens"]) for r in npy.write_npy(rows, out.dir, name, ["write_ord"], out.prefix).collect()), key=lambda f: (len(f[0]), f[0]))
     diagnostics.emit(out.dir, out.prefix, "written", files=len(files), tokens=sum(n for _, n in files))
     stats: dict = {}
     for r in packing.statistics(made.selected, ("output", "source")).collect():

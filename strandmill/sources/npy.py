@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -78,11 +79,11 @@ def write_npy(rows: DataFrame, folder: str, name: list[str], order: list[str], p
     """Writes the tokens of each group to a file `prefix_name1(_name2...).npy`; gives `file`, `n_tokens` (lazy: an action writes).
 
     A group is streamed in order by one task, batch by batch, and its header is written last. Ids beyond 65,535
-    in a group make its file 32 bits wide. Numbers in names have five digits. A file is renamed when it is whole, so
+    in a group make its file 32 bits wide. Numbers in names have five digits or more. A file is renamed when it is whole, so
     a task that runs again after a loss leaves no broken one. `folder` must be one that all executors share.
     """
     wide = rows.groupBy(*name).agg(F.max(F.coalesce(F.array_max("tokens"), F.lit(0))).alias("_top"))
-    label = F.concat_ws("_", F.lit(prefix), *[F.lpad(F.col(c).cast("string"), 5, "0") if dict(rows.dtypes)[c] in ("int", "bigint") else F.col(c) for c in name])
+    label = F.concat_ws("_", F.lit(prefix), *[F.format_string("%05d", F.col(c)) if dict(rows.dtypes)[c] in ("int", "bigint") else F.col(c) for c in name])
     named = rows.join(F.broadcast(wide), name).select(label.alias("_file"), (F.col("_top") > 65_535).alias("_wide"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "tokens")
     keys = [f"_o{i}" for i in range(len(order))]
 
@@ -107,7 +108,7 @@ def write_npy(rows: DataFrame, folder: str, name: list[str], order: list[str], p
                 if f != current:
                     close()
                     current, n, kind = f, 0, np.uint32 if w else np.uint16
-                    out = open(os.path.join(folder, f".{f}.{os.getpid()}.part"), "wb")  # noqa: SIM115
+                    out = open(os.path.join(folder, f".{f}.{uuid4().hex}.part"), "wb")  # noqa: SIM115
                     out.write(b" " * 128)
                 values = tokens.values.to_numpy(zero_copy_only=False).astype(kind)
                 out.write(values.tobytes())

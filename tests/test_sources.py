@@ -72,6 +72,15 @@ def test_npy_sink(spark, tmp_path):
     assert np.load(tmp_path / "out" / "p_train_00001.npy").dtype == np.uint16
 
 
+def test_shards_beyond_five_digits(spark, tmp_path):
+    """Shards 10,000, 100,000 and 100,001 are three files."""
+    rows = [("train", n, 0, [n % 1000]) for n in (10_000, 100_000, 100_001)]
+    df = spark.createDataFrame(rows, "output string, shard bigint, o bigint, tokens array<int>")
+    files = {r["file"]: r["n_tokens"] for r in npy.write_npy(df, str(tmp_path), ["output", "shard"], ["o"], "p").collect()}
+    assert files == {"p_train_10000.npy": 1, "p_train_100000.npy": 1, "p_train_100001.npy": 1}
+    assert sorted(f.name for f in tmp_path.iterdir()) == sorted(files)
+
+
 def test_formats():
     with pytest.raises(ValueError, match="unknown format"):
         readers.reader("csv")
