@@ -35,6 +35,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.as_pairs(overlap.overlaps(table(spark, d, "split_record")))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_classes(table(spark, d, "split_record"))
+
+
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "split_record"))
 
@@ -101,7 +105,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_forms, p1_classes, p2_found, p2_report, p3_found, p3_windows, p3_unused, p4_found, p4_items, p4_regions, p5_found, p5_pieces, p6_ids,
+        p1_found, p1_forms, p1_classes, p2_found, p2_classes, p2_report, p3_found, p3_windows, p3_unused, p4_found, p4_items, p4_regions, p5_found, p5_pieces, p6_ids,
         p7_documents, p7_slots, p7_shares, p8_found, p8_statistics,
     )
 }

@@ -26,13 +26,57 @@ def test_edit_distance(a, b, most):
     assert overlap.edit_distance(a, b, most) == min(most + 1, levenshtein(a, b))
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 4), max_size=12), max_size=6), st.lists(st.integers(1, 5), min_size=3, max_size=15))
+numbers = st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=12), min_size=1, max_size=6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(numbers, st.lists(st.integers(0, 5), min_size=1, max_size=6))
 def test_backward_search(texts, pattern):
-    index = overlap.WordIndex([np.array(t, np.int64) for t in texts])
-    place, found = index.matches(np.array(pattern, np.int64), np.arange(3, len(pattern) + 1), 3)
-    expected = sorted((p, int(index.starts[k]) + j) for k, t in enumerate(texts) for j in range(len(t) - 2) for p in range(len(pattern) - 2) if t[j : j + 3] == pattern[p : p + 3])
-    assert sorted(zip(place.tolist(), found.tolist())) == expected
+    """Rows of a pattern are those of the suffixes that start with it, wherever texts begin and end; the texts can be read back."""
+    index = overlap.WordIndex([np.array(t, np.uint64) for t in texts])
+    whole = [0, *(x for t in texts for x in (*t, 0))]
+    symbol = {0: 0} | {w: int(index.symbols(np.array([w], np.uint64))[0]) for w in range(1, 6)}
+    low, high = np.array([0]), np.array([index.n])
+    for w in reversed(pattern):
+        low, high = index.step(np.array([symbol[w]]), low, high)
+    found = index.locate(np.arange(low[0], high[0]))
+    # No text is empty, so no pattern with two separators in a row stands in the texts.
+    expected = [i for i in range(len(whole) - len(pattern) + 1) if whole[i : i + len(pattern)] == pattern]
+    if [0, 0] not in [pattern[i : i + 2] for i in range(len(pattern))]:
+        assert sorted(found.tolist()) == expected
+    at = list(range(len(texts)))[::-1]
+    assert [index.vocabulary[t - 1].tolist() for t in index.texts(np.array(at))] == [texts[i] for i in at]
+
+
+def test_long_texts_are_read_in_lanes():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, 9, n).astype(np.uint64) for n in (1, overlap.LANE - 1, overlap.LANE, 3 * overlap.LANE + 5)]
+    index = overlap.WordIndex(texts)
+    assert all((index.vocabulary[a - 1] == b).all() for a, b in zip(index.texts(np.arange(4)), texts))
+    size = sum(x.nbytes for x in (index.low, index.first, index.places, index.marks, index.before))
+    assert size < 5 * index.n + 200
+
+
+@settings(max_examples=100, deadline=None)
+@given(numbers, st.lists(st.integers(1, 5), min_size=1, max_size=15), st.integers(0, 3))
+def test_windows_are_as_many_as_can_be(texts, pattern, most):
+    """Windows have no word in common and at most so many occurrences, and no other cut gives more of them."""
+    index = overlap.WordIndex([np.array(t, np.uint64) for t in texts])
+    whole = [0, *(x for t in texts for x in (*t, 0))]
+    flat = index.symbols(np.array(pattern, np.uint64))
+    count = lambda a, b: sum(whole[i : i + b - a] == pattern[a:b] for i in range(len(whole)))
+    text, start, end, low, high = overlap.windows(index, flat, np.array([0]), np.array([len(flat)]), np.array([0]), most)
+    assert (high - low).tolist() == [count(a, b) for a, b in zip(start, end)] and all(high - low <= most)
+    assert all(a >= d for a, d in zip(start, end[1:]))
+    best = [0] * (len(pattern) + 1)
+    for b in range(1, len(pattern) + 1):
+        best[b] = max([best[b - 1], *(best[a] + 1 for a in range(b) if count(a, b) <= most)])
+    assert len(start) == best[-1]
+
+
+def test_spans():
+    a, b = np.array([1, 2, 3, 9, 5, 6, 7]), np.array([1, 2, 3, 8, 8, 5, 6, 7])
+    assert overlap.spans(a, b, np.array([1, 5, 4]), np.array([2, 6, 6]), np.array([0, 1, 1])) == (6, 2)
 
 
 def edited(ws, n, rng):
@@ -50,33 +94,34 @@ def edited(ws, n, rng):
     return out
 
 
-def test_routes_meet():
-    """Any two texts with at most a tenth of words edited share a key, whatever their length."""
+def test_no_overlap_is_lost():
+    """Every text meets its edited copies, whatever its length, among many texts of the same words."""
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)]
-    for n in [*range(1, 120), 255, 256, 260, 300, 700]:
-        for _ in range(4):
+    hashed = lambda ws: np.array([overlap.xxhash.xxh64_intdigest(w) for w in ws], np.uint64)
+    train, evals = [], []
+    for n in [*range(1, 120), 255, 256, 300, 700, 2500]:
+        for _ in range(2):
             a = [rng.choice(vocabulary) for _ in range(n)]
-            b = edited(a, rng.randrange(n // 9 + 1), rng)
+            train.append(a)
+            evals += [b for k in (0, n // 10, rng.randrange(n // 9 + 1)) if (b := edited(a, k, rng))]
+    shard = overlap.Shard(list(range(len(evals))), [hashed(b) for b in evals])
+    flat, n = np.concatenate([hashed(a) for a in train]), np.array([len(a) for a in train])
+    found = {(i, e): (longer, covered, d) for i, e, longer, covered, _, d in shard.search(shard.index.symbols(flat), n, overlap.sketches(flat, n))}
+    expected = {}
+    for i, a in enumerate(train):
+        for e, b in enumerate(evals):
             longer = max(len(a), len(b))
-            d = levenshtein(a, b) if n < 300 else overlap.edit_distance(a, b, longer // 10)
-            if not b or d > longer // 10:
-                continue
-            hashed = overlap.Words()
-            plain = overlap.route_keys(*hashed([a]), True)[1]
-            hot = np.sort(np.array(rng.sample(plain.tolist(), min(2, len(plain))), np.uint64)) if n > 9 and rng.random() < 0.5 else None
-            keys = []
-            for side, ws in ((True, a), (False, b)):
-                flat, weight, count = hashed([ws])
-                text, key, place = overlap.route_keys(flat, weight, count, side, hot)
-                first, second = overlap.sketches(flat, count)
-                keys.append((set(key.tolist()), list(zip(key.tolist(), place.tolist())), int(first[0]), int(second[0])))
-            shared = keys[0][0] & keys[1][0]
-            assert shared, (n, len(b), d)
-            odd = ((keys[0][2] ^ keys[1][2]) & ((1 << 52) - 1)).bit_count() + (keys[0][3] ^ keys[1][3]).bit_count()
-            assert odd <= 2 * d
-            if len(a) >= overlap.LONG:
-                assert len(shared) >= len(a) // 7 - longer // 10
+            if abs(len(a) - len(b)) <= longer // 10 and (d := overlap.edit_distance(a, b, longer // 10)) <= longer // 10:
+                expected[i, e] = (longer, d)
+    assert {k: (v[0], v[2]) for k, v in found.items()} == expected and len(expected) > 500
+    assert all(covered <= len(train[i]) for (i, _), (_, covered, _) in found.items())
+    assert all(covered == longer for longer, covered, d in found.values() if d == 0)
+
+
+def test_bands():
+    assert overlap.length_bands([(1, 3, 3), (2, 5, 10), (4, 9, 36), (5, 1, 5)], 15) == [(1, 0, 1), (2, 0, 1), (4, 1, 3), (5, 4, 1)]
+    assert overlap.length_bands([]) == []
 
 
 def fixture(spark):
@@ -112,14 +157,29 @@ def test_pairs_and_report(spark):
     expected = brute(df)
     found = [tuple(r) for r in overlap.as_pairs(overlap.overlaps(df)).collect()]
     assert len(found) == len(set(found)) and set(found) == expected
-    star = {tuple(r) for r in overlap.as_pairs(overlap.overlaps(df, expand=50)).collect()}
-    assert star <= expected and {x for p in star for x in p} == {x for p in expected for x in p}
-    assert len(star) < len(expected)
+    for sizes in ((200, 400), (1, 1)):
+        assert {tuple(r) for r in overlap.as_pairs(overlap.overlaps(df, shard_words=sizes[0], pass_words=sizes[1] if sizes[0] > 1 else 10**6)).collect()} == expected
+    rows = overlap.overlapping_texts(df)[0].collect()
+    assert all(r["edits"] <= r["words"] // 10 and r["covered"] <= r["words"] and r["matches"] > 0 for r in rows)
     report = overlap.overlap_report(df).collect()
     hot = next(r for r in report if r["source"] == "hot")
     assert (hot["split"], hot["n_records"], hot["n_overlapping"], hot["share"]) == ("val", 10, 10, 1.0)
 
 
+def test_classes(spark):
+    df = fixture(spark)
+    pairs = brute(df)
+    side = {r["record_id"]: r["split"] for r in df.where("record_id is not null").collect()}
+    text = {r["record_id"]: tuple(folding.words(r["text"])) for r in df.where("record_id is not null").collect()}
+    rows = overlap.overlap_classes(df).collect()
+    assert {r["record_id"] for r in rows} == {i for i, t in text.items() if t} and len(rows) == len({r["record_id"] for r in rows})
+    for r in rows:
+        same = {i for i, t in text.items() if t == text[r["record_id"]]}
+        assert r["class_id"] == min(same) and (r["side"] == "train") == (side[r["record_id"]] == "train")
+        copies = [text[y] for a, b in pairs for x, y in ((a, b), (b, a)) if x in same and (side[x] == "train") == (r["side"] == "train")]
+        assert r["n_links"] == len(set(copies))
+
+
 def test_copies_are_paired_in_full(spark):
     """Two classes with more than 10,000 pairs give all of them: 1,100 x 10 and, for a near copy, 1,100 x 2 and 3 x 10."""
     ws = [f"word{i}" for i in range(20)]
@@ -135,7 +195,7 @@ def test_copies_are_paired_in_full(spark):
 
 
 def test_shared_passage(spark):
-    """Windows of a passage that all records share are left out where others do; the pairs stay the same."""
+    """A passage that all records share brings no pairs together: windows beside it are taken; the pairs stay the same."""
     rng = random.Random(8)
     passage, rows = [f"rights{i}" for i in range(25)], []
     for i in range(60):
@@ -143,16 +203,21 @@ def test_shared_passage(spark):
         rows.append((2 * i, "s", "train", " ".join(passage + own)))
         rows.append((2 * i + 1, "s", rng.choice(["val", "test"]), " ".join(edited(passage + own, rng.randrange(12), rng))))
     df = spark.createDataFrame(rows, "record_id bigint, source string, split string, text string")
-    expected = {p for p in brute(df)}
-    found = overlap.overlapping_texts(df, hot_share=0.0, hot_least=5).collect()
+    expected = brute(df)
+    found = overlap.overlapping_texts(df)[0].collect()
     assert {(min(r["train_id"], r["eval_id"]), max(r["train_id"], r["eval_id"])) for r in found} == expected and len(expected) > 20
-    hashed = overlap.Words()
-    flat, weight, n = hashed([folding.words(r[3]) for r in rows if r[2] == "train"])
-    keys, counts = np.unique(overlap.route_keys(flat, weight, n, True)[1], return_counts=True)
-    hot = keys[counts > 5]
-    assert len(hot) and not np.isin(overlap.route_keys(flat, weight, n, True, hot)[1], hot).any()
+    texts = [[np.array([overlap.xxhash.xxh64_intdigest(w) for w in folding.words(r[3])], np.uint64) for r in rows if (r[2] == "train") == side] for side in (True, False)]
+    shard = overlap.Shard(list(range(60)), texts[1])
+    flat, n, located = np.concatenate(texts[0]), np.array([len(t) for t in texts[0]]), []
+    inner = shard.index.locate
+    shard.index.locate = lambda row: (located.append(len(row)), inner(row))[1]
+    list(shard.search(shard.index.symbols(flat), n, overlap.sketches(flat, n)))
+    assert sum(located) < 60 * 60
 
 
 def test_empty(spark):
     df = fixture(spark).limit(0)
-    assert overlap.overlaps(df).count() == 0 and overlap.overlap_report(df).count() == 0
+    assert overlap.overlaps(df).count() == overlap.overlap_report(df).count() == overlap.overlap_classes(df).count() == 0
+    for only in ("train", "val"):
+        part = fixture(spark).where(f"split = '{only}'")
+        assert overlap.overlaps(part).count() == 0
