@@ -9,9 +9,9 @@ the runs of letters and digits of the folded form.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata as ud
 from functools import cache
+from itertools import chain
 
 # Default_Ignorable_Code_Point of the Unicode Character Database, as ranges.
 DEFAULT_IGNORABLE = (
@@ -43,22 +43,24 @@ _CHUNK = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORDS = {i: chr(i) if chr(i).isalnum() else " " for i in range(128)}
 _ASCII_CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f]")
+_CONTROLS = bytes([*range(0x09), *range(0x0B, 0x20), 0x7F])
 
 
 @cache
-def _tables() -> tuple[dict[str, str], dict[str, str], re.Pattern]:
+def _tables() -> tuple[dict[str, str], dict[str, str], frozenset[str], re.Pattern]:
     """What characters become: for the canonical form, for the folded form (after case folding), and those to be kept."""
     spacing = {chr(c): "" for a, b in DEFAULT_IGNORABLE for c in range(a, b + 1)}
     spacing |= {chr(c): "" for c in [*range(0x09), *range(0x0E, 0x20), *range(0x7F, 0xA0)]}
     spacing |= dict.fromkeys("\x0b\x0c\x85\u2028\u2029", "\n")
     protected = []
-    for c in range(0xA0, sys.maxunicode + 1):
+    # Planes without assigned characters are left out.
+    for c in chain(range(0xA0, 0x40000), range(0xE0000, 0xF0000)):
         ch = chr(c)
         if ud.category(ch) == "Zs":
             spacing[ch] = " "
         elif ud.decomposition(ch).partition(" ")[0] in VISIBLE_TAGS:
             protected.append(ch)
-    return spacing | LOOK_ALIKE_SMALL | LOOK_ALIKE_CAPITAL, spacing | LOOK_ALIKE_SMALL, re.compile("[" + "".join(protected) + "]+")
+    return spacing | LOOK_ALIKE_SMALL | LOOK_ALIKE_CAPITAL, spacing | LOOK_ALIKE_SMALL, frozenset(protected), re.compile("[" + "".join(protected) + "]+")
 
 
 def _mapped(text: str, table: dict[str, str]) -> str:
@@ -76,11 +78,14 @@ def canonical(text: str) -> str:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if text.isascii():
-        return _ASCII_CONTROL.sub(lambda m: "\n" if m[0] in "\x0b\x0c" else "", text) if _ASCII_CONTROL.search(text) else text
-    table, _, protected = _tables()
+        # Deleting bytes is a pass far quicker than a pattern; nearly all texts have no control characters.
+        if len(text.encode("ascii").translate(None, _CONTROLS)) == len(text):
+            return text
+        return _ASCII_CONTROL.sub(lambda m: "\n" if m[0] in "\x0b\x0c" else "", text)
+    table, _, kept, protected = _tables()
     if "\u200d" in text:
         text = _JOINED.sub(_KEEP_JOIN, text)
-    if protected.search(text):
+    if not kept.isdisjoint(text):
         parts, at = [], 0
         for m in protected.finditer(text):
             parts += [ud.normalize("NFKD", text[at : m.start()]), m[0]]
