@@ -1,7 +1,12 @@
-"""All pairs between blocks of rows of bounded size, so that a large group gives many tasks of even size."""
+"""Work in pieces of bounded size: pairs between blocks of rows, and parts of a batch."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,3 +18,14 @@ def cross(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     the most that a task has to take at once.
     """
     return pairs.join(left, "block_1").join(pairs.join(right, "block_2"), ["block_1", "block_2"])
+
+
+def parts(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut into parts of at most so many rows, and of at most so many bytes of a text column or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end

@@ -21,14 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import folding
+from . import blocks, folding
 
 Q = 12
 #: Words in a q-gram where words may be edited, at most.
 Q_WORDS = 3
 MIN_WORDS = 10
-#: Characters of items in one broadcast index; more items make more blocks, each a pass over the documents.
-BLOCK_CHARS = 16_000_000
+#: Characters of items in one broadcast index; more items make more blocks, each a pass over the documents. An index takes
+#: at most 12 bytes a character (8 for a q-gram's hash, 4 for its place), 8 a word and a filter of 16 MB: under 100 MB.
+BLOCK_CHARS = 4_000_000
+#: A q-gram that occurs more often in the passages is common; passages that can be found without theirs leave them out.
+COMMON = 50
+#: Rows and bytes of documents that are searched at once, and matches that are expanded at once.
+BATCH_ROWS, BATCH_BYTES, MATCHES = 1000, 4_000_000, 2_000_000
 _LEAD = re.compile(r"^\s*question\s*:\s*")
 _TAIL = re.compile(r"\s*answer\s*:\s*$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -84,20 +89,26 @@ class Index:
     keys: np.ndarray  # sorted hashes
     at: np.ndarray  # their positions in the joined passages
     starts: np.ndarray  # where each passage starts
-    words: list[list[str]]
+    codes: np.ndarray  # hashes of the words of all passages
+    cuts: np.ndarray  # where the words of each passage start, in words
+    places: np.ndarray | None  # where each word starts in the joined passages, in characters
     items: list[list[tuple[int, int]]]  # the (item, kind)s of each passage
     least: np.ndarray  # shared q-grams that a region of each passage must have
     seen: np.ndarray  # filter: which leading hash bits occur
     by_words: bool  # whether q and positions count words, not characters
 
+    def words(self, passage: int) -> list[int]:
+        return self.codes[self.cuts[passage] : self.cuts[passage + 1]].tolist()
 
-def build(items: list[tuple[int, str | None, list | None]], q: int, min_words: int, edits: int) -> Index | None:
+
+def build(items: list[tuple[int, str | None, list | None]], q: int, min_words: int, edits: int, common: int = COMMON) -> Index | None:
     """Index of all passages of at least `min_words` words; equal passages are indexed once. None if there are none.
 
-    Without edits, q-grams are of characters: a run of `min_words` words has at least as many characters as the passage's
-    shortest such run, and shares all their q-grams. `edits` edits of words leave the matched words in at most `edits` + 1
-    runs, which have `min_words - (edits + 1) * (w - 1)` runs of w words or more, on diagonals at most `edits` apart; w is
-    as large as that is at least 1, up to Q_WORDS.
+    Without edits, q-grams are of characters: a region of `min_words` equal words holds all q-grams of these words.
+    `edits` edits of words leave the matched words in at most `edits` + 1 runs, which have
+    `min_words - (edits + 1) * (w - 1)` runs of w words or more, on diagonals at most `edits` apart; w is as large as that
+    is at least 1, up to Q_WORDS. A passage leaves out its q-grams that occur more than `common` times if every region
+    has others; regions then need as many of those as any of them has at least, so that none is lost.
     """
     unique: dict[str, list[tuple[int, int]]] = {}
     for item, prompt, choices in items:
@@ -107,31 +118,59 @@ def build(items: list[tuple[int, str | None, list | None]], q: int, min_words: i
     if not unique:
         return None
     texts = list(unique)
-    words = [t.split(" ") for t in texts]
+    listed = [t.split(" ") for t in texts]
+    size = np.array([len(ws) for ws in listed], np.int64)
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    spaced = word_codes(listed)
+    codes = spaced[spaced != 1]
+    places = None
     if edits:
         q = min(Q_WORDS, max(min_words - 1, 0) // (edits + 1) + 1)
-        least = [min_words - (edits + 1) * (q - 1)] * len(texts)
-        codes = word_codes(words)
-        starts = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in words])])
+        joined, starts = spaced, np.concatenate([[0], np.cumsum(size + 1)])
+        word_at = np.arange(len(codes)) + np.repeat(np.arange(len(texts)), size)
     else:
-        least = []
-        for ws in words:
-            ends = np.concatenate([[0], np.cumsum([len(w) + 1 for w in ws])])
-            least.append(int((ends[min_words:] - ends[:-min_words]).min()) - 1 + 1 - q)
-        codes = np.frombuffer("\x00".join(texts).encode("utf-32-le"), np.uint32)
+        joined = np.frombuffer("\x00".join(texts).encode("utf-32-le", "replace"), np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    hashes = q_hashes(codes, q)
+        lengths = np.fromiter((len(w) + 1 for ws in listed for w in ws), np.int64)
+        word_at = places = np.cumsum(lengths) - lengths
+    hashes = q_hashes(joined, q)
     ends = starts[1:] - 1
-    owner = np.searchsorted(starts, np.arange(len(hashes)), side="right") - 1
-    inside = np.flatnonzero(np.arange(len(hashes)) + q <= ends[owner])
-    order = inside[np.argsort(hashes[inside], kind="stable")]
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))[: len(hashes)]
+    inside = np.arange(len(hashes)) + q <= ends[owner]
+    number = np.unique(hashes[inside], return_inverse=True, return_counts=True)
+    often = np.zeros(len(joined) + 1, bool)
+    often[: len(hashes)][inside] = number[2][number[1]] > common
+    held = np.zeros(len(joined) + 1, bool)
+    held[: len(hashes)] = inside
+    # Of each region of the least length: its q-grams, and those of them that aren't common.
+    width = min_words + edits
+    region = np.flatnonzero(np.arange(len(codes)) + min_words <= cuts[np.repeat(np.arange(1, len(cuts)), size)])
+    of = np.repeat(np.arange(len(texts)), size)[region]
+    last = np.minimum(region + width, cuts[of + 1]) - 1
+    low = word_at[region]
+    high = word_at[last] + (1 if edits else lengths[last] - 1) - q + 1
+
+    def total(mask: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(mask)])
+        return upto[np.maximum(high, low)] - upto[low]
+
+    if edits:
+        whole = np.full(len(region), min_words - (edits + 1) * (q - 1))
+        rare = whole - total(held & often)
+    else:
+        whole, rare = total(held), total(held & ~often)
+    edge = np.searchsorted(of, np.arange(len(texts)))
+    least, without = np.minimum.reduceat(whole, edge), np.minimum.reduceat(rare, edge)
+    leaves = without >= 1
+    use = np.flatnonzero(inside & ~(often[: len(hashes)] & leaves[owner]))
+    order = use[np.argsort(hashes[use], kind="stable")]
     bits = max(16, min(24, int(len(order)).bit_length() + 5))
     seen = np.zeros(1 << bits, bool)
     seen[(hashes[order] >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return Index(q, hashes[order], order, starts[:-1], words, list(unique.values()), np.maximum(1, np.array(least)), seen, edits > 0)
+    return Index(q, hashes[order], order.astype(np.uint32), starts[:-1], codes, cuts, places, list(unique.values()), np.maximum(1, np.where(leaves, without, least)), seen, edits > 0)
 
 
-def align(a: list[str], b: list[str], shift: int, width: int) -> tuple[int, int, int, int]:
+def align(a: list, b: list, shift: int, width: int) -> tuple[int, int, int, int]:
     """Banded alignment of passage words `a` with text words `b`, where a[i] lies near b[i + shift], within `width`.
 
     Gives (longest run of equal consecutive words, words matched, edits among them, text word where the match starts)
@@ -166,7 +205,8 @@ def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[
     """(text, passage, longest run, words matched, edits, first text word) of every region that passes the filter."""
     listed = [folding.words(t) for t in texts]
     joined = [] if index.by_words else [" ".join(ws) for ws in listed]
-    codes = word_codes(listed) if index.by_words else np.frombuffer("\x01".join(joined).encode("utf-32-le", "replace"), np.uint32)
+    words = word_codes(listed)
+    codes = words if index.by_words else np.frombuffer("\x01".join(joined).encode("utf-32-le", "replace"), np.uint32)
     hashes = q_hashes(codes, index.q)
     if not len(hashes):
         return
@@ -177,7 +217,8 @@ def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[
     pos, low, number = pos[number > 0], low[number > 0], number[number > 0]
     if not len(pos):
         return
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in (listed if index.by_words else joined)])])
+    cuts = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in listed])])
+    starts = cuts if index.by_words else np.concatenate([[0], np.cumsum([len(t) + 1 for t in joined])])
     # Bands of twice the least power of two above the edits, overlapping by half: `edits` + 1 diagonals lie in one.
     band_bits = max(0, int(edits).bit_length())
     # Matches are expanded in parts of bounded size that end between texts.
@@ -186,14 +227,14 @@ def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[
     weight = np.cumsum(number)
     cut = [0]
     for f in first[1:]:
-        if weight[f - 1] - (weight[cut[-1] - 1] if cut[-1] else 0) > 2_000_000:
+        if weight[f - 1] - (weight[cut[-1] - 1] if cut[-1] else 0) > MATCHES:
             cut.append(int(f))
     for a, b in zip(cut, [*cut[1:], len(pos)]):
         n = number[a:b]
         p = np.repeat(pos[a:b], n)
         t = np.repeat(text_of[a:b], n)
         offset = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
-        s = index.at[np.repeat(low[a:b], n) + offset]
+        s = index.at[np.repeat(low[a:b], n) + offset].astype(np.int64)
         passage = np.searchsorted(index.starts, s, side="right") - 1
         diagonal = (p - starts[t]) - (s - index.starts[passage])
         shifted = diagonal + (1 << 40)
@@ -212,9 +253,9 @@ def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[
                 else:
                     # The words at the band: those of the passage against the same place of the text.
                     text, where = joined[i], int(p[rows[0]] - starts[i])
-                    mine = int(s[rows[0]] - index.starts[g])
-                    width, shift = 1, text.count(" ", 0, where) - " ".join(index.words[g]).count(" ", 0, mine)
-                run, matched, changed, at = align(index.words[g], listed[i], shift, width)
+                    mine = int(np.searchsorted(index.places[index.cuts[g] : index.cuts[g + 1]], s[rows[0]], side="right")) - 1
+                    width, shift = 1, text.count(" ", 0, where) - mine
+                run, matched, changed, at = align(index.words(g), words[cuts[i] : cuts[i + 1] - 1].tolist(), shift, width)
                 yield i, g, run, matched, changed, at
 
 
@@ -248,8 +289,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    piece = batch.slice(at, 1000)
+                for piece in blocks.parts(batch, 1, BATCH_ROWS, BATCH_BYTES):
                     ids = piece.column(0).to_pylist()
                     rows = [(ids[i], item, kind, *rest) for i, g, *rest in search(ix, piece.column(1).to_pylist(), edits) for item, kind in ix.items[g]]
                     if rows:
@@ -277,3 +317,13 @@ def leak_report(documents: DataFrame, items: DataFrame, min_words: int = MIN_WOR
         .join(hits, "item_id", "left")
         .na.fill(0, ["n_documents", "longest_run"])
     )
+
+
+def leaked_regions(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, edits: int = 2) -> DataFrame:
+    """The best region of each document, item and passage with `min_words` matched words: `matched`, `edits`, `run`, `word`.
+
+    Best is the one with most matched words, then fewest edits, then the longest run, then the first.
+    """
+    found = find_leaks(documents, items, min_words, edits).where((F.col("matched") >= min_words) & F.col("doc_id").isNotNull())
+    best = F.max(F.struct("matched", (-F.col("edits")).alias("fewer"), "run", (-F.col("word")).alias("first"))).alias("b")
+    return found.groupBy("doc_id", "item_id", "passage").agg(best).select("doc_id", "item_id", "passage", "b.matched", (-F.col("b.fewer")).alias("edits"), "b.run", (-F.col("b.first")).alias("word"))

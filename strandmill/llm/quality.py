@@ -16,12 +16,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, spread
-from . import folding
+from . import blocks, folding
 
 #: Statistics with a sketch, and the tail that is suspicious: -1 low, 1 high, 0 both.
 STATISTICS = {
@@ -249,14 +248,8 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Cut so that each part has a bounded number of bytes, or one text.
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                before = sizes[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(sizes, before + BATCH_CHARS, side="right")))
-                yield _batch(batch.slice(at, end - at), common)
-                at = end
+            for part in blocks.parts(batch, 1, 100_000, BATCH_CHARS):
+                yield _batch(part, common)
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return spread(rows).mapInArrow(run, "doc_id bigint, " + _KINDS)

@@ -108,6 +108,32 @@ def test_no_region_within_the_word_edits_is_lost():
     assert cases > 200 and not lost
 
 
+@pytest.mark.parametrize("edits", [0, 2])
+def test_common_passages(edits):
+    """Words that all items share are left out where an item has others, and kept where it has none; nothing is lost."""
+    rng = random.Random(3)
+    shared = "which of the following statements about the old mill is true in every case today".split()
+    items = [(i, " ".join(shared[:5] + [f"own{rng.randrange(500)}" for _ in range(14)]), None) for i in range(80)]
+    items += [(100 + i, " ".join([*shared, f"end{i}"]), None) for i in range(60)]
+    texts = [" ".join(["x", *shared, "y"]), " ".join([f"own{i}" for i in range(40)])]
+    texts += [" ".join(["a", "b"] + items[i][1].split()[k : k + n] + ["c"]) for i in (3, 40) for k, n in ((0, 19), (3, 14), (5, 12), (7, 12), (9, 10))]
+    for common in (50, 10**9):
+        index = leaks.build(items, leaks.Q, 10, edits, common)
+        found = {(t, index.items[g][0][0]) for t, g, run, matched, changed, _ in leaks.search(index, texts, edits) if (run >= 10 if not edits else matched >= 10 and changed <= 2)}
+        if common == 50:
+            mine, few = found, len(index.keys)
+    assert mine == found and len(found) >= 60 and few < len(index.keys) - 80 * 3
+
+
+def test_best_region(spark):
+    """All values of a row are those of one region."""
+    ws = [f"passage{i}" for i in range(30)]
+    items = spark.createDataFrame([(1, " ".join(ws), ["x"])], "item_id bigint, prompt string, choices array<string>")
+    docs = spark.createDataFrame([(1, " ".join([*ws[:11], "gap", *(f"z{i}" for i in range(20)), *ws[10:22], "new", *ws[22:]])), (2, " ".join(ws[:9]))], "doc_id bigint, text string")
+    rows = [tuple(r) for r in leaks.leaked_regions(docs, items).select("doc_id", "item_id", "passage", "matched", "edits", "word").collect()]
+    assert rows == [(1, 1, -1, 20, 1, 32)]
+
+
 def test_report_and_empty(spark):
     docs, items = fixture(spark)
     tagged = items.selectExpr("*", "'t' as task", "'s' as split")
