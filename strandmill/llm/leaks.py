@@ -34,6 +34,8 @@ BLOCK_CHARS = 4_000_000
 COMMON = 50
 #: Rows and bytes of documents that are searched at once, and matches that are expanded at once.
 BATCH_ROWS, BATCH_BYTES, MATCHES = 1000, 4_000_000, 2_000_000
+#: Alignments that are made at once.
+JOBS = 20_000
 _LEAD = re.compile(r"^\s*question\s*:\s*")
 _TAIL = re.compile(r"\s*answer\s*:\s*$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -97,9 +99,6 @@ class Index:
     seen: np.ndarray  # filter: which leading hash bits occur
     by_words: bool  # whether q and positions count words, not characters
 
-    def words(self, passage: int) -> list[int]:
-        return self.codes[self.cuts[passage] : self.cuts[passage + 1]].tolist()
-
 
 def build(items: list[tuple[int, str | None, list | None]], q: int, min_words: int, edits: int, common: int = COMMON) -> Index | None:
     """Index of all passages of at least `min_words` words; equal passages are indexed once. None if there are none.
@@ -170,43 +169,60 @@ def build(items: list[tuple[int, str | None, list | None]], q: int, min_words: i
     return Index(q, hashes[order], order.astype(np.uint32), starts[:-1], codes, cuts, places, list(unique.values()), np.maximum(1, np.where(leaves, without, least)), seen, edits > 0)
 
 
-def align(a: list, b: list, shift: int, width: int) -> tuple[int, int, int, int]:
-    """Banded alignment of passage words `a` with text words `b`, where a[i] lies near b[i + shift], within `width`.
+#: A cell of an alignment as one integer: score, matches and edits in 12 bits each, the text word where it starts in 26.
+_SCORE, _MATCH, _EDIT = 1 << 50, 1 << 38, 1 << 26
+_FIELD, _START = (1 << 12) - 1, (1 << 26) - 1
+
 
-    Gives (longest run of equal consecutive words, words matched, edits among them, text word where the match starts)
-    of the best local alignment: a match counts 1, an edit -1.
+def align(passage: np.ndarray, size: np.ndarray, first: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, shift: np.ndarray, width: int) -> np.ndarray:
+    """Banded alignments, all at once, of passages with texts; columns: longest run, words matched, edits, first text word.
+
+    Job k aligns the words `passage[first[k] : first[k] + size[k]]` with `text[begin[k] : end[k]]`, word i of the first near
+    word i + shift[k] of the second, within `width`. The run is of equal consecutive words; the others are of the best
+    local alignment: a match counts 1, an edit -1.
     """
-    best, run = (0, 0, 0, 0), 0
-    before: dict[int, tuple[int, int, int, int, int]] = {}
-    top = 0
-    for i, w in enumerate(a):
-        now: dict[int, tuple[int, int, int, int, int]] = {}
-        for j in range(max(0, i + shift - width), min(len(b), i + shift + width + 1)):
-            score, matched, edits, length, start = before.get(j - 1, (0, 0, 0, 0, j))
-            if w == b[j]:
-                cell = (score + 1, matched + 1, edits, length + 1, start if score else j)
-                run = max(run, length + 1)
-            else:
-                options = [(score - 1, matched, edits + 1, 0, start)]
-                if (up := before.get(j)) is not None:
-                    options.append((up[0] - 1, up[1], up[2] + 1, 0, up[4]))
-                if (side := now.get(j - 1)) is not None:
-                    options.append((side[0] - 1, side[1], side[2] + 1, 0, side[4]))
-                cell = max(options)
-            if cell[0] > 0:
-                now[j] = cell
-                if cell[0] > top:
-                    top, best = cell[0], (0, cell[1], cell[2], cell[4])
-        before = now
-    return run, *best[1:]
+    jobs, band = len(size), 2 * width + 1
+    before, length = np.zeros((jobs, band + 1), np.int64), np.zeros((jobs, band), np.int64)
+    top, best, run = np.zeros(jobs, np.int64), np.zeros(jobs, np.int64), np.zeros(jobs, np.int64)
+    order = np.argsort(-size, kind="stable")
+    size, first, begin, shift = size[order], first[order], begin[order], shift[order]
+    limit = end[order] - begin
+    columns = np.arange(band) - width
+    for i in range(int(size.max(initial=0))):
+        n = int(np.searchsorted(-size, -i, side="left"))
+        place = i + shift[:n, None] + columns
+        inside = (place >= 0) & (place < limit[:n, None])
+        words = text[np.where(inside, begin[:n, None] + place, 0)]
+        equal = inside & (words == passage[first[:n] + i][:, None])
+        was = before[:n]
+        diagonal, above = was[:, :band], was[:, 1:]
+        matched = np.where(diagonal > 0, diagonal, place & _START) + (_SCORE + _MATCH)
+        lost = np.maximum(diagonal, above) - (_SCORE - _EDIT)
+        now = np.zeros((n, band + 1), np.int64)
+        side = np.zeros(n, np.int64)
+        for c in range(band):
+            cell = np.where(equal[:, c], matched[:, c], np.maximum(lost[:, c], side - (_SCORE - _EDIT)))
+            side = now[:, c] = np.where((cell >= _SCORE) & inside[:, c], cell, 0)
+        before[:n] = now
+        length[:n] = np.where(equal, length[:n] + 1, 0)
+        run[:n] = np.maximum(run[:n], length[:n].max(axis=1))
+        at = (now[:, :band] // _SCORE).argmax(axis=1)
+        cell = now[np.arange(n), at]
+        more = cell // _SCORE > top[:n]
+        top[:n], best[:n] = np.where(more, cell // _SCORE, top[:n]), np.where(more, cell, best[:n])
+    out = np.empty((jobs, 4), np.int64)
+    out[order] = np.stack([run, best >> 38 & _FIELD, best >> 26 & _FIELD, best & _START], axis=1)
+    return out
 
 
 def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(text, passage, longest run, words matched, edits, first text word) of every region that passes the filter."""
     listed = [folding.words(t) for t in texts]
-    joined = [] if index.by_words else [" ".join(ws) for ws in listed]
-    words = word_codes(listed)
-    codes = words if index.by_words else np.frombuffer("\x01".join(joined).encode("utf-32-le", "replace"), np.uint32)
+    if index.by_words:
+        codes, sizes = word_codes(listed), [len(ws) + 1 for ws in listed]
+    else:
+        joined = [" ".join(ws) for ws in listed]
+        codes, sizes = np.frombuffer("\x01".join(joined).encode("utf-32-le", "replace"), np.uint32), [len(t) + 1 for t in joined]
     hashes = q_hashes(codes, index.q)
     if not len(hashes):
         return
@@ -217,8 +233,7 @@ def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[
     pos, low, number = pos[number > 0], low[number > 0], number[number > 0]
     if not len(pos):
         return
-    cuts = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in listed])])
-    starts = cuts if index.by_words else np.concatenate([[0], np.cumsum([len(t) + 1 for t in joined])])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     # Bands of twice the least power of two above the edits, overlapping by half: `edits` + 1 diagonals lie in one.
     band_bits = max(0, int(edits).bit_length())
     # Matches are expanded in parts of bounded size that end between texts.
@@ -238,25 +253,34 @@ def search(index: Index, texts: list[str | None], edits: int) -> Iterator[tuple[
         passage = np.searchsorted(index.starts, s, side="right") - 1
         diagonal = (p - starts[t]) - (s - index.starts[passage])
         shifted = diagonal + (1 << 40)
+        jobs = []
         for half in range(2 if band_bits else 1):
             band = (shifted + (half << band_bits)) >> (band_bits + 1) if band_bits else shifted
             order = np.lexsort((p, band, passage, t))
             key = np.stack([t[order], passage[order], band[order]])
             edge = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0).any(axis=0)]))
             count = np.diff(np.concatenate([edge, [len(order)]]))
-            for e, c in zip(edge[count >= index.least[passage[order[edge]]]], count[count >= index.least[passage[order[edge]]]]):
-                rows = order[e : e + c]
-                i, g = int(t[rows[0]]), int(passage[rows[0]])
-                if index.by_words:
-                    width = 1 << band_bits
-                    shift = (int(band[rows[0]]) << (band_bits + 1)) - (half << band_bits) + width - (1 << 40)
-                else:
-                    # The words at the band: those of the passage against the same place of the text.
-                    text, where = joined[i], int(p[rows[0]] - starts[i])
-                    mine = int(np.searchsorted(index.places[index.cuts[g] : index.cuts[g + 1]], s[rows[0]], side="right")) - 1
-                    width, shift = 1, text.count(" ", 0, where) - mine
-                run, matched, changed, at = align(index.words(g), words[cuts[i] : cuts[i + 1] - 1].tolist(), shift, width)
-                yield i, g, run, matched, changed, at
+            row = order[edge[count >= index.least[passage[order[edge]]]]]
+            if index.by_words:
+                shift = (band[row] << (band_bits + 1)) - (half << band_bits) + (1 << band_bits) - (1 << 40)
+            else:
+                # The words at the band: those of the passage against the same place of the text.
+                spaces = np.concatenate([[0], np.cumsum(codes == ord(" "))])
+                mine = np.searchsorted(index.places, s[row], side="right") - 1 - index.cuts[passage[row]]
+                shift = spaces[p[row]] - spaces[starts[t[row]]] - mine
+            jobs.append(np.stack([t[row], passage[row], shift], axis=1))
+        jobs = np.unique(np.concatenate(jobs), axis=0)
+        if not len(jobs):
+            continue
+        used = np.unique(jobs[:, 0])
+        words = word_codes([listed[i] for i in used])
+        ends = np.cumsum([len(listed[i]) + 1 for i in used])
+        for k in range(0, len(jobs), JOBS):
+            i, g, shift = jobs[k : k + JOBS].T
+            at = np.searchsorted(used, i)
+            begin = np.where(at > 0, ends[at - 1], 0)
+            found = align(index.codes, index.cuts[g + 1] - index.cuts[g], index.cuts[g], words, begin, ends[at] - 1, shift, 1 << band_bits)
+            yield from zip(i.tolist(), g.tolist(), *found.T.tolist())
 
 
 _SCHEMA = "doc_id bigint, item_id bigint, passage int, run int, matched int, edits int, word int"

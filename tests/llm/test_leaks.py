@@ -16,12 +16,57 @@ def test_hashes_of_equal_runs_are_equal():
     assert len(leaks.q_hashes(codes[:3], 12)) == 0
 
 
+def aligned(a, b, shift, width):
+    """One alignment by plain code: a cell is (score, matched, edits, run, first word)."""
+    best, run, top, before = (0, 0, 0), 0, 0, {}
+    for i, w in enumerate(a):
+        now = {}
+        for j in range(max(0, i + shift - width), min(len(b), i + shift + width + 1)):
+            score, matched, edits, length, start = before.get(j - 1, (0, 0, 0, 0, j))
+            if w == b[j]:
+                cell = (score + 1, matched + 1, edits, length + 1, start if score else j)
+                run = max(run, length + 1)
+            else:
+                cell = max((o[0] - 1, o[1], o[2] + 1, 0, o[4]) for o in (before.get(j - 1), before.get(j), now.get(j - 1), (0, 0, 0, 0, 0)) if o is not None)
+            if cell[0] > 0:
+                now[j] = cell
+                if cell[0] > top:
+                    top, best = cell[0], (cell[1], cell[2], cell[4])
+        before = now
+    return (run, *best)
+
+
+def align(a, b, shift, width):
+    code = {w: k + 2 for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    one, two = (np.array([7, *map(code.get, x), 9], np.uint64) for x in (a, b))
+    return tuple(leaks.align(one, np.array([len(a)]), np.array([1]), two, np.array([1]), np.array([1 + len(b)]), np.array([shift]), width)[0].tolist())
+
+
 def test_alignment():
     a = "one two three four five six seven eight nine ten".split()
-    assert leaks.align(a, a, 0, 1)[:3] == (10, 10, 0)
+    assert align(a, a, 0, 1)[:3] == (10, 10, 0)
     b = ["x", "y", *a[:5], "new", *a[5:]]
-    run, matched, edits, at = leaks.align(a, b, 2, 2)
-    assert (run, matched, edits, at) == (5, 10, 1, 2)
+    assert align(a, b, 2, 2) == (5, 10, 1, 2)
+
+
+def test_alignments_against_plain_code():
+    rng = random.Random(5)
+    cases = []
+    for _ in range(500):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(1, 25))] for _ in range(2))
+        at = rng.randrange(len(b))
+        b[at:at] = a[: rng.randrange(len(a))]
+        cases.append((a, b, rng.randrange(-3, 9), rng.choice([1, 4])))
+    for width in (1, 4):
+        some = [c for c in cases if c[3] == width]
+        one, two = [c[0] for c in some], [c[1] for c in some]
+        flat = lambda xs: np.array([ord(c) for x in xs for c in x], np.uint64)
+        size = lambda xs: np.array([len(x) for x in xs])
+        begin = np.cumsum(size(two)) - size(two)
+        found = leaks.align(flat(one), size(one), np.cumsum(size(one)) - size(one), flat(two), begin, begin + size(two), np.array([c[2] for c in some]), width)
+        expected = [aligned(*c) for c in some]
+        assert [tuple(r[:3]) for r in found.tolist()] == [e[:3] for e in expected]
+        assert [r[3] for r, e in zip(found.tolist(), expected) if e[1]] == [e[3] for e in expected if e[1]]
 
 
 def fixture(spark):
@@ -99,7 +144,7 @@ def test_no_region_within_the_word_edits_is_lost():
             at = rng.randrange(len(b))
             b[at : at + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
         text = [rng.choice(vocabulary) for _ in range(rng.randrange(30))] + b + [rng.choice(vocabulary) for _ in range(9)]
-        best = leaks.align(a, text, 0, len(a) + len(text))
+        best = aligned(a, text, 0, len(a) + len(text))
         if best[1] >= 10 and best[2] <= 2:
             cases += 1
             found = list(leaks.search(leaks.build([(1, " ".join(a), None)], leaks.Q, 10, 2), ["other text", " ".join(text)], 2))
@@ -122,7 +167,7 @@ def test_common_passages(edits):
         found = {(t, index.items[g][0][0]) for t, g, run, matched, changed, _ in leaks.search(index, texts, edits) if (run >= 10 if not edits else matched >= 10 and changed <= 2)}
         if common == 50:
             mine, few = found, len(index.keys)
-    assert mine == found and len(found) >= 60 and few < len(index.keys) - 80 * 3
+    assert mine == found and len(found) >= 60 and few <= len(index.keys) - 80 * 3
 
 
 def test_best_region(spark):
