@@ -89,6 +89,10 @@ def p7_slots(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixing_target")).slots()
 
 
+def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixing_target")).blocks()
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixing_target")).shares()
 
@@ -105,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_forms, p1_classes, p2_found, p2_classes, p2_report, p3_found, p3_windows, p3_unused, p4_found, p4_items, p4_regions, p5_found, p5_pieces, p6_ids,
-        p7_documents, p7_slots, p7_shares, p8_found, p8_statistics,
+        p7_documents, p7_slots, p7_blocks, p7_shares, p8_found, p8_statistics,
     )
 }
 ORACLES: dict[str, str] = {

@@ -15,6 +15,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -24,33 +25,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
+from . import blocks
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 # Fixed value: the word pattern that belongs to the public byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Kept chunks; at this number the worker starts anew, so memory is bounded whatever the corpus.
-KEPT = 400_000
+#: Kept chunks and their characters; at these numbers the worker starts anew, so memory is bounded whatever the corpus.
+KEPT, KEPT_CHARS = 400_000, 8_000_000
+#: Longer chunks (texts without spaces) are not kept.
+LONG = 100
+#: Rows and bytes of text that are encoded at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8_000_000
 
 _SPACES = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 _ASCII_UNSAFE = ["  ", *(x for c in _SPACES if c.isascii() for x in (f" {c}", f"{c} "))]
 _UNSAFE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _NONE = np.int64(1 << 40)
-_NEVER = 1 << 40
 
 
-def merge_exactly(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a word by merging the adjacent pair of least rank again and again."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        found = [ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
-        best = min(found)
-        if best == _NEVER:
-            break
-        i = found.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+def merge_exactly(word: bytes, ranks: dict[bytes, int], most: int = 1 << 30) -> list[int]:
+    """The ids of a word by merging the adjacent pair of least rank again and again, the leftmost of equals.
+
+    Pairs wait in a heap and parts form a linked list, so that a word of n bytes takes n log n steps, however long it
+    is. No token is longer than `most` bytes.
+    """
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        middle = end[i]
+        # A pair is void once one of its parts has been merged with another.
+        if middle == 0 or middle >= n or end[middle] != stop:
+            continue
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if end[stop] - i <= most and (r := ranks.get(word[i : end[stop]])) is not None:
+                heappush(heap, (r, i, end[stop]))
+        p = before[i]
+        if p >= 0 and stop - p <= most and (r := ranks.get(word[p:stop])) is not None:
+            heappush(heap, (r, p, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
 
 
 class Tables:
@@ -103,7 +126,8 @@ class Encoder:
         self.ranks = {t: i for i, t in enumerate(tables.tokens)}
         self.ids: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.exact = self.seen = 0
+        self.longest = max(map(len, tables.tokens), default=0)
+        self.exact = self.seen = self.chars = 0
 
     def _propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match of all words at once: tokens and the word of each, in order."""
@@ -162,7 +186,10 @@ class Encoder:
         return fine
 
     def _learn(self, words: list[str]) -> None:
-        """Adds the ids of words that are new."""
+        """Adds the ids of words that are new; very long ones are merged exactly at once, as proposals go token by token."""
+        for w in [w for w in words if len(w) > LONG]:
+            self.words[w] = tuple(merge_exactly(w.encode("utf-8", "replace"), self.ranks, self.longest))
+        words = [w for w in words if len(w) <= LONG]
         if not words:
             return
         raw = [w.encode("utf-8", "replace") for w in words]
@@ -175,7 +202,7 @@ class Encoder:
         self.seen += len(words)
         self.exact += int((~fine).sum())
         for i, w in enumerate(words):
-            self.words[w] = tuple(listed[cut[i] : cut[i + 1]]) if fine[i] else tuple(merge_exactly(raw[i], self.ranks))
+            self.words[w] = tuple(listed[cut[i] : cut[i + 1]]) if fine[i] else tuple(merge_exactly(raw[i], self.ranks, self.longest))
 
     def _chunks(self, text: str) -> list[str]:
         if text.isascii():
@@ -189,8 +216,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[array, np.ndarray]:
         """Flat ids of all texts and the offsets of each; null and empty texts have none."""
-        if len(self.ids) > self.kept:
-            self.ids, self.words = {}, {}
+        if max(len(self.ids), len(self.words)) > self.kept or self.chars > KEPT_CHARS:
+            self.ids, self.words, self.chars = {}, {}, 0
         cut = [self._chunks(t) if t else [] for t in texts]
         new = list(set().union(*cut) - self.ids.keys()) if cut else []
         found = [self.pattern.findall(c) for c in new]
@@ -202,6 +229,14 @@ class Encoder:
         for i, c in enumerate(cut):
             flat.extend(chain.from_iterable(map(get, c)))
             offsets[i + 1] = len(flat)
+        for c, ws in zip(new, found):
+            if len(c) > LONG:
+                del self.ids[c]
+                for w in ws:
+                    if len(w) > LONG:
+                        self.words.pop(w, None)
+            else:
+                self.chars += len(c)
         return flat, offsets
 
 
@@ -222,8 +257,8 @@ def load(spark: SparkSession, vocabulary: str = BYTE_BPE_50K, folder: str = TOKE
         return spark.sparkContext.broadcast(Tables(f.read()))
 
 
-def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE_50K, folder: str = TOKENIZERS) -> DataFrame:
-    """One row per input row: `doc_id`, `ids` (array of int) without special tokens.
+def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE_50K, folder: str = TOKENIZERS, keep: str | None = None) -> DataFrame:
+    """One row per input row: `doc_id`, `ids` (array of int) without special tokens, and the column `keep` if one is named.
 
     Null and empty texts have the empty list; blank texts have the ids of their white space; special tokens'
     strings are ordinary text. Repeated rows come out as often as they come in; other columns, whatever their names,
@@ -235,14 +270,14 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, name)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in blocks.parts(batch, 1, BATCH_ROWS, BATCH_BYTES):
                 flat, offsets = encoder.encode(part.column(1).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, *part.columns[2:]], ["doc_id", "ids", *more])
 
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return spread(rows).mapInArrow(run, "doc_id bigint, ids array<int>")
+    more = [keep] if keep else []
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return spread(rows).mapInArrow(run, ", ".join(["doc_id bigint", "ids array<int>", *(f"`{c}` {dict(rows.dtypes)[c]}" for c in more)]))
 
 
 def token_counts(documents: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = BYTE_BPE_50K, folder: str = TOKENIZERS) -> DataFrame:
@@ -254,8 +289,7 @@ def token_counts(documents: DataFrame, keep: list[str], text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, name)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in blocks.parts(batch, batch.num_columns - 1, BATCH_ROWS, BATCH_BYTES):
                 _, offsets = encoder.encode(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(offsets))], [*keep, "n_tokens"])
 

@@ -2,20 +2,22 @@
 
 Each source is one long sequence of tokens in document order, cut into blocks of a fixed number of tokens. A plan
 needs a number of blocks of each source; output shards get theirs by multinomial draws, conditioned on the exact totals
-(a multivariate hypergeometric draw), so that shares don't drift. The j-th slot of a source takes block
+(a multivariate hypergeometric draw), so that shares don't drift: first groups of shards, then the shards of each group, in
+parallel. The j-th slot of a source takes block
 `permutation(pass, j mod blocks)` of pass `j div blocks`: a keyed Feistel permutation of the block numbers, which costs
 no shuffle and repeats no block within a pass. Blocks are then joined with the spans of documents by block number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.mixing import counted as numbered
@@ -25,7 +27,9 @@ from . import encoding
 
 BLOCK_TOKENS = 128
 SHARD_BLOCKS = 1024
-MOST_SHARDS = 4096
+#: Shards are drawn in so many groups on the driver, and within each group by a task.
+GROUPS = 1024
+#: More rows of targets than these raise an error.
 MOST_TARGETS = 10_000
 
 
@@ -102,28 +106,64 @@ def quotas(targets: list[tuple], totals: dict[str, int], block: int = BLOCK_TOKE
     return out
 
 
-def shard_draws(plan: list[Quota], seed: int) -> list[tuple[str, str, int, int, int, int, int]]:
-    """(plan, source, shard, first slot, number of slots, blocks, key) of each shard that takes from a source."""
-    name, left = plan[0].plan, np.array([q.slots for q in plan], np.int64)
-    total = int(left.sum())
-    shards = min(MOST_SHARDS, -(-total // SHARD_BLOCKS)) if total else 0
-    rng = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(f"{seed}|{name}")))
-    unit = -(-total // 500_000_000) if total else 1
-    first, out = np.zeros(len(plan), np.int64), []
-    for k in range(shards):
-        size = int(left.sum()) // (shards - k)
-        if k == shards - 1:
-            drawn = left.copy()
+def _rng(*key) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest("|".join(map(str, key)))))
+
+
+def draws(left: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """How many slots of each source each of some parts gets: multinomial draws, given that all slots are used.
+
+    Parts of `sizes` are drawn one after another without replacement, which is what multinomial draws are once their
+    totals are known. The library draws from fewer than 10^9 slots; of more, in units of several.
+    """
+    left, out = left.copy(), np.zeros((len(sizes), len(left)), np.int64)
+    for k, size in enumerate(sizes):
+        unit = -(-int(left.sum()) // 500_000_000) or 1
+        if k == len(sizes) - 1:
+            out[k] = left
         else:
-            drawn = np.minimum(left, rng.multivariate_hypergeometric(left // unit, min(size // unit, int((left // unit).sum())), method="marginals") * unit)
-        for i, q in enumerate(plan):
-            if drawn[i]:
-                out.append((name, q.source, k, int(first[i]), int(drawn[i]), q.blocks, xxhash.xxh64_intdigest(f"{seed}|{name}|{q.source}") >> 1))
-        first += drawn
-        left -= drawn
+            some = min(int(size) // unit, int((left // unit).sum()))
+            out[k] = np.minimum(left, rng.multivariate_hypergeometric(left // unit, some, method="marginals") * unit)
+        left -= out[k]
     return out
 
 
+def shard_groups(plan: list[Quota], seed: int, groups: int = GROUPS) -> list[tuple]:
+    """(plan, group, first shard, shards, source, first slot, slots, blocks, key) of each group of shards that takes from a source.
+
+    A shard has `SHARD_BLOCKS` slots, whatever their number; groups hold as many shards each.
+    """
+    name, slots = plan[0].plan, np.array([q.slots for q in plan], np.int64)
+    total = int(slots.sum())
+    shards = -(-total // SHARD_BLOCKS)
+    groups = min(groups, shards)
+    edges = [g * shards // max(groups, 1) for g in range(groups + 1)]
+    sizes = np.diff([e * total // max(shards, 1) for e in edges])
+    drawn = draws(slots, sizes, _rng(seed, name))
+    first = np.cumsum(drawn, axis=0) - drawn
+    return [
+        (name, g, edges[g], edges[g + 1] - edges[g], q.source, int(first[g, i]), int(drawn[g, i]), q.blocks, xxhash.xxh64_intdigest(f"{seed}|{name}|{q.source}") >> 1)
+        for g in range(groups)
+        for i, q in enumerate(plan)
+        if drawn[g, i]
+    ]
+
+
+_SHARDS = "plan_name string, source string, shard bigint, first bigint, n bigint, blocks bigint, key bigint"
+
+
+def _shards(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """The shards of a group: what each takes of each source."""
+    pdf = pdf.sort_values("source")
+    name, group, shard, shards = (pdf[c].iloc[0] for c in ("plan_name", "group", "shard", "shards"))
+    total = int(pdf["n"].sum())
+    drawn = draws(pdf["n"].to_numpy(), np.diff([k * total // shards for k in range(shards + 1)]), _rng(seed, name, group))
+    first = np.cumsum(drawn, axis=0) - drawn + pdf["first"].to_numpy()
+    k, i = np.nonzero(drawn)
+    columns = {c: pdf[c].to_numpy()[i] for c in ("source", "blocks", "key")}
+    return pd.DataFrame({"plan_name": name, "source": columns["source"], "shard": shard + k, "first": first[k, i], "n": drawn[k, i], "blocks": columns["blocks"], "key": columns["key"]})
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         get = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
@@ -141,6 +181,8 @@ class Mix:
     spans: DataFrame
     drawn: DataFrame
     quotas: DataFrame
+    ids: Callable[[], DataFrame]
+    size: int
 
     def documents(self) -> DataFrame:
         """`plan_name`, `source`, `doc_id`, `uses` (the most that any of its tokens is used), `tokens` (drawn in all)."""
@@ -153,11 +195,27 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """The mixed output in order: `plan_name`, `shard`, `place` in the shard, `source`, `block`, `turn` (times drawn before)."""
-        from pyspark.sql import Window
-
         by = Window.partitionBy("plan_name", "shard").orderBy(F.xxhash64("plan_name", "source", "slot"), "source", "slot")
         return self.drawn.withColumn("place", F.row_number().over(by)).select("plan_name", "shard", "place", "source", "block", "slot")
 
+    def blocks(self) -> DataFrame:
+        """The mixed output with its tokens: `plan_name`, `shard`, `place`, `source`, `block`, `ids`.
+
+        Texts are encoded again and cut into blocks in the same order as the spans; parts of blocks that nobody drew are
+        dropped before they are put together. A source's last block may be shorter.
+        """
+        slots = self.slots()
+        wanted = slots.select("source", "block").distinct()
+        rows = self.ids().withColumn("n_tokens", F.size("ids").cast("bigint")).where("n_tokens > 0")
+        at = scan(rows, ["source"], id_block("doc_id", 256), ["doc_id", "n_tokens", F.xxhash64("ids")], running={"stop": "n_tokens"}).withColumn("start", F.col("stop") - F.col("n_tokens"))
+        first, last = F.floor(F.col("start") / self.size), F.floor((F.col("stop") - 1) / self.size)
+        parts = at.select("source", "start", "stop", "ids", F.explode(F.sequence(first, last)).alias("block"))
+        begin, end = F.greatest("start", F.col("block") * self.size), F.least("stop", (F.col("block") + 1) * self.size)
+        parts = parts.select("source", "block", begin.alias("begin"), F.slice("ids", (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+        whole = parts.join(wanted, ["source", "block"], "left_semi").groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("begin", "part"))).alias("p"))
+        tokens = whole.select("source", "block", F.flatten(F.transform("p", lambda x: x["part"])).alias("ids"))
+        return slots.join(tokens, ["source", "block"]).select("plan_name", "shard", "place", "source", "block", "ids")
+
     def shares(self) -> DataFrame:
         """Per plan and source: target and actual share of the tokens, the tokens themselves and the largest number of uses."""
         got = self.documents().groupBy("plan_name", "source").agg(F.sum("tokens").alias("tokens_drawn"), F.count(F.lit(1)).alias("n_documents"), F.max("uses").alias("most_uses"))
@@ -186,14 +244,20 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, block: int = B
     totals = {r[0]: int(r[1]) for r in counted.groupBy("source").agg(F.sum("n_tokens")).collect()}
     plan = quotas(rows, totals, block)
     names = sorted({q.plan for q in plan})
-    draws = [d for n in names for d in shard_draws([q for q in plan if q.plan == n], seed)]
-    shard_table = spark.createDataFrame(draws, "plan_name string, source string, shard int, first bigint, n bigint, blocks bigint, key bigint")
+    groups = [g for n in names for g in shard_groups([q for q in plan if q.plan == n], seed)]
+    kind = "plan_name string, group bigint, shard bigint, shards bigint, source string, first bigint, n bigint, blocks bigint, key bigint"
+    group_table = spark.createDataFrame(groups, kind)
+    names = [c.split()[0] for c in _SHARDS.split(", ")]
+    shard_table = group_table.where("shards = 1").select(*names)
+    if any(g[3] > 1 for g in groups):
+        shard_table = shard_table.unionByName(group_table.where("shards > 1").groupBy("plan_name", "group").applyInPandas(lambda pdf: _shards(pdf, seed), _SHARDS))
     slots = numbered(shard_table, F.col("first"), F.col("first") + F.col("n"), "slot").select("plan_name", "source", "shard", "blocks", "key", "slot")
-    drawn = slots.mapInArrow(_blocks, "plan_name string, source string, shard int, slot bigint, block bigint")
+    drawn = slots.mapInArrow(_blocks, "plan_name string, source string, shard bigint, slot bigint, block bigint")
     at = scan(counted, ["source"], id_block("doc_id", 4096), ["doc_id", "n_tokens"], running={"stop": "n_tokens"}).withColumn("start", F.col("stop") - F.col("n_tokens"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)
     spans = at.select("source", "doc_id", "start", "stop", F.explode(F.sequence(first, last)).alias("block"))
     spans = spans.select("source", "block", "doc_id", (F.least("stop", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)).alias("length"))
     kind = "plan_name string, source string, target_share double, tokens_wanted double, tokens_available bigint, max_repeats int, capped boolean"
     quota_table = spark.createDataFrame([(q.plan, q.source, q.share, q.tokens_wanted, q.available, q.repeats, q.capped) for q in plan], kind)
-    return Mix(spans, drawn, quota_table)
+    ids = lambda: encoding.encode(documents.where(F.col("source").isin(wanted)), vocabulary=vocabulary, folder=folder, keep="source")
+    return Mix(spans, drawn, quota_table, ids, block)

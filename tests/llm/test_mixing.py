@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.llm import mixing
+from strandmill.llm import encoding, mixing
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 16, 17, 1000, 4097])
@@ -24,14 +25,33 @@ def test_quotas():
     assert found["q", "a"].slots == 500
 
 
-def test_shards_take_exact_totals():
-    plan = [mixing.Quota("p", s, 0.5, 0, 9, 0, 500, n, False) for s, n in (("a", 5000), ("b", 3), ("c", 0))]
-    draws = mixing.shard_draws(plan, 7)
-    for s, n in (("a", 5000), ("b", 3), ("c", 0)):
-        mine = sorted((d[3], d[4]) for d in draws if d[1] == s)
-        assert sum(x[1] for x in mine) == n
-        assert all(a[0] + a[1] == b[0] for a, b in zip(mine, mine[1:]))
-    assert mixing.shard_draws(plan, 7) == draws != mixing.shard_draws(plan, 8)
+@pytest.mark.parametrize("groups", [1, 3, 1024])
+def test_shards_take_exact_totals(groups):
+    """All shards have the same size, and each source's slots follow each other over the shards, whatever the groups."""
+    slots = {"a": 50_000, "b": 3, "c": 0}
+    plan = [mixing.Quota("p", s, 0.5, 0, 9, 0, 500, n, False) for s, n in slots.items()]
+    rows = []
+    columns = ["plan_name", "group", "shard", "shards", "source", "first", "n", "blocks", "key"]
+    found = pd.DataFrame(mixing.shard_groups(plan, 7, groups), columns=columns)
+    assert found.equals(pd.DataFrame(mixing.shard_groups(plan, 7, groups), columns=columns)) and not found.equals(pd.DataFrame(mixing.shard_groups(plan, 8, groups), columns=columns))
+    for _, part in found.groupby("group"):
+        rows += mixing._shards(part, 7).itertuples(index=False)
+    for s, n in slots.items():
+        mine = sorted((r.first, r.n) for r in rows if r.source == s)
+        assert sum(x[1] for x in mine) == n and all(a[0] + a[1] == b[0] for a, b in zip(mine, mine[1:]))
+    sizes = {}
+    for r in rows:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.n
+    assert sorted(sizes) == list(range(-(-50_003 // mixing.SHARD_BLOCKS))) and max(sizes.values()) - min(sizes.values()) <= 1 and max(sizes.values()) <= mixing.SHARD_BLOCKS
+
+
+def test_draws_follow_the_shares():
+    """Means of the draws are those of multinomial ones; of very many slots as of few."""
+    for scale in (1, 1000, 10**7):
+        left = np.array([600, 300, 100]) * scale
+        found = mixing.draws(left, np.full(100, 10 * scale), np.random.default_rng(3))
+        assert (found.sum(axis=0) == left).all() and (found.sum(axis=1) <= 11 * scale).all()
+        assert abs(found[:50].mean(axis=0) / (10 * scale) - [0.6, 0.3, 0.1]).max() < 0.05
 
 
 def tables(spark):
@@ -64,7 +84,25 @@ def test_mix(spark):
     assert sorted(map(tuple, docs)) == sorted(map(tuple, mixing.mix(documents, targets, block=16).documents().collect()))
 
 
+def test_blocks_hold_the_tokens(spark):
+    """Each slot has the tokens of its block: those of the source's documents in order, cut every 16."""
+    documents, targets = tables(spark)
+    m = mixing.mix(documents, targets, block=16)
+    stream = {}
+    for r in encoding.encode(documents.where("source in ('hot', 'rare')"), keep="source").orderBy("doc_id").collect():
+        stream.setdefault(r["source"], []).extend(r["ids"])
+    rows = m.blocks().collect()
+    assert sorted((r["plan_name"], r["shard"], r["place"], r["source"], r["block"]) for r in rows) == sorted(tuple(r)[:5] for r in m.slots().collect())
+    assert all(r["ids"] == stream[r["source"]][16 * r["block"] : 16 * r["block"] + 16] for r in rows) and len(rows) > 100
+    drawn = {(r["plan_name"], r["source"]): r["tokens_drawn"] for r in m.shares().where("tokens_drawn > 0").collect()}
+    got = {}
+    for r in rows:
+        got[r["plan_name"], r["source"]] = got.get((r["plan_name"], r["source"]), 0) + len(r["ids"])
+    assert got == drawn
+
+
 def test_empty(spark):
     documents, targets = tables(spark)
     assert mixing.mix(documents.limit(0), targets).documents().count() == 0
     assert mixing.mix(documents, targets.limit(0)).shares().count() == 0
+    assert mixing.mix(documents.limit(0), targets).blocks().count() == mixing.mix(documents, targets.limit(0)).blocks().count() == 0
