@@ -11,13 +11,17 @@ no task holds all records of a length.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ordinal import id_block, scan
+from ..ordinal import scan
 from ..session import checkpoint, small
 
 
+#: Records of one length that are ranked in one task.
+BLOCK_ROWS = 100_000
+
+
 class Remaining:
     """A segment tree over remaining capacities 0..size with the number of open windows of each."""
 
@@ -109,37 +113,63 @@ def capacities(experiments: DataFrame, most: int = 1000) -> list[tuple[str, int,
     return [(r[0], r[2], r[1]) for r in sorted(rows)]
 
 
+def _order(bits: int) -> tuple[Column, list]:
+    """A block expression and an order of records: by a hash of the id, so that blocks are even whatever the ids are."""
+    key = F.xxhash64("record_id")
+    return F.shiftright(key, 64 - bits) if bits else F.lit(0), [key, "record_id"]
+
+
 def pack(records: DataFrame, experiments: DataFrame, split: str = "train") -> DataFrame:
     """The place of each train record for each experiment.
 
     Rows: `experiment`, `record_id`, `piece`, `n_pieces`, `length`, `window`, `place`. A record longer than a window is
     divided: pieces of a whole window each and the rest; no other record is. A record of length 0 takes no space and,
-    like one of unknown or negative length, has one row without a window. Ties go by record_id. Records delivered
-    again count once. Empty tables give no rows.
+    like one of unknown or negative length, has one row without a window. Of equal lengths whole records come before
+    pieces, and either in the order of a hash of the id. Records delivered again count once. Empty tables give no rows.
+
+    The plan of all experiments follows from the histogram of lengths, and whole records are ranked within their length
+    once for all of them; only pieces of divided records are made and ranked per experiment.
     """
     spark = records.sparkSession
     settings = capacities(experiments)
     if not settings:
         return spark.createDataFrame([], "experiment string, record_id bigint, piece int, n_pieces int, length int, window bigint, place int")
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("experiment"), F.lit(c).cast("int").alias("capacity")) for n, c, _ in settings]))
-    rows = train_lengths(records, split).select("record_id", "n_tokens", each.alias("e")).select("record_id", "n_tokens", "e.*")
-    n_pieces = F.greatest(F.lit(1), F.ceil(F.coalesce("n_tokens", F.lit(0)) / F.col("capacity"))).cast("int")
-    rows = rows.withColumn("n_pieces", n_pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
-    length = F.when(F.col("n_tokens") > 0, F.least(F.col("capacity"), F.col("n_tokens") - F.col("piece") * F.col("capacity"))).otherwise(F.when(F.col("n_tokens") == 0, F.lit(0)))
-    rows = rows.withColumn("length", length.cast("int")).select("experiment", "capacity", "record_id", "piece", "n_pieces", "length")
-    placed = rows.where("length > 0")
-    histogram = placed.groupBy("experiment", "capacity", "length").agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("experiment"), F.lit(c).cast("bigint").alias("capacity")) for n, c, _ in settings])).alias("e")
+    least, most = min(c for _, c, _ in settings), max(c for _, c, _ in settings)
+    rows = checkpoint(train_lengths(records, split).withColumn("n_tokens", F.col("n_tokens").cast("bigint")))
+    counted = checkpoint(rows.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")))
+    wide = counted.select("n_tokens", "n", each).select("n_tokens", "n", "e.*")
+    full = wide.where("n_tokens > capacity")
+    lengths = (
+        wide.where("n_tokens <= capacity")
+        .select("experiment", "capacity", F.col("n_tokens").alias("length"), "n")
+        .unionByName(full.select("experiment", "capacity", F.col("capacity").alias("length"), (F.col("n") * F.floor(F.col("n_tokens") / F.col("capacity"))).alias("n")))
+        .unionByName(full.select("experiment", "capacity", (F.col("n_tokens") % F.col("capacity")).alias("length"), "n").where("length > 0"))
+    )
+    histogram = checkpoint(lengths.groupBy("experiment", "capacity", "length").agg(F.sum("n").alias("n")))
     runs = checkpoint(histogram.groupBy("experiment").applyInPandas(_plans, _RUNS))
-    ranked = scan(placed, ["experiment", "length"], id_block("record_id", 8192), ["record_id", "piece"])
-    r, g = ranked.alias("r"), small(runs.withColumnRenamed("experiment", "_e"))
+    # Blocks of some `BLOCK_ROWS` rows of the commonest length, so that most lengths are one block each.
+    block, order = _order(max(0, ((histogram.agg(F.max("n")).first()[0] or 0) // BLOCK_ROWS).bit_length()))
+    whole = scan(rows.where(F.col("n_tokens").between(1, most)), ["n_tokens"], block, order)
+    whole = whole.select("record_id", "n_tokens", "rank", each).select("e.*", "record_id", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.col("n_tokens").alias("length"), "rank").where("length <= capacity")
+    cut = rows.where(F.col("n_tokens") > least).select("record_id", "n_tokens", each).select("record_id", "n_tokens", "e.*").where("n_tokens > capacity")
+    cut = cut.withColumn("n_pieces", F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int"))
+    cut = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
+    cut = cut.withColumn("length", F.least("capacity", F.col("n_tokens") - F.col("piece") * F.col("capacity")))
+    before = small(counted.select(F.col("n_tokens").alias("_n"), F.col("n").alias("_before")))
+    cut = scan(cut, ["experiment", "length"], block, [*order, "piece"]).join(before, F.col("length") == F.col("_n"), "left")
+    cut = cut.select("experiment", "capacity", "record_id", "piece", "n_pieces", "length", (F.col("rank") + F.coalesce("_before", F.lit(0))).alias("rank"))
+    g = small(runs.withColumnRenamed("experiment", "_e"))
     step = F.col("rank") - F.col("rank_from")
-    found = r.join(g, (F.col("experiment") == F.col("_e")) & (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("rank_from"), F.col("rank_to")))
-    found = found.select(
-        "experiment", "record_id", "piece", "n_pieces", "length",
+    fits = (F.col("experiment") == F.col("_e")) & (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("rank_from"), F.col("rank_to"))
+    found = whole.unionByName(cut).join(g, fits).select(
+        "experiment", "record_id", "piece", "n_pieces", F.col("length").cast("int").alias("length"),
         (F.col("window_from") + F.floor(step / F.col("per"))).cast("bigint").alias("window"),
         (F.col("place_from") + F.pmod(step, F.col("per")) * F.col("length")).cast("int").alias("place"),
     )
-    rest = rows.where("length is null or length = 0").select("experiment", "record_id", "piece", "n_pieces", "length", F.lit(None).cast("bigint").alias("window"), F.lit(None).cast("int").alias("place"))
+    length = F.when(F.col("n_tokens") == 0, F.lit(0)).alias("length")
+    rest = rows.where("n_tokens is null or n_tokens <= 0").select("record_id", length, each)
+    rest = rest.select("e.experiment", "record_id", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), "length", F.lit(None).cast("bigint").alias("window"), F.lit(None).cast("int").alias("place"))
     return found.unionByName(rest)
 
 
@@ -157,5 +187,5 @@ def unused(packed: DataFrame, experiments: DataFrame) -> DataFrame:
 def divided(packed: DataFrame, experiments: DataFrame) -> DataFrame:
     """`experiment`, `record_id` of the records that stand in more than one window and are longer than max_length."""
     settings = packed.sparkSession.createDataFrame([(n, m) for n, _, m in capacities(experiments)], "_e string, max_length int")
-    records = packed.where("window is not null").groupBy("experiment", "record_id").agg(F.min("window").alias("a"), F.max("window").alias("b"), F.sum("length").alias("n"))
+    records = packed.where("window is not null and n_pieces > 1").groupBy("experiment", "record_id").agg(F.min("window").alias("a"), F.max("window").alias("b"), F.sum("length").alias("n"))
     return records.join(F.broadcast(settings), (F.col("experiment") == F.col("_e")) & (F.col("n") > F.col("max_length"))).where("a != b").select("experiment", "record_id")

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 from hypothesis import given, settings
@@ -63,6 +64,28 @@ def test_pack(spark):
     assert (u["a"]["n_windows"], u["a"]["unused"], u["b"]["capacity"]) == (7, 4, 20)
 
 
+def test_every_record_has_its_place(spark, monkeypatch):
+    """Hot lengths in several blocks, records over the capacity: windows hold what fits, without a gap between records."""
+    monkeypatch.setattr(windows, "BLOCK_ROWS", 20)
+    rng = random.Random(1)
+    lengths = {i: rng.choice([7, 7, 7, *range(1, 60)]) for i in range(600)}
+    records = spark.createDataFrame([(i * 10**12, "train", n, 1) for i, n in lengths.items()], "record_id bigint, split string, n_tokens int, prepared_at int")
+    experiments = spark.createDataFrame([("a", 20, 20), ("b", 64, 64)], "experiment string, max_length int, max_seq_length int")
+    rows = windows.pack(records, experiments).collect()
+    for name, capacity in (("a", 20), ("b", 64)):
+        mine, made = Counter(), defaultdict(list)
+        for r in rows:
+            if r["experiment"] == name:
+                mine[r["record_id"] // 10**12] += r["length"]
+                made[r["window"]].append((r["place"], r["length"]))
+        assert mine == lengths
+        pieces = [n for x in lengths.values() for n in [capacity] * (x // capacity) + [x % capacity] * (x % capacity > 0)]
+        assert Counter(sum(n for _, n in x) for x in made.values()) == best_fit(pieces, capacity)
+        for parts in made.values():
+            parts.sort()
+            assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:])) and sum(parts[-1]) <= capacity
+
+
 def test_empty(spark):
     records, experiments = tables(spark)
     assert windows.pack(records.limit(0), experiments).count() == 0
