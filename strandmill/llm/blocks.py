@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 
 def cross(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """The product of the blocks of each pair: columns of `left` (with `block_1`) and of `right` (with `block_2`).
@@ -20,6 +22,19 @@ def cross(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.join(left, "block_1").join(pairs.join(right, "block_2"), ["block_1", "block_2"])
 
 
+def attach(rows: DataFrame, groups: DataFrame, on: list[str], size: str, most: int = 20_000) -> DataFrame:
+    """The inner join of rows with the values of their group, one row of `groups` for each `on`.
+
+    The largest groups by `size`, at most `most` of them, are broadcast, so that their rows aren't shuffled and no hot
+    group makes a large task; the others have less than 1 / `most` of all rows each.
+    """
+    if groups.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(groups), on)
+    top = checkpoint(groups.orderBy(F.desc(size), *on).limit(most))
+    known = F.broadcast(top.select(*on))
+    return rows.join(F.broadcast(top), on).unionByName(rows.join(known, on, "left_anti").join(groups.join(known, on, "left_anti"), on))
+
+
 def parts(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """The batch cut into parts of at most so many rows, and of at most so many bytes of a text column or one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -70,10 +70,15 @@ def _mapped(text: str, table: dict[str, str]) -> str:
     return text
 
 
-def canonical(text: str) -> str:
+def spelling(more: dict[str, str]) -> dict[str, str]:
+    """What characters become in the canonical form, with more look-alikes than those listed here."""
+    return more | _tables()[0]
+
+
+def canonical(text: str, table: dict[str, str] | None = None) -> str:
     """The one form of all texts that look like `text`: idempotent, case and visible differences kept.
 
-    Line ends of any kind become a line feed; one space of any kind becomes an ordinary one (their number stays).
+    `table`, if given, is one of `spelling`. Line ends of any kind become a line feed; one space of any kind becomes an ordinary one (their number stays).
     """
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -82,7 +87,7 @@ def canonical(text: str) -> str:
         if len(text.encode("ascii").translate(None, _CONTROLS)) == len(text):
             return text
         return _ASCII_CONTROL.sub(lambda m: "\n" if m[0] in "\x0b\x0c" else "", text)
-    table, _, kept, protected = _tables()
+    own, _, kept, protected = _tables()
     if "\u200d" in text:
         text = _JOINED.sub(_KEEP_JOIN, text)
     if not kept.isdisjoint(text):
@@ -93,7 +98,7 @@ def canonical(text: str) -> str:
         text = "".join([*parts, ud.normalize("NFKD", text[at:])])
     else:
         text = ud.normalize("NFKD", text)
-    text = ud.normalize("NFC", _mapped(text, table))
+    text = ud.normalize("NFC", _mapped(text, own if table is None else table))
     return text.replace(_KEEP_JOIN, "\u200d") if _KEEP_JOIN in text else text
 
 

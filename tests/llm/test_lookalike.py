@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from strandmill.llm import folding, lookalike
+from strandmill.llm import blocks, folding, lookalike
 
 SAME = [
     ("abc", "ａｂｃ"), ("a b", "a b"), ("a b", "a b"), ("a　b", "a b"), ("no", "n​o"), ("no", "n­o﻿"), ("café", "café"),
@@ -91,3 +91,26 @@ def test_classes_and_forms(spark):
 def test_empty(spark):
     df = records(spark).limit(0)
     assert lookalike.look_alike_pairs(df).count() == lookalike.look_alike_classes(df).count() == lookalike.canonical_forms(df).count() == 0
+
+
+def test_more_look_alikes(spark):
+    """Letters of other scripts by the public confusables data; what only resembles a letter stays."""
+    more = lookalike.look_alikes(spark)
+    table = folding.spelling(more)
+    for a, b in (("ꓮ", "A"), ("Ꭺ", "A"), ("Ꮪ", "S"), ("ᴄ", "c"), ("ⲟ", "o"), ("𐐬", "o"), ("Ⲓ", "I"), ("о", "o")):
+        assert folding.canonical(f"x{a}y é", table) == f"x{b}y é"
+    for c in "σαγɪƍאاß":
+        assert folding.canonical(c, table) == c
+    assert all(len(v) == 1 and v.isascii() and v.isalpha() for v in more.values()) and len(more) > 100
+    rng = random.Random(2)
+    for _ in range(1000):
+        t = "".join(rng.choice([*more, "́", "a", " ", "ａ"]) for _ in range(rng.randrange(6)))
+        assert folding.canonical(folding.canonical(t, table), table) == folding.canonical(t, table)
+
+
+def test_attach(spark):
+    rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(k)], "k int, i int")
+    groups = spark.createDataFrame([(k, k, f"v{k}") for k in range(1, 6)], "k int, n int, v string")
+    expected = sorted((k, i, k, f"v{k}") for k in range(6) for i in range(k))
+    for most in (1, 3, 100):
+        assert sorted(tuple(r) for r in blocks.attach(rows, groups, ["k"], "n", most).collect()) == expected
