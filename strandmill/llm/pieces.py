@@ -3,13 +3,17 @@
 Dynamic programming over boundary positions: a cut costs by its kind (the source's delimiter, a blank line, a line
 end, a sentence end, a clause end, a space, none) and a piece by its squared distance from equal sizes; the cheapest
 sequence of cuts is taken, subject to the limit and to the overlap that each piece repeats of the one before. All
-positions count code points of the text as stored.
+boundaries count. Cuts at none are tried only where neighbouring boundaries are further apart than a piece can be:
+elsewhere such a cut costs 12, and the two boundaries around it cost at most 3 each and make pieces that cost at most 1
+each, so they are always cheaper. Many texts are planned at once, a position at a time. All positions count code points
+of the text as stored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from math import ceil
 
 import numpy as np
@@ -18,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small
+from . import blocks
 
 KINDS = ("delimiter", "paragraph", "line", "sentence", "clause", "space", "none")
 COSTS = (0.0, 0.1, 0.3, 0.5, 1.5, 3.0, 12.0)
@@ -28,108 +33,126 @@ _CLAUSE = re.compile(r"[,;:]\s+|\s[–—-]\s+|[，；：、]")
 _SPACE = re.compile(r"\s+")
 
 
-def _marks(text: str, delimiter: str | None, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where the text may be cut, with their kind: ascending, from 0 to the length.
+#: Cells of the tables that are planned at once.
+CELLS = 1_000_000
 
-    Weaker kinds count only where stronger ones leave more than half of `room` without a boundary; where even
-    spaces leave as much, positions at every character are replaced by evenly spaced ones.
-    """
-    n, kind = len(text), {}
+
+@cache
+def _spaces() -> np.ndarray:
+    """Which code points of the basic plane are white space: there are none beyond it."""
+    return np.array([chr(c).isspace() for c in range(0x10000)])
+
+
+def _joined(codes: np.ndarray) -> np.ndarray:
+    """Whether a cut before each place would part a character from its combining mark, joiner or selector."""
+    before = np.concatenate([[0], codes[:-1]])
+    return (codes == 0x200D) | (codes == 0xFE0F) | (before == 0x200D) | ((codes >= 0x300) & (codes <= 0x36F)) | ((codes >= 0x1F3FB) & (codes <= 0x1F3FF))
+
+
+def _marks(text: str, delimiter: str | None, start: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where the text may be cut, with their kind: ascending, between `start` and the length."""
+    n = len(text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = np.full(n + 1, len(KINDS), np.int8)
+    space = _spaces()[np.minimum(codes, 0xFFFF)]
+    kind[np.flatnonzero(space[:-1] & ~space[1:]) + 1] = 5
+    for k, pattern in ((4, _CLAUSE), (3, _SENTENCE), (2, _LINE), (1, _PARAGRAPH)):
+        kind[[m.end() for m in pattern.finditer(text)]] = k
     if delimiter:
         at = text.find(delimiter)
         while at >= 0:
             # A delimiter of line ends and spaces closes its piece; one with visible characters opens the next.
-            cut = at + len(delimiter) if not delimiter.strip() else at + len(delimiter) - len(delimiter.lstrip())
-            kind.setdefault(cut, 0)
+            kind[at + len(delimiter) if not delimiter.strip() else at + len(delimiter) - len(delimiter.lstrip())] = 0
             at = text.find(delimiter, at + len(delimiter))
-    marks = np.array(sorted(x for x in kind if 0 < x < n), np.int64)
-    kinds = np.zeros(len(marks), np.int8)
-    for k, pattern in ((1, _PARAGRAPH), (2, _LINE), (3, _SENTENCE), (4, _CLAUSE), (5, _SPACE), (6, None)):
-        edges = np.concatenate([[0], marks, [n]])
-        wide = np.flatnonzero(np.diff(edges) > max(1, room // 2))
-        if not len(wide):
-            break
-        more = []
+    kind[: start + 1] = kind[n] = len(KINDS)
+    edges = np.concatenate([[start], np.flatnonzero(kind < len(KINDS)), [n]])
+    wide = np.flatnonzero(np.diff(edges) > room)
+    if len(wide):
+        joined = _joined(codes)
         for w in wide:
-            a, b = int(edges[w]), int(edges[w + 1])
-            if pattern is None:
-                step = max(1, room // 4)
-                for x in range(a + step, b, step):
-                    while a < x and _joined(text, x):
-                        x -= 1
-                    more.append(x if x > a else a + step)
-            else:
-                more += [x for m in pattern.finditer(text, a, b) if a < (x := m.end()) < b]
-        if more:
-            new = np.array(sorted(set(more)), np.int64)
-            marks = np.concatenate([marks, new])
-            kinds = np.concatenate([kinds, np.full(len(new), k, np.int8)])
-            order = np.argsort(marks, kind="stable")
-            marks, kinds = marks[order], kinds[order]
-            first = np.concatenate([[True], np.diff(marks) > 0])
-            marks, kinds = marks[first], kinds[first]
-    # Where characters are joined for longer than a piece can be, even they are parted.
-    edges = np.concatenate([[0], marks, [n]])
-    forced = [x for w in np.flatnonzero(np.diff(edges) > room) for x in range(int(edges[w]) + room, int(edges[w + 1]), room)]
-    if forced:
-        marks, kinds = np.concatenate([marks, forced]), np.concatenate([kinds, np.full(len(forced), 6, np.int8)])
-        order = np.argsort(marks, kind="stable")
-        marks, kinds = marks[order], kinds[order]
-    return marks, kinds
-
-
-def _joined(text: str, at: int) -> bool:
-    """Whether a cut at this position would part a character from its combining mark, joiner or selector."""
-    c = text[at]
-    return c in "‍️" or text[at - 1] == "‍" or "̀" <= c <= "ͯ" or "\U0001f3fb" <= c <= "\U0001f3ff"
+            inner = np.arange(edges[w] + 1, edges[w + 1])
+            kind[inner[~joined[inner]]] = 6
+        # Where characters are joined for longer than a piece can be, even they are parted.
+        edges = np.concatenate([[start], np.flatnonzero(kind < len(KINDS)), [n]])
+        for w in np.flatnonzero(np.diff(edges) > room):
+            kind[edges[w] + 1 : edges[w + 1]] = 6
+    marks = np.flatnonzero(kind < len(KINDS))
+    return marks, kind[marks]
+
+
+def _plan(tables: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
+    """The cheapest cuts of several texts: for each (positions from start to end, costs, room) the indexes of the cuts and the end."""
+    size = [len(t[0]) for t in tables]
+    pos, cost = np.zeros((len(tables), size[0])), np.zeros((len(tables), size[0]))
+    low = np.zeros((len(tables), size[0]), np.int64)
+    equal, room = np.zeros((len(tables), 1)), np.zeros((len(tables), 1))
+    for t, (p, c, r) in enumerate(tables):
+        pos[t, : size[t]], cost[t, : size[t]], room[t] = p, c, r
+        low[t, : size[t]] = np.searchsorted(p, p - r)
+        equal[t] = (p[-1] - p[0]) / ceil((p[-1] - p[0]) / r)
+    best, back = np.zeros(pos.shape), np.zeros(pos.shape, np.int64)
+    lengths = -np.array(size)
+    for j in range(1, size[0]):
+        m = int(np.searchsorted(lengths, -j, side="left"))
+        a = int(low[:m, j].min())
+        part = pos[:m, j : j + 1] - pos[:m, a:j]
+        total = part / equal[:m] - 1
+        total *= total
+        total += best[:m, a:j]
+        total[part > room[:m]] = np.inf
+        k = total.argmin(axis=1)
+        best[:m, j], back[:m, j] = total[np.arange(m), k] + cost[:m, j], a + k
+    out = []
+    for t in range(len(tables)):
+        cuts, j = [], size[t] - 1
+        while j > 0:
+            cuts.append(j)
+            j = int(back[t, j])
+        out.append(np.array(cuts[::-1], np.int64))
+    return out
 
 
-def cut(text: str, limit: int, overlap: int = 0, delimiter: str | None = None) -> list[tuple[int, int, int]]:
-    """The pieces of a text as (start, end, kind of the cut at the end); one piece if the text is within the limit.
+def cut_all(texts: list[tuple[str, int, int, str | None]]) -> list[list[tuple[int, int, int]]]:
+    """The pieces of each (text, limit, overlap, delimiter) as (start, end, kind of the cut at the end).
 
     Pieces are at most `limit` long and cover the text; each after the first starts `overlap` before the end of the
-    one before. An overlap of the limit or more is taken as limit - 1, a negative one as 0.
+    one before. A text within its limit is one piece. An overlap of the limit or more is taken as limit - 1, a negative
+    one as 0.
     """
-    n = len(text)
-    if limit < 1:
-        raise ValueError("the limit must be positive")
-    if n <= limit:
-        return [(0, n, len(KINDS) - 1)]
-    overlap = max(0, min(overlap, limit - 1))
-    room = limit - overlap
-    marks, kinds = _marks(text, delimiter, room)
-    pos = np.concatenate([[0], marks, [n]])
-    cost = np.concatenate([[0.0], np.array(COSTS)[kinds], [0.0]])
-    count = ceil((n - overlap) / room)
-    equal = (n - overlap) / count
-    best, back = np.full(len(pos), np.inf), np.zeros(len(pos), np.int64)
-    best[0] = 0.0
-    low = np.searchsorted(pos, pos - room)
-    for j in range(1, len(pos)):
-        a = low[j]
-        size = pos[j] - pos[a:j] - 0.0
-        # The first piece repeats nothing: it may be as long as the limit, and its own part is less by the overlap.
-        if pos[j] <= limit and a > 0:
-            a, size = 0, (pos[j] - pos[:j]).astype(float)
-            size[(size > room) & (pos[:j] > 0)] = np.inf
-        if a == 0:
-            size[0] = pos[j] - overlap if pos[j] <= limit else np.inf
-        total = best[a:j] + ((size - equal) / equal) ** 2
-        k = int(np.argmin(total))
-        best[j], back[j] = total[k] + cost[j], a + k
-    cuts, j = [], len(pos) - 1
-    while j > 0:
-        cuts.append(j)
-        j = int(back[j])
-    cuts.reverse()
-    out, at = [], 0
-    for j in cuts:
-        end = int(pos[j])
-        out.append((at, end, int(kinds[j - 1]) if end < n else len(KINDS) - 1))
-        at = end - overlap
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    todo = []
+    for i, (text, limit, overlap, delimiter) in enumerate(texts):
+        if limit < 1:
+            raise ValueError("the limit must be positive")
+        overlap = max(0, min(overlap, limit - 1))
+        if len(text) <= limit:
+            out[i] = [(0, len(text), len(KINDS) - 1)]
+            continue
+        # The first piece repeats nothing: its own part begins where the overlap of a piece would end.
+        marks, kinds = _marks(text, delimiter, overlap, limit - overlap)
+        pos = np.concatenate([[overlap], marks, [len(text)]])
+        todo.append((i, pos, np.concatenate([[len(KINDS) - 1], kinds, [len(KINDS) - 1]]), overlap, limit - overlap))
+    todo.sort(key=lambda x: (x[4], -len(x[1])))
+    at = 0
+    while at < len(todo):
+        end = at + 1
+        while end < len(todo) and todo[end][4] <= 1.5 * todo[at][4] and (end - at + 1) * max(len(x[1]) for x in (todo[at], todo[end])) <= CELLS:
+            end += 1
+        group = sorted(todo[at:end], key=lambda x: -len(x[1]))
+        for (i, pos, kinds, overlap, _), cuts in zip(group, _plan([(p.astype(float), np.append(np.array(COSTS)[k[:-1]], 0.0), r) for _, p, k, _, r in group])):
+            start = 0
+            for j in cuts:
+                out[i].append((start, int(pos[j]), int(kinds[j])))
+                start = int(pos[j]) - overlap
+        at = end
     return out
 
 
+def cut(text: str, limit: int, overlap: int = 0, delimiter: str | None = None) -> list[tuple[int, int, int]]:
+    """`cut_all` of one text."""
+    return cut_all([(text, limit, overlap, delimiter)])[0]
+
+
 def with_limits(records: DataFrame, sources: DataFrame) -> DataFrame:
     """`record_id`, `text`, `delimiter`, `overlap` and `cap` (null: none) of each row.
 
@@ -146,13 +169,13 @@ def with_limits(records: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(small(known), F.col("_at") == F.col("_source"), "left").select("record_id", "text", "delimiter", "overlap", "cap")
 
 
-def _plan(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500).to_pydict()
+        for piece_of in blocks.parts(batch, 1, 2000, 8_000_000):
+            part = piece_of.to_pydict()
             ids, numbers, of, starts, ends, kinds, piece = [], [], [], [], [], [], []
-            for r, t, d, o, c in zip(part["record_id"], part["text"], part["delimiter"], part["overlap"], part["cap"]):
-                found = cut(t, c, o or 0, d) if c is not None else [(0, len(t), len(KINDS) - 1)]
+            planned = cut_all([(t, len(t) or 1 if c is None else c, o or 0, d) for t, d, o, c in zip(part["text"], part["delimiter"], part["overlap"], part["cap"])])
+            for r, t, found in zip(part["record_id"], part["text"], planned):
                 for i, (a, b, k) in enumerate(found):
                     ids.append(r), numbers.append(i), of.append(len(found)), starts.append(a), ends.append(b), kinds.append(KINDS[k])
                     if texts:
@@ -172,7 +195,7 @@ def cut_plan(records: DataFrame, sources: DataFrame) -> DataFrame:
     again is cut again, the same way.
     """
     over = with_limits(records, sources).where("char_length(text) > cap")
-    return over.mapInArrow(lambda it: _plan(it, False), _SCHEMA)
+    return over.mapInArrow(lambda it: _pieces(it, False), _SCHEMA)
 
 
 def cut_texts(records: DataFrame, sources: DataFrame) -> DataFrame:
@@ -183,7 +206,7 @@ def cut_texts(records: DataFrame, sources: DataFrame) -> DataFrame:
     """
     latest = records.groupBy("record_id").agg(F.max(F.struct(F.col("loaded_at"), F.col("source"), F.col("text"))).alias("r")).select("record_id", "r.source", "r.text")
     rows = with_limits(latest, sources).where("text is not null")
-    return rows.mapInArrow(lambda it: _plan(it, True), _SCHEMA + ", text string")
+    return rows.mapInArrow(lambda it: _pieces(it, True), _SCHEMA + ", text string")
 
 
 def over_limit(records: DataFrame, sources: DataFrame) -> DataFrame:

@@ -19,6 +19,26 @@ def test_pieces_cover_the_text(t, limit, overlap, delimiter):
     assert all(b - a <= limit for a, b, _ in found)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab . \n,!|", min_size=1, max_size=120), st.integers(2, 40), st.integers(0, 12), st.sampled_from([None, "\n\n", "|"])), min_size=1, max_size=5))
+def test_no_cuts_are_cheaper(many):
+    """The cost is the least over all places of the text, with and without a boundary, however many texts are planned together."""
+    for (t, limit, overlap, delimiter), found in zip(many, pieces.cut_all(many)):
+        n, overlap = len(t), max(0, min(overlap, limit - 1))
+        if n <= limit:
+            continue
+        room = limit - overlap
+        equal = (n - overlap) / -(-(n - overlap) // room)
+        marks, kinds = pieces._marks(t, delimiter, overlap, 10**9)
+        cost = {x: pieces.COSTS[6] for x in range(overlap + 1, n)} | {int(x): pieces.COSTS[k] for x, k in zip(marks, kinds)} | {n: 0.0}
+        best = {overlap: 0.0}
+        for j in range(overlap + 1, n + 1):
+            best[j] = min(best[i] + ((j - i - equal) / equal) ** 2 for i in range(max(overlap, j - room), j)) + cost[j]
+        ends = [overlap, *(b for _, b, _ in found)]
+        got = sum(((b - a - equal) / equal) ** 2 + cost[b] for a, b in zip(ends, ends[1:]))
+        assert abs(got - best[n]) < 1e-6
+
+
 def test_boundaries_are_natural():
     t = "First part is here. It goes on.\n\nSecond part follows. It ends.\n\nThird one."
     cuts = [(t[a:b], pieces.KINDS[k]) for a, b, k in pieces.cut(t, 40, 0, "\n\n")]
