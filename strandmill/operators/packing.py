@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ordinal import id_block, scan
+from ..session import checkpoint, small
 
 
 def statistics(rows: DataFrame, keys: tuple[str, ...] = ("split", "source")) -> DataFrame:
@@ -65,33 +66,113 @@ def fill_shards(sizes: np.ndarray, size: int, filled: int = 0) -> tuple[np.ndarr
     return opens, int(opens.sum()), filled
 
 
-def assign_shards(rows: DataFrame, size: int, order: str = "mix_ord", group: str = "split", eos: int = -1) -> DataFrame:
+def range_table(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a range of documents does to the open shard, for every fill that it may have before the range.
+
+    Gives ascending bounds with the shards opened and the fill after the range: with `free` tokens left before it, the
+    first bound of at least `free` holds; beyond the last nothing is opened and all documents are added. Chains of
+    shards from all documents that may open the first one are followed together; most of them soon meet.
+    """
+    m = len(sizes)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    filled = np.append(np.flatnonzero(sizes > 0), m)
+    # The most free tokens with which a document still opens a shard.
+    bounds = np.maximum(ends - 1, starts)
+    first = np.arange(min(m, int(np.searchsorted(bounds, size, side="left")) + 1))
+    at, opened, fill = first.copy(), np.ones(len(first), np.int64), np.zeros(len(first), np.int64)
+    go = np.arange(len(first))
+    while len(go):
+        here, back = np.unique(at[go], return_inverse=True)
+        base = starts[here]
+        # Documents without tokens leave a new shard empty, and an empty shard takes any document.
+        holds = filled[np.searchsorted(filled, here)]
+        after = np.minimum(np.searchsorted(ends, base + size, side="right"), np.searchsorted(starts, base + size, side="left"))
+        after = np.minimum(np.maximum(after, holds + 1), m)
+        over = after[back] == m
+        fill[go[over]] = (ends[-1] - base)[back[over]]
+        opened[go[~over]] += 1
+        at[go[~over]] = after[back[~over]]
+        go = go[~over]
+    last = np.append((np.diff(opened) != 0) | (np.diff(fill) != 0), True)
+    return bounds[first][last], opened[last], fill[last]
+
+
+_TABLE = "bound bigint, opened bigint, fill bigint, total bigint"
+
+
+def _ranges(placed: DataFrame, size: int, group_kind: str) -> DataFrame:
+    """`_g`, `_range`, and the `_fill` and `_shard` before each range: the tables of ranges, composed in order."""
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.sort_values("_o")["_n"].to_numpy()
+        bounds, opened, fill = range_table(sizes, size)
+        _, n, left = fill_shards(sizes, size, 0)
+        out = pd.DataFrame({"bound": np.append(-1, bounds), "opened": np.append(n, opened), "fill": np.append(left, fill), "total": int(sizes.sum())})
+        out.insert(0, "_range", pdf["_range"].iloc[0])
+        out.insert(0, "_g", pdf["_g"].iloc[0])
+        return out
+
+    def compose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, shard, filled, held = None, 0, 0, None
+
+        def step(part: pd.DataFrame) -> tuple:
+            nonlocal group, shard, filled
+            g, r = part["_g"].iloc[0], int(part["_range"].iloc[0])
+            if g != group:
+                group, shard, filled = g, 0, 0
+            row = (g, r, filled, shard)
+            # The first row holds for an empty shard; the others are looked up by what is free.
+            k = 0 if filled == 0 else 1 + int(np.searchsorted(part["bound"].to_numpy()[1:], max(0, size - filled), side="left"))
+            if k < len(part):
+                shard, filled = shard + int(part["opened"].iloc[k]), int(part["fill"].iloc[k])
+            else:
+                filled += int(part["total"].iloc[0])
+            return row
+
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            parts = [x for _, x in pdf.groupby(["_g", "_range"], sort=False, dropna=False)]
+            held = parts.pop() if parts else None
+            if parts:
+                yield pd.DataFrame([step(x) for x in parts], columns=["_g", "_range", "_fill", "_shard"])
+        if held is not None and len(held):
+            yield pd.DataFrame([step(held)], columns=["_g", "_range", "_fill", "_shard"])
+
+    tables = placed.groupBy("_g", "_range").applyInPandas(table, f"_g {group_kind}, _range bigint, {_TABLE}")
+    return tables.repartition("_g").sortWithinPartitions("_g", "_range", "bound").mapInPandas(compose, f"_g {group_kind}, _range bigint, _fill bigint, _shard bigint")
+
+
+def assign_shards(rows: DataFrame, size: int, order: str = "mix_ord", group: str = "split", eos: int = -1, range_docs: int | None = None) -> DataFrame:
     """Adds `shard` (from 0): documents fill shards of up to `size` tokens in order, never divided.
 
-    The fold needs the order, so a group's lengths (16 bytes per document, never tokens) go through one task as a
-    sorted stream, which is not collected: only the fill of the open shard is kept between batches.
+    Documents are cut into ranges of so many (some hundred shards each). A task per range tells what the range does to
+    the open shard for every fill before it; these small tables are composed in order, and a task per range then
+    assigns its documents. So no task sees more than a range, and only the tables meet in one place.
     """
     if size <= 0:
         return rows.withColumn("shard", F.lit(0).cast("bigint"))
+    kinds = dict(rows.dtypes)
     length = F.col("n_tokens") + (1 if eos >= 0 else 0)
     narrow = rows.select(F.col(group).alias("_g"), F.col(order).alias("_o"), length.cast("bigint").alias("_n"))
+    known = narrow.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    docs = range_docs or max(65_536, min(2_000_000, 256 * size * known[0] // max(1, known[1] or 1)))
+    placed = scan(narrow, ["_g"], id_block("_o"), ["_o"], "_r").withColumn("_range", F.floor((F.col("_r") - 1) / docs)).drop("_r")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, shard, filled = None, 0, 0
-        for pdf in frames:
-            out = []
-            for g, part in pdf.groupby("_g", sort=False, dropna=False):
-                if g != current:
-                    current, shard, filled = g, 0, 0
-                opens, n, filled = fill_shards(part["_n"].to_numpy(), size, filled)
-                out.append(pd.DataFrame({"_g": part["_g"], "_o": part["_o"], "shard": shard + np.cumsum(opens)}))
-                shard += n
-            if out:
-                yield pd.concat(out)
+    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_o")
+        opens, _, _ = fill_shards(pdf["_n"].to_numpy(), size, int(pdf["_fill"].iloc[0]))
+        return pd.DataFrame({"_g": pdf["_g"], "_o": pdf["_o"], "shard": int(pdf["_shard"].iloc[0]) + np.cumsum(opens)})
 
-    kinds = dict(rows.dtypes)
-    placed = narrow.repartition("_g").sortWithinPartitions("_g", "_o").mapInPandas(run, f"_g {kinds[group]}, _o {kinds[order]}, shard bigint")
-    return rows.join(placed, (F.col(group) == F.col("_g")) & (F.col(order) == F.col("_o"))).drop("_g", "_o")
+    if known[0] <= docs:
+        before = placed.withColumns({"_fill": F.lit(0).cast("bigint"), "_shard": F.lit(0).cast("bigint")})
+    else:
+        placed = checkpoint(placed)
+        entry = _ranges(placed, size, kinds[group])
+        entry = small(checkpoint(entry).select(F.col("_g").alias("_eg"), F.col("_range").alias("_er"), "_fill", "_shard"))
+        before = placed.join(entry, F.col("_g").eqNullSafe(F.col("_eg")) & (F.col("_range") == F.col("_er"))).drop("_eg", "_er")
+    found = before.groupBy("_g", "_range").applyInPandas(assign, f"_g {kinds[group]}, _o {kinds[order]}, shard bigint")
+    return rows.join(found, F.col(group).eqNullSafe(F.col("_g")) & (F.col(order) == F.col("_o"))).drop("_g", "_o")
 
 
 def shard_summary(rows: DataFrame, group: str = "split", eos: int = -1) -> DataFrame:

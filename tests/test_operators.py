@@ -113,6 +113,36 @@ def test_shard_fold(sizes, size, filled):
     assert left == buf
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=40), st.integers(1, 25))
+def test_range_tables(sizes, size):
+    """The table of a range gives what the fold gives, for every fill before it."""
+    sizes = np.array(sizes, np.int64)
+    bounds, opened, fill = packing.range_table(sizes, size)
+    for before in range(1, 40):
+        k = int(np.searchsorted(bounds, max(0, size - before), side="left"))
+        found = (int(opened[k]), int(fill[k])) if k < len(bounds) else (0, before + int(sizes.sum()))
+        assert found == packing.fill_shards(sizes, size, before)[1:]
+
+
+def test_shards_of_ranges(spark):
+    """The same shards whether a split is one range or many."""
+    rng = random.Random(4)
+    rows = [(g, 3 * i, rng.choice([0, 1, 5, 9, 30])) for g in ("a", "b", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "split string, mix_ord bigint, n_tokens bigint")
+    expected = {}
+    for g in ("a", "b", None):
+        shard, filled = 0, 0
+        for x, o, n in rows:
+            if x == g:
+                if filled and (filled >= 20 or filled + n > 20):
+                    shard, filled = shard + 1, 0
+                filled += n
+                expected[g, o] = shard
+    for docs in (None, 7, 100):
+        assert {(r["split"], r["mix_ord"]): r["shard"] for r in packing.assign_shards(df, 20, range_docs=docs).collect()} == expected
+
+
 def test_windows_put_the_stream_together(spark):
     rng, rows, at = random.Random(5), [], 0
     for i in range(60):
