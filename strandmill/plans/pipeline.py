@@ -18,7 +18,7 @@ from ..operators import documents as dc
 from ..operators import mixing, packing
 from ..ordinal import id_block, scan
 from ..session import checkpoint, checkpoint_dir
-from ..sources import npy, readers
+from ..sources import npy, paths, readers
 from . import diagnostics
 
 
@@ -57,7 +57,7 @@ def read_source(spark: SparkSession, source: SimpleNamespace, ordinal: int, enco
 def stage_cache(spark: SparkSession, rows, folder: str, name: str, key: str) -> DataFrame:
     """The stored rows of a source; written first if there is none of this key. The key covers all settings."""
     path = os.path.join(folder, f"{name}-{key}")
-    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+    if not paths.exists(spark, os.path.join(path, "_SUCCESS")):
         rows().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -71,7 +71,7 @@ def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
     """
     encode = encoder(config.tokenizer)
     active = [(i, s) for i, s in enumerate(config.datasets) if s.weight > 0]
-    folder = cache or os.path.join(checkpoint_dir(spark).removeprefix("file://"), f"tokens-{uuid4().hex}")
+    folder = cache or os.path.join(checkpoint_dir(spark), f"tokens-{uuid4().hex}")
     read = []
     for i, s in active:
         make = lambda i=i, s=s: read_source(spark, s, i, encode, resolve)
@@ -128,8 +128,11 @@ def run(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
     sharded = packing.assign_shards(made.selected, out.shard_size_tokens, "write_ord", "output", out.eos_token_id)
     rows = sharded.join(made.documents.select("source", "doc_ord", "tokens"), ["source", "doc_ord"])
     rows = rows.withColumn("tokens", tk.append_eos(F.col("tokens"), out.eos_token_id))
-    name = ["output", "shard"] if out.shard_size_tokens else ["output"]
-    files = sorted(((r["file"], r["n_tokens"]) for r in npy.write_npy(rows, out.dir, name, ["write_ord"], out.prefix).collect()), key=lambda f: (len(f[0]), f[0]))
+    if out.shard_size_tokens:
+        written = [(r["file"], r["n_tokens"]) for r in npy.write_npy(rows, out.dir, ["output", "shard"], ["write_ord"], out.prefix).collect()]
+    else:
+        written = npy.write_streams(rows, out.dir, "output", "write_ord", out.prefix)
+    files = sorted(written, key=lambda f: (len(f[0]), f[0]))
     diagnostics.emit(out.dir, out.prefix, "written", files=len(files), tokens=sum(n for _, n in files))
     stats: dict = {}
     for r in packing.statistics(made.selected, ("output", "source")).collect():

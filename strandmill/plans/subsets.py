@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..functions.tokenizers import Tokenizer
 from ..operators import documents as dc
 from ..operators import packing
 from ..ordinal import scan
-from ..sources import npy
+from ..sources import npy, paths
 from ..sources.reports import parse_bytes, parse_tokens
 
 
@@ -22,7 +20,7 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_id"), (F.octet_length("value") + 1).cast("bigint").alias("_n"))
     out = scan(raw, [], F.col("_part"), ["_id"], "line_no", {"_upto": "_n"})
     # The last line may have no line feed: the size of the file tells.
-    size = F.lit(os.path.getsize(path)).cast("bigint")
+    size = F.lit(paths.size(spark, path)).cast("bigint")
     return out.select((F.col("line_no") - 1).alias("line_no"), "line", F.least(F.col("_n"), size - (F.col("_upto") - F.col("_n"))).alias("n_bytes"))
 
 

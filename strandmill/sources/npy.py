@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..ordinal import id_block, scan
+
 
 class _Slice(InputPartition):
     def __init__(self, path: str, start: int, stop: int):
@@ -75,6 +77,50 @@ def read_npy(spark: SparkSession, path: str, chunk: int = 65_536) -> DataFrame:
     return spark.read.format("npy").option("path", path).option("chunk", str(chunk)).load()
 
 
+def _header(n: int, kind: type) -> bytes:
+    """The header of an array of n tokens, always of 128 bytes, so that it can be written last."""
+    head = f"{{'descr': '{np.dtype(kind).str}', 'fortran_order': False, 'shape': ({n},), }}"
+    return b"\x93NUMPY\x01\x00" + (118).to_bytes(2, "little") + head.ljust(117).encode() + b"\n"
+
+
+def write_streams(rows: DataFrame, folder: str, name: str, order: str, prefix: str, span: int = 16_777_216) -> list[tuple[str, int]]:
+    """Writes all tokens of each group to one file `prefix_name.npy`, by many tasks; gives (file, tokens), at once.
+
+    Where each row's tokens stand follows from running sums, so tasks write spans of some `span` tokens into a shared
+    file at their place; headers and names come last. A task that runs again writes the same. Needs `tokens`; `folder`
+    must be one that all executors share.
+    """
+    sized = rows.select(F.col(name).alias("_g"), F.col(order).alias("_o"), "tokens", F.size("tokens").cast("bigint").alias("_n"), F.coalesce(F.array_max("tokens"), F.lit(0)).alias("_top"))
+    totals = [tuple(r) for r in sized.groupBy("_g").agg(F.sum("_n"), F.max("_top")).collect()]
+    kinds = {g: np.uint32 if top > 65_535 else np.uint16 for g, _, top in totals}
+    at = scan(sized.drop("_top"), ["_g"], id_block("_o"), ["_o"], "_r", {"_stop": "_n"})
+    run_id = uuid4().hex
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, stop, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                values = tokens.values.to_numpy(zero_copy_only=False).astype(kinds[g])
+                file = os.open(os.path.join(folder, f".{prefix}_{g}.{run_id}.part"), os.O_WRONLY | os.O_CREAT)
+                try:
+                    os.pwrite(file, values.tobytes(), 128 + (stop - len(values)) * values.itemsize)
+                finally:
+                    os.close(file)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    spans = at.where("_n > 0").repartition("_g", F.floor((F.col("_stop") - F.col("_n")) / span))
+    spans.select("_g", "_stop", "tokens").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    out = []
+    for g, n, _ in sorted(totals):
+        part = os.path.join(folder, f".{prefix}_{g}.{run_id}.part")
+        file = os.open(part, os.O_WRONLY | os.O_CREAT)
+        os.pwrite(file, _header(n or 0, kinds[g]), 0)
+        os.close(file)
+        os.replace(part, os.path.join(folder, f"{prefix}_{g}.npy"))
+        out.append((f"{prefix}_{g}.npy", n or 0))
+    return out
+
+
 def write_npy(rows: DataFrame, folder: str, name: list[str], order: list[str], prefix: str) -> DataFrame:
     """Writes the tokens of each group to a file `prefix_name1(_name2...).npy`; gives `file`, `n_tokens` (lazy: an action writes).
 
@@ -96,9 +142,7 @@ def write_npy(rows: DataFrame, folder: str, name: list[str], order: list[str], p
             if out is None:
                 return
             out.seek(0)
-            # The reserved header is rewritten with the number of tokens, padded to the same size.
-            head = f"{{'descr': '{np.dtype(kind).str}', 'fortran_order': False, 'shape': ({n},), }}"
-            out.write(b"\x93NUMPY\x01\x00" + (118).to_bytes(2, "little") + head.ljust(117).encode() + b"\n")
+            out.write(_header(n, kind))
             out.close()
             os.replace(out.name, os.path.join(folder, f"{current}.npy"))
             done.append((f"{current}.npy", n))

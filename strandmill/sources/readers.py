@@ -15,13 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators.documents import segment
 from ..ordinal import scan
-from . import npy
-
-
-def _paths(path: str, suffix: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(suffix))
-    return [path]
+from . import npy, paths
 
 
 def _numbered(rows: DataFrame, columns: list[str], within: list[str]) -> DataFrame:
@@ -33,18 +27,26 @@ def _numbered(rows: DataFrame, columns: list[str], within: list[str]) -> DataFra
 def read_text(spark: SparkSession, path: str, delimiter: str = "\n\n") -> DataFrame:
     """Delimited text of a file or the .txt files of a folder by name.
 
-    Files are cut at the delimiter by the scan itself, so a huge file is read in parallel; line ends are unified
-    afterwards, and pieces cut again, stripped and dropped if blank. Undecodable bytes are dropped.
+    Files are cut at the delimiter by the scan itself, so a huge file is read in parallel; files whose head has line ends
+    of two characters are cut at the delimiter written with these. Line ends are unified afterwards, and pieces cut
+    again, stripped and dropped if blank. Undecodable bytes are dropped.
     """
-    raw = spark.read.option("lineSep", delimiter).text(_paths(path, ".txt"))
-    raw = raw.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_id"))
-    raw = raw.withColumn("text", F.replace(F.make_valid_utf8("text"), F.lit("�"), F.lit("")))
-    return _numbered(segment(raw, delimiter, "_id"), ["text"], ["_id", "piece"])
+    files: dict[str, list[str]] = {}
+    for f in paths.listing(spark, path, ".txt"):
+        wide = "\n" in delimiter and b"\r\n" in paths.head(spark, f)
+        files.setdefault(delimiter.replace("\n", "\r\n") if wide else delimiter, []).append(f)
+    out = None
+    for end, some in (files or {delimiter: [path]}).items():
+        raw = spark.read.option("lineSep", end).text(some)
+        raw = raw.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_id"))
+        out = raw if out is None else out.unionByName(raw)
+    out = out.withColumn("text", F.replace(F.make_valid_utf8("text"), F.lit("\ufffd"), F.lit("")))
+    return _numbered(segment(out, delimiter, "_id"), ["text"], ["_id", "piece"])
 
 
 def read_jsonl(spark: SparkSession, path: str, text_field: str = "text") -> DataFrame:
     """One object per line; objects without the field or with an empty one are skipped, a malformed line raises."""
-    raw = spark.read.text(_paths(path, ".jsonl"))
+    raw = spark.read.text(paths.listing(spark, path, ".jsonl"))
     raw = raw.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_id"))
     text = F.from_json("value", f"`{text_field}` string", {"mode": "FAILFAST"})[text_field]
     rows = raw.where(~tx.is_blank(F.col("value"))).withColumn("text", text).where("text is not null and text != ''")
@@ -60,7 +62,7 @@ def read_parquet(spark: SparkSession, path: str, text_field: str = "text", resol
         if resolve is None:
             raise ValueError("a remote path needs a resolver to local files")
         path = resolve(parse_remote(path))
-    raw = spark.read.parquet(*_paths(path, ".parquet")).select(F.col(text_field).alias("text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_id"))
+    raw = spark.read.parquet(*paths.listing(spark, path, ".parquet")).select(F.col(text_field).alias("text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_id"))
     rows = raw.where("text is not null and text != ''").withColumn("_part", F.floor(F.col("_id") / 65_536))
     return _numbered(rows, ["text"], ["_id"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandmill import config as cf
 from strandmill.plans import pipeline
-from strandmill.sources import npy, readers, reports
+from strandmill.sources import npy, readers, reports, paths
 from strandmill.streaming import tail
 
 
@@ -81,6 +81,17 @@ def test_shards_beyond_five_digits(spark, tmp_path):
     assert sorted(f.name for f in tmp_path.iterdir()) == sorted(files)
 
 
+def test_one_file_by_many_tasks(spark, tmp_path):
+    rows = [(g, i, list(range(i, i + i % 7))) for g in ("train", "val") for i in range(200)] + [("val", 500, [70_000]), ("test", 1, [])]
+    df = spark.createDataFrame(rows, "output string, o bigint, tokens array<int>").repartition(5)
+    found = dict(npy.write_streams(df, str(tmp_path), "output", "o", "p", span=50))
+    for g, kind in (("train", np.uint16), ("val", np.uint32), ("test", np.uint16)):
+        expected = [t for x, _, ts in rows if x == g for t in ts]
+        array = np.load(tmp_path / f"p_{g}.npy", mmap_mode="r")
+        assert array.tolist() == expected and array.dtype == kind and found[f"p_{g}.npy"] == len(expected)
+    assert len(list(tmp_path.iterdir())) == 3
+
+
 def test_formats():
     with pytest.raises(ValueError, match="unknown format"):
         readers.reader("csv")
@@ -235,3 +246,22 @@ def test_subset_chain(spark, tmp_path):
     short = subsets.extract_token_file(spark, str(tmp_path / "out" / "w_tokens.npy"), "10", str(tmp_path / "out"), "w_short").collect()
     assert [r["n_tokens"] for r in short] == [10]
     assert np.load(tmp_path / "out" / "w_short.npy").tolist() == list(path.read_bytes()[:10])
+
+
+def test_text_with_wide_line_ends(spark, tmp_path):
+    """Files with line ends of two characters are cut by the scan as well; both kinds may lie in one folder."""
+    (tmp_path / "a.txt").write_bytes(b"one\r\ntwo\r\n\r\nthree\r\n\r\n\r\nfour")
+    (tmp_path / "b.txt").write_bytes(b"five\n\nsix\r\n\r\nseven")
+    rows = [r["text"] for r in readers.read_text(spark, str(tmp_path)).orderBy("doc_ord").collect()]
+    assert rows == ["one\ntwo", "three", "four", "five", "six", "seven"]
+    assert spark.read.option("lineSep", "\r\n\r\n").text(str(tmp_path / "a.txt")).count() == 3
+
+
+def test_paths(spark, tmp_path):
+    where = f"file://{tmp_path}/x/a.txt"
+    paths.make_folder(spark, f"file://{tmp_path}/x")
+    paths.write(spark, where, b"abcdef")
+    assert paths.exists(spark, where) and paths.size(spark, where) == 6 and paths.head(spark, where, 3) == b"abc"
+    assert [p.rpartition("/")[2] for p in paths.listing(spark, f"{tmp_path}/x", ".txt")] == ["a.txt"]
+    paths.remove(spark, f"file://{tmp_path}/x")
+    assert not paths.exists(spark, where)
