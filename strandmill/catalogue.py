@@ -805,6 +805,129 @@ def cross_entropy_smoothed(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(arrays.smoothed_cross_entropy(F.col("embedding"), F.col("label"), 0.1), 6).alias("loss"))
 
 
+_array_query(
+    "norm_crms",
+    lambda e: F.transform(arrays.centered_rms_norm(e), lambda x: x + 1.0),
+    "list_transform(list_transform(e, lambda x: x - list_sum(e) / len(e)), lambda x: 1 + x / sqrt(list_sum(list_transform(e, lambda y: (y - list_sum(e) / len(e)) * (y - list_sum(e) / len(e)))) / len(e) + 1e-6))",
+)
+_array_query("norm_flash", arrays.flash_norm, "list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)) / len(e) + 1e-6))")
+_array_query("act_gelu", arrays.gelu, "list_transform(e, lambda x: x / (1 + exp(-2 * sqrt(2 / pi()) * (x + 0.044715 * x * x * x))))")
+_array_query("act_swiglu", lambda e: arrays.swiglu(F.slice(e, 1, 32), F.slice(e, 33, 32)), "list_transform(e[1:32], lambda x, i: x / (1 + exp(-x)) * e[32 + i])")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+      o AS (SELECT vec_id, list_transform(e, lambda x, i: x * cos((vec_id % 100) / pow(10000, 2.0 * ((i - 1) % 32) / 64))
+        + CASE WHEN i <= 32 THEN -e[i + 32] ELSE e[i - 32] END * sin((vec_id % 100) / pow(10000, 2.0 * ((i - 1) % 32) / 64))) AS o FROM v)
+      SELECT vec_id, round(list_sum(o), 6) AS total, round(list_sum(list_transform(o, lambda x, i: x * i)), 6) AS weighted FROM o"""
+)
+def position_rope(spark, d):
+    return _array_sums(table(spark, d, "embeddings").select("vec_id", arrays.rope(F.col("embedding"), F.col("vec_id") % 100).alias("o")))
+
+
+@query("SELECT h AS head, i, j, round(0 - pow(2, -8.0 * (h + 1) / 4) * greatest(0, j - i), 9) AS bias FROM range(4) a(h), range(40) b(i), range(40) c(j)")
+def position_alibi(spark, d):
+    return arrays.alibi_bias(spark, 4, 40).withColumn("bias", F.round("bias", 9)).withColumn("head", F.col("head").cast("bigint"))
+
+
+@query("SELECT i, j, CAST(least(greatest(i - j, 0), 15) AS INTEGER) AS bucket FROM range(50) b(i), range(50) c(j)")
+def position_relative(spark, d):
+    return arrays.relative_buckets(spark, 50, 16)
+
+
+# ---------------------------------------------------------------- multiple-choice items
+
+
+@query(
+    """SELECT item_id, item_id AS n, CAST(item_id AS VARCHAR) AS example_id, trim(coalesce(prompt, '') || ' ' || 'next') AS prompt, len(choices) AS n_choices, answer_index
+      FROM mcq_example WHERE len(choices) >= 2 AND answer_index >= 0 AND answer_index < len(choices)"""
+)
+def eval_items_endings(spark, d):
+    rows = table(spark, d, "mcq_example").select("item_id", F.col("prompt").alias("ctx_a"), F.lit("next").alias("ctx_b"), F.col("choices").alias("endings"), F.col("answer_index").cast("string").alias("label"), F.col("item_id").alias("ind"))
+    items = ev.hellaswag_items(rows, "item_id")
+    return items.select("item_id", F.col("item_id").alias("n"), "example_id", "prompt", F.size("choices").cast("bigint").alias("n_choices"), "answer_index")
+
+
+@query(
+    """SELECT item_id, CAST(item_id AS VARCHAR) AS example_id, 'Question: ' || trim(prompt) || chr(10) || 'Answer:' AS prompt, trim(choices[1]) AS one, trim(choices[2]) AS two, answer_index
+      FROM mcq_example WHERE trim(prompt) <> '' AND trim(choices[1]) <> '' AND trim(choices[2]) <> '' AND answer_index IN (0, 1)"""
+)
+def eval_items_goals(spark, d):
+    rows = table(spark, d, "mcq_example").select("item_id", F.col("prompt").alias("goal"), F.get("choices", F.lit(0)).alias("sol1"), F.get("choices", F.lit(1)).alias("sol2"), F.col("answer_index").alias("label"), F.col("item_id").alias("id"))
+    items = ev.piqa_items(rows, "item_id")
+    return items.select("item_id", "example_id", "prompt", F.col("choices")[0].alias("one"), F.col("choices")[1].alias("two"), "answer_index")
+
+
+@query(
+    """SELECT item_id, CAST(item_id AS VARCHAR) AS example_id, 'Question: ' || trim(prompt) || chr(10) || 'Answer:' AS prompt, len(choices) AS n_choices, answer_index
+      FROM mcq_example WHERE trim(prompt) <> '' AND len(choices) BETWEEN 2 AND 5 AND answer_index >= 0 AND answer_index < len(choices)"""
+)
+def eval_items_letters(spark, d):
+    """Keys are letters for items with even numbers, and numbers for the others."""
+    rows = table(spark, d, "mcq_example").where(F.size("choices") <= 5)
+    letters = F.slice(F.array(*[F.lit(x) for x in ev.ANSWER_LETTERS]), 1, F.size("choices"))
+    key = F.when(F.col("item_id") % 2 == 0, F.get(F.array(*[F.lit(x) for x in ev.ANSWER_LETTERS]), F.col("answer_index"))).otherwise((F.col("answer_index") + 1).cast("string"))
+    rows = rows.select("item_id", F.col("prompt").alias("question"), F.struct(F.col("choices").alias("text"), letters.alias("label")).alias("choices"), F.when(F.col("answer_index") >= 0, key).alias("answerKey"), F.col("item_id").alias("id"))
+    return ev.arc_items(rows, "item_id").select("item_id", "example_id", "prompt", F.size("choices").cast("bigint").alias("n_choices"), "answer_index")
+
+
+# ---------------------------------------------------------------- batches, boundaries, merged checkpoints
+
+
+@query(
+    """WITH r AS (SELECT split, record_id, row_number() OVER (PARTITION BY split ORDER BY record_id) - 1 AS i FROM (SELECT DISTINCT split, record_id FROM split_record WHERE split IS NOT NULL AND record_id IS NOT NULL))
+      SELECT split, record_id, CAST(floor(i / 32) AS BIGINT) AS batch_id, CAST(i % 32 AS BIGINT) AS place FROM r"""
+)
+def batches_in_order(spark, d):
+    rows = table(spark, d, "split_record").where("split is not null and record_id is not null").select("split", "record_id").distinct()
+    return packing.batches(rows, 32, None, "record_id", ["split"]).select("split", "record_id", "batch_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query(
+    """WITH r AS (SELECT split, record_id, row_number() OVER (PARTITION BY split ORDER BY md5('42|' || record_id::VARCHAR), record_id) - 1 AS i, count(*) OVER (PARTITION BY split) AS c
+        FROM (SELECT DISTINCT split, record_id FROM split_record WHERE split IS NOT NULL AND record_id IS NOT NULL))
+      SELECT split, record_id, CAST(floor(i / 32) AS BIGINT) AS batch_id, CAST(i % 32 AS BIGINT) AS place FROM r WHERE i < floor(c / 32) * 32"""
+)
+def batches_shuffled(spark, d):
+    rows = table(spark, d, "split_record").where("split is not null and record_id is not null").select("split", "record_id").distinct()
+    return packing.batches(rows, 32, SEED, "record_id", ["split"], drop_last=True).select("split", "record_id", "batch_id", F.col("place").cast("bigint").alias("place"))
+
+
+def _doc_lines(spark, d):
+    lines = F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line_no", "line")
+    return _documents(spark, d).where("text is not null").select("doc_id", lines)
+
+
+_DOC_LINES = r"WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
+
+
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+
+
+@query(_DOC_LINES + rf" SELECT doc_id, CAST(sum(CASE WHEN regexp_full_match(line, '{_WHITE}(<\|endoftext\|>)?{_WHITE}') THEN 1 ELSE 0 END) AS BIGINT) AS boundaries FROM l GROUP BY doc_id")
+def boundary_stories(spark, d):
+    return _doc_lines(spark, d).groupBy("doc_id").agg(F.sum(tx.boundary(F.col("line"), "tinystories").cast("int")).cast("bigint").alias("boundaries"))
+
+
+@query(_DOC_LINES + r" SELECT doc_id, CAST(sum(CASE WHEN regexp_matches(line, '^\s*=\s+[^=]+\s+=\s*$') THEN 1 ELSE 0 END) AS BIGINT) AS boundaries FROM l GROUP BY doc_id")
+def boundary_headers(spark, d):
+    return _doc_lines(spark, d).groupBy("doc_id").agg(F.sum(tx.boundary(F.col("line"), "wikitext").cast("int")).cast("bigint").alias("boundaries"))
+
+
+@query(
+    """WITH p AS (SELECT floor(vec_id / 10) AS param, label, (label + 1)::DOUBLE / 55 AS weight, unnest(list_transform(embedding, lambda x: CAST(floor(x * 10) AS BIGINT))) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
+      SELECT CAST(param AS BIGINT) AS param, CAST(pos AS BIGINT) AS pos, CAST(arg_max(v, label) AS DOUBLE) AS value FROM (SELECT param, label, pos, min(v) AS v FROM p GROUP BY param, label, pos) GROUP BY param, pos"""
+)
+def ckpt_integers(spark, d):
+    """Whole-number parameters: those of the heaviest checkpoint."""
+    e = table(spark, d, "embeddings")
+    rows = e.select("label", F.floor(F.col("vec_id") / 10).alias("param"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 10)).alias("values"), F.lit(True).alias("integral"))
+    weights = e.select("label").distinct().withColumn("weight", (F.col("label") + 1) / 55.0)
+    least = rows.select("label", "param", "integral", F.posexplode("values").alias("pos", "v")).groupBy("label", "param", "integral", "pos").agg(F.min("v").alias("v"))
+    one = least.groupBy("label", "param", "integral").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("values"))
+    return ev.average_checkpoints(one, weights, "label").select("param", F.col("pos").cast("bigint").alias("pos"), "value")
+
+
 # ---------------------------------------------------------------- access
 
 

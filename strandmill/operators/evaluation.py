@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources import paths
 
 # The prompt of question tasks, and the letters that numbered answer keys stand for.
 QUESTION_PROMPT = "Question: {}\nAnswer:"
@@ -159,9 +162,16 @@ def checkpoint_weights(losses: DataFrame, loss: str = "loss", temperature: float
 
 
 def average_checkpoints(parameters: DataFrame, weights: DataFrame, key: str = "checkpoint") -> DataFrame:
-    """Weighted mean of parameter arrays: `param`, `pos`, `value`; `parameters` has `key`, `param`, `values`."""
-    each = parameters.join(F.broadcast(weights.select(key, "weight")), key).select("param", "weight", F.posexplode("values").alias("pos", "v"))
-    return each.groupBy("param", "pos").agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("value"))
+    """Weighted mean of parameter arrays: `param`, `pos`, `value`; `parameters` has `key`, `param`, `values`.
+
+    Where a column `integral` is true, the values are whole numbers (ids, counters), which have no mean: those of the
+    checkpoint with most weight are taken, of equal ones the least key.
+    """
+    whole = F.coalesce(F.col("integral"), F.lit(False)) if "integral" in parameters.columns else F.lit(False)
+    each = parameters.join(F.broadcast(weights.select(key, "weight")), key).select("param", "weight", key, whole.alias("_whole"), F.posexplode("values").alias("pos", "v"))
+    mean = F.sum(F.col("weight") * F.col("v")) / F.sum("weight")
+    heaviest = F.min_by(F.col("v"), F.struct(-F.col("weight"), F.col(key))).cast("double")
+    return each.groupBy("param", "pos").agg(F.when(F.bool_or("_whole"), heaviest).otherwise(mean).alias("value"))
 
 
 # ---------------------------------------------------------------- parallel pairs
@@ -173,3 +183,22 @@ def parallel_pairs(examples: DataFrame, left: str, right: str, fields: tuple[str
     rest = [c for c in examples.columns if c not in fields]
     rows = examples.select(*rest, each.alias("p")).select(*rest, "p.*")
     return rows.where((tx.strip(F.coalesce(left, F.lit(""))) != "") & (tx.strip(F.coalesce(right, F.lit(""))) != ""))
+
+
+def write_pairs(pairs: DataFrame, path: str, columns: list[str]) -> None:
+    """The pairs as text with tabs between columns and a head line, without quotes: tabs and line ends in texts become spaces."""
+    flat = [F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]", " ").alias(c) for c in columns]
+    pairs.select(*flat).write.option("sep", "\t").option("header", "true").option("quote", "").option("emptyValue", "").mode("overwrite").csv(path)
+
+
+# ---------------------------------------------------------------- kept examples
+
+
+def kept_examples(spark: SparkSession, make: Callable[[], DataFrame], folder: str | None, task: str, split: str, most: int | None) -> DataFrame:
+    """The examples of a task, split and number as written before; made and written first if there are none. No folder: made each time."""
+    if folder is None:
+        return make()
+    path = f"{folder}/{task}__{split}__{'all' if most is None else most}"
+    if not paths.exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

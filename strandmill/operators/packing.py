@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ordinal import id_block, scan
+from ..ordinal import id_block, md5_block, md5_key, scan
 from ..session import checkpoint, small
 
 
@@ -206,10 +206,23 @@ def windows(rows: DataFrame, length: int, group: list[str], order: str, offset:
     return whole.select(*group, "window_id", F.slice("w", 1, length).alias("x"), F.slice("w", 2, length).alias("y"))
 
 
+def batches(samples: DataFrame, size: int, seed: int | None = None, key: str = "window_id", group: list[str] | None = None, drop_last: bool = False) -> DataFrame:
+    """Adds `batch_id` and `place`: samples in order, or in seeded order, dealt into batches of `size`; the last may be smaller.
+
+    With `drop_last` an incomplete one is left out. Groups (splits) have batches of their own.
+    """
+    if seed is None:
+        dealt = scan(samples, group or [], id_block(key, 65536), [key], "_i", total="_all" if drop_last else None)
+    else:
+        keyed = samples.withColumn("_k", md5_key(seed, F.col(key)))
+        dealt = scan(keyed, group or [], md5_block(F.col("_k"), 3), ["_k", key], "_i", total="_all" if drop_last else None).drop("_k")
+    if drop_last:
+        dealt = dealt.where(F.col("_i") <= F.floor(F.col("_all") / size) * size).drop("_all")
+    return dealt.withColumn("batch_id", F.floor((F.col("_i") - 1) / size)).withColumn("place", F.pmod(F.col("_i") - 1, F.lit(size))).drop("_i")
+
+
 def rank_shards(samples: DataFrame, world: int, seed: int | None, key: str = "window_id", group: list[str] | None = None) -> DataFrame:
     """Adds `rank` (0..world - 1) and `turn`: samples dealt to workers in (seeded) order, the last ones kept."""
-    from ..ordinal import md5_block, md5_key
-
     if seed is None:
         dealt = scan(samples, group or [], id_block(key, 65536), [key], "_i")
     else:

@@ -207,3 +207,33 @@ def test_weighted_stages(spark):
     x = sorted((r["mix_ord"], r["source"]) for r in rows if r["stage"] == "x")
     assert [s for _, s in x] == ["b"] * 15 + ["a"] * 45 and [m for m, _ in x] == list(range(60))
     assert [len([r for r in rows if r["stage"] == s]) for s in "yz"] == [5, 30]
+
+
+def test_whole_number_parameters(spark):
+    rows = [("a", 0, [1.0, 3.0], False), ("b", 0, [3.0, 5.0], False), ("a", 1, [7.0], True), ("b", 1, [9.0], True)]
+    parameters = spark.createDataFrame(rows, "checkpoint string, param int, values array<double>, integral boolean")
+    weights = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "checkpoint string, weight double")
+    found = {(r["param"], r["pos"]): r["value"] for r in ev.average_checkpoints(parameters, weights).collect()}
+    assert found == {(0, 0): 1.5, (0, 1): 3.5, (1, 0): 7.0}
+    assert ev.average_checkpoints(parameters.drop("integral"), weights).where("param = 1").first()["value"] == 7.5
+
+
+def test_pairs_file_and_kept_examples(spark, tmp_path):
+    pairs = spark.createDataFrame([("uno\tdos", 'one "two"', 1, "premise"), ("", "x\ny", 0, "hypothesis")], "es string, en string, label int, kind string").coalesce(1)
+    ev.write_pairs(pairs, str(tmp_path / "pairs"), ["es", "en", "label", "kind"])
+    text = next((tmp_path / "pairs").glob("*.csv")).read_text()
+    assert text == 'es\ten\tlabel\tkind\nuno dos\tone "two"\t1\tpremise\n\tx y\t0\thypothesis\n'
+    made = []
+    make = lambda: (made.append(1), spark.range(3).toDF("item_id"))[1]
+    for _ in range(2):
+        assert ev.kept_examples(spark, make, str(tmp_path), "piqa", "validation", 3).count() == 3
+    assert len(made) == 1 and (tmp_path / "piqa__validation__3").is_dir()
+    assert ev.kept_examples(spark, make, None, "piqa", "validation", None).count() == 3
+
+
+def test_batches(spark):
+    df = spark.createDataFrame([(g, i) for g in ("train", "val") for i in range(10)], "split string, window_id bigint")
+    rows = packing.batches(df, 4, group=["split"]).where("split = 'val'").orderBy("window_id").collect()
+    assert [(r["batch_id"], r["place"]) for r in rows] == [(i // 4, i % 4) for i in range(10)]
+    mixed = packing.batches(df, 4, 7, group=["split"], drop_last=True).collect()
+    assert len(mixed) == 16 and {(r["split"], r["batch_id"], r["place"]) for r in mixed} == {(g, b, p) for g in ("train", "val") for b in range(2) for p in range(4)}
