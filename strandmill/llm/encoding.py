@@ -295,3 +295,16 @@ def token_counts(documents: DataFrame, keep: list[str], text_col: str = "text",
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens bigint"])
     return spread(documents.select(*keep, F.col(text_col).cast("string").alias("_text"))).mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, vocabulary: str = BYTE_BPE_50K, folder: str = TOKENIZERS) -> DataFrame:
+    """`doc_id`, `text` of rows `doc_id`, `ids`: the bytes of the tokens put together; bytes that are no text become replacement characters."""
+    shared = load(encoded.sparkSession, vocabulary, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.tokens.__getitem__
+        for batch in batches:
+            texts = [None if ids is None else b"".join(map(get, ids)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

@@ -216,6 +216,11 @@ class Mix:
         tokens = whole.select("source", "block", F.flatten(F.transform("p", lambda x: x["part"])).alias("ids"))
         return slots.join(tokens, ["source", "block"]).select("plan_name", "shard", "place", "source", "block", "ids")
 
+    def limits(self) -> DataFrame:
+        """Per plan and source: `target_share`, and whether no token is used more often than allowed and no more are drawn than repeats give."""
+        most = F.col("max_repeats")
+        return self.shares().select("plan_name", "source", F.round("target_share", 9).alias("target_share"), ((F.col("most_uses") <= most) & (F.col("tokens_drawn") <= most * F.col("tokens_available"))).alias("is_within"))
+
     def shares(self) -> DataFrame:
         """Per plan and source: target and actual share of the tokens, the tokens themselves and the largest number of uses."""
         got = self.documents().groupBy("plan_name", "source").agg(F.sum("tokens").alias("tokens_drawn"), F.count(F.lit(1)).alias("n_documents"), F.max("uses").alias("most_uses"))

@@ -212,3 +212,13 @@ def cut_texts(records: DataFrame, sources: DataFrame) -> DataFrame:
 def over_limit(records: DataFrame, sources: DataFrame) -> DataFrame:
     """`record_id` of the records that are cut into more than one piece, each once; null ids are left out."""
     return cut_plan(records, sources).where("n_pieces > 1 and piece = 1 and record_id is not null").select("record_id").distinct()
+
+
+def covered(records: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per record with a text: `n_chars`, whether it is cut, and whether its pieces cover it and are within its limit."""
+    known = with_limits(records.select("record_id", "source", F.lit("").alias("text")), sources).groupBy("record_id").agg(F.max("cap").alias("most"))
+    whole = cut_texts(records, sources).groupBy("record_id").agg(
+        F.max("stop").cast("bigint").alias("n_chars"), (F.count(F.lit(1)) - 1).alias("cuts"), F.max(F.col("stop") - F.col("start")).alias("longest"),
+        F.sum(F.col("stop") - F.col("start")).alias("sum"), F.min("start").alias("first"),
+    )
+    return whole.join(known, "record_id").select("record_id", "n_chars", (F.col("cuts") > 0).alias("is_cut"), ((F.col("first") == 0) & (F.col("sum") >= F.col("n_chars"))).alias("is_covered"), (F.coalesce("most", "longest") >= F.col("longest")).alias("is_within"))

@@ -11,7 +11,7 @@ no task holds all records of a length.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ordinal import scan
@@ -189,3 +189,15 @@ def divided(packed: DataFrame, experiments: DataFrame) -> DataFrame:
     settings = packed.sparkSession.createDataFrame([(n, m) for n, _, m in capacities(experiments)], "_e string, max_length int")
     records = packed.where("window is not null and n_pieces > 1").groupBy("experiment", "record_id").agg(F.min("window").alias("a"), F.max("window").alias("b"), F.sum("length").alias("n"))
     return records.join(F.broadcast(settings), (F.col("experiment") == F.col("_e")) & (F.col("n") > F.col("max_length"))).where("a != b").select("experiment", "record_id")
+
+
+def placed(packed: DataFrame, experiments: DataFrame) -> DataFrame:
+    """Per experiment, whether its windows hold what they should: `n_records`, `n_tokens`, `n_over` (windows above the capacity), `n_gaps` (places that aren't the end of the piece before)."""
+    settings = packed.sparkSession.createDataFrame([(n, c) for n, c, _ in capacities(experiments)], "_e string, capacity int")
+    rows = packed.where("window is not null")
+    before = F.lag(F.col("place") + F.col("length"), 1, 0).over(Window.partitionBy("experiment", "window").orderBy("place"))
+    each = rows.withColumn("gap", (F.col("place") != before).cast("int")).groupBy("experiment", "window")
+    each = each.agg(F.sum("length").alias("n"), F.sum("gap").alias("gaps"), F.sum(F.when(F.col("piece") == 0, 1).otherwise(0)).alias("records"))
+    return each.join(F.broadcast(settings), F.col("experiment") == F.col("_e")).groupBy("experiment").agg(
+        F.sum("records").alias("n_records"), F.sum("n").alias("n_tokens"), F.sum((F.col("n") > F.col("capacity")).cast("int")).cast("bigint").alias("n_over"), F.sum("gaps").alias("n_gaps")
+    )
