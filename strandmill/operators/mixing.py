@@ -70,7 +70,7 @@ def targets(documents: DataFrame, ratios: dict[str, float] | None = None, total_
 def shuffled(documents: DataFrame, seed: int) -> DataFrame:
     """Adds `place` (from 0) in the seeded order of each source and `n_docs` of the source."""
     keyed = documents.withColumn("_key", md5_key(seed, F.col("source"), F.col("doc_ord")))
-    out = scan(keyed, ["source"], md5_block(F.col("_key")), ["_key", "doc_ord"], "place", total="n_docs")
+    out = scan(keyed, ["source"], md5_block(F.col("_key"), documents.count()), ["_key", "doc_ord"], "place", total="n_docs")
     return out.withColumn("place", F.col("place") - 1).drop("_key")
 
 
@@ -121,9 +121,10 @@ def interleave(drawn: DataFrame, seed: int, block_size: int = 1) -> DataFrame:
     In closed form: a document at shuffled place p is in round p div block size, and rounds are sorted by source.
     """
     keyed = drawn.withColumn("_key", md5_key(seed, F.col("source"), F.col("draw")))
-    placed = scan(keyed, ["source"], md5_block(F.col("_key")), ["_key", "draw"], "_p").drop("_key")
+    n = drawn.count()
+    placed = scan(keyed, ["source"], md5_block(F.col("_key"), n), ["_key", "draw"], "_p").drop("_key")
     rounds = placed.withColumn("_p", F.col("_p") - 1).withColumn("_round", F.floor(F.col("_p") / block_size))
-    out = scan(rounds, [], F.floor(F.col("_round") / 256), ["_round", "source_ord", "_p"], "mix_ord")
+    out = scan(rounds, [], F.floor(F.col("_round") / max(256, n // 1_000_000)), ["_round", "source_ord", "_p"], "mix_ord")
     return out.withColumn("mix_ord", F.col("mix_ord") - 1).drop("_p", "_round")
 
 
@@ -143,7 +144,7 @@ def schedule(rows: DataFrame, seed: int) -> DataFrame:
     # A source's slots are a set of keys; sorting them tells the slot of its i-th document.
     offset = F.lit(seed) + F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).when(F.col("split") == "test", 2).otherwise(3)
     keyed = own.withColumn("_key", md5_key(offset, F.col("split"), F.col("source"), F.col("_i")))
-    slots = scan(keyed.select("split", "source", "_key"), ["split"], md5_block(F.col("_key")), ["_key", "source"], "_slot")
+    slots = scan(keyed.select("split", "source", "_key"), ["split"], md5_block(F.col("_key"), rows.count()), ["_key", "source"], "_slot")
     order = scan(slots, ["split", "source"], id_block("_slot", 65536), ["_slot"], "_j")
     order = order.select(F.col("split").alias("_sp"), F.col("source").alias("_so"), (F.col("_j") - 1).alias("_j"), (F.col("_slot") - 1).alias("write_ord"))
     return own.join(order, (F.col("split") == F.col("_sp")) & (F.col("source") == F.col("_so")) & (F.col("_i") == F.col("_j"))).drop("_sp", "_so", "_i", "_j")
@@ -241,7 +242,7 @@ def _cut(place, n, train: float, val: float):
 def split_stratified(rows: DataFrame, seed: int, train: float, val: float, order: str = "doc_ord", shuffle: bool = True) -> DataFrame:
     """`split` of each row, cut within each source in seeded order (or in `order`)."""
     keyed = rows.withColumn("_key", md5_key(seed, F.col("source"), F.col(order)) if shuffle else F.lit(""))
-    block = md5_block(F.col("_key")) if shuffle else id_block(order, 4096)
+    block = md5_block(F.col("_key"), rows.count()) if shuffle else id_block(order, 4096)
     ranked = scan(keyed, ["source"], block, ["_key", order], "_p", total="_n")
     return ranked.withColumn("split", _cut(F.col("_p") - 1, F.col("_n"), train, val)).drop("_key", "_p", "_n")
 
@@ -249,6 +250,6 @@ def split_stratified(rows: DataFrame, seed: int, train: float, val: float, order
 def split_simple(rows: DataFrame, seed: int, train: float, val: float, order: str = "doc_ord", shuffle: bool = True) -> DataFrame:
     """`split` of each row, cut over all rows."""
     keyed = rows.withColumn("_key", md5_key(seed, F.col("source"), F.col(order)) if shuffle else F.lit(""))
-    block = md5_block(F.col("_key"), 3) if shuffle else id_block(order, 4096)
+    block = md5_block(F.col("_key"), rows.count()) if shuffle else id_block(order, 4096)
     ranked = scan(keyed, [], block, ["_key", order, "source"], "_p", total="_n")
     return ranked.withColumn("split", _cut(F.col("_p") - 1, F.col("_n"), train, val)).drop("_key", "_p", "_n")

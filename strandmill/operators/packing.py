@@ -215,7 +215,7 @@ def batches(samples: DataFrame, size: int, seed: int | None = None, key: str = "
         dealt = scan(samples, group or [], id_block(key, 65536), [key], "_i", total="_all" if drop_last else None)
     else:
         keyed = samples.withColumn("_k", md5_key(seed, F.col(key)))
-        dealt = scan(keyed, group or [], md5_block(F.col("_k"), 3), ["_k", key], "_i", total="_all" if drop_last else None).drop("_k")
+        dealt = scan(keyed, group or [], md5_block(F.col("_k"), samples.count()), ["_k", key], "_i", total="_all" if drop_last else None).drop("_k")
     if drop_last:
         dealt = dealt.where(F.col("_i") <= F.floor(F.col("_all") / size) * size).drop("_all")
     return dealt.withColumn("batch_id", F.floor((F.col("_i") - 1) / size)).withColumn("place", F.pmod(F.col("_i") - 1, F.lit(size))).drop("_i")
@@ -227,7 +227,7 @@ def rank_shards(samples: DataFrame, world: int, seed: int | None, key: str = "wi
         dealt = scan(samples, group or [], id_block(key, 65536), [key], "_i")
     else:
         keyed = samples.withColumn("_k", md5_key(seed, F.col(key)))
-        dealt = scan(keyed, group or [], md5_block(F.col("_k"), 3), ["_k", key], "_i").drop("_k")
+        dealt = scan(keyed, group or [], md5_block(F.col("_k"), samples.count()), ["_k", key], "_i").drop("_k")
     return dealt.withColumn("rank", F.pmod(F.col("_i") - 1, F.lit(world))).withColumn("turn", F.floor((F.col("_i") - 1) / world)).drop("_i")
 
 

@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task ranks where blocks follow from a hash.
+BLOCK_ROWS = 50_000
+
+
 def scan(
     df: DataFrame,
     group: Sequence[str],
@@ -64,8 +68,11 @@ def md5_key(seed: int | Column, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", first.cast("string"), *[p.cast("string") for p in parts]))
 
 
-def md5_block(key: Column, digits: int = 2) -> Column:
-    """A block expression that is monotone in an md5 key."""
+def md5_block(key: Column, rows: int) -> Column:
+    """A block expression that is monotone in an md5 key, with some `BLOCK_ROWS` of so many rows in a block."""
+    digits = 1
+    while 16**digits * BLOCK_ROWS < rows:
+        digits += 1
     return F.substring(key, 1, digits)
 
 

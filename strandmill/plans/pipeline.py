@@ -63,7 +63,7 @@ def stage_cache(spark: SparkSession, rows, folder: str, name: str, key: str) ->
 
 
 def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None, resolve=None) -> SimpleNamespace:
-    """Tables of a checked config: `documents` (with tokens) and `selected` (narrow, with `output`, `split`, `write_ord`).
+    """Tables of a checked config: `documents` (with tokens) and `selected` (narrow, with `output`, `split`, `write_ord`), and `scratch`, the folder to remove afterwards, if any.
 
     Tokens are written once per source (to `cache`, or to the shared folder for checkpoints) and read again only by the
     sink. What lies between is a few bytes per document and is checkpointed after each stage, as ranks read their
@@ -89,7 +89,7 @@ def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
         # Splits are cut from the draws of each source, and the order is a schedule of sources.
         cut = checkpoint(mixing.split_stratified(drawn, split.seed, split.train, split.val, "draw", split.shuffle))
         selected = checkpoint(mixing.schedule(cut, split.seed).withColumn("output", F.col("split")))
-        return SimpleNamespace(documents=documents, selected=selected)
+        return SimpleNamespace(documents=documents, selected=selected, scratch=None if cache else folder)
     if mix.strategy not in mixing.MIXERS:
         raise cf.ConfigError(f"unknown mixing strategy {mix.strategy!r}")
     mixed = checkpoint(mixing.MIXERS[mix.strategy](drawn, seed, mix.block_size))
@@ -114,7 +114,7 @@ def plan(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
     for p in parts[1:]:
         selected = selected.unionByName(p)
     name = F.col("split") if merged else F.concat_ws("_", "output", "split")
-    return SimpleNamespace(documents=documents, selected=checkpoint(selected.withColumn("write_ord", F.col("_unit")).withColumn("output", name).drop("_unit")))
+    return SimpleNamespace(documents=documents, selected=checkpoint(selected.withColumn("write_ord", F.col("_unit")).withColumn("output", name).drop("_unit")), scratch=None if cache else folder)
 
 
 def run(spark: SparkSession, config: SimpleNamespace, cache: str | None = None, resolve=None) -> dict:
@@ -154,4 +154,6 @@ def run(spark: SparkSession, config: SimpleNamespace, cache: str | None = None,
         if wanted:
             with open(os.path.join(out.dir, f"{out.prefix}_{kind}.json"), "w", encoding="utf-8") as f:
                 json.dump(content, f, indent=2, sort_keys=True)
+    if made.scratch:
+        paths.remove(spark, made.scratch)
     return manifest
