@@ -157,17 +157,17 @@ def assign_shards(rows: DataFrame, size: int, order: str = "mix_ord", group: str
     narrow = rows.select(F.col(group).alias("_g"), F.col(order).alias("_o"), length.cast("bigint").alias("_n"))
     known = narrow.agg(F.count(F.lit(1)), F.sum("_n")).first()
     docs = range_docs or max(65_536, min(2_000_000, 256 * size * known[0] // max(1, known[1] or 1)))
-    placed = scan(narrow, ["_g"], id_block("_o"), ["_o"], "_r").withColumn("_range", F.floor((F.col("_r") - 1) / docs)).drop("_r")
-
     def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_o")
         opens, _, _ = fill_shards(pdf["_n"].to_numpy(), size, int(pdf["_fill"].iloc[0]))
         return pd.DataFrame({"_g": pdf["_g"], "_o": pdf["_o"], "shard": int(pdf["_shard"].iloc[0]) + np.cumsum(opens)})
 
     if known[0] <= docs:
-        before = placed.withColumns({"_fill": F.lit(0).cast("bigint"), "_shard": F.lit(0).cast("bigint")})
+        # One range, and nothing before it.
+        before = narrow.withColumns({c: F.lit(0).cast("bigint") for c in ("_range", "_fill", "_shard")})
     else:
-        placed = checkpoint(placed)
+        ranked = scan(narrow, ["_g"], id_block("_o"), ["_o"], "_r")
+        placed = checkpoint(ranked.withColumn("_range", F.floor((F.col("_r") - 1) / docs)).drop("_r"))
         entry = _ranges(placed, size, kinds[group])
         entry = small(checkpoint(entry).select(F.col("_g").alias("_eg"), F.col("_range").alias("_er"), "_fill", "_shard"))
         before = placed.join(entry, F.col("_g").eqNullSafe(F.col("_eg")) & (F.col("_range") == F.col("_er"))).drop("_eg", "_er")
