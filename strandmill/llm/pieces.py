@@ -34,7 +34,7 @@ _SPACE = re.compile(r"\s+")
 
 
 #: Cells of the tables that are planned at once.
-CELLS = 1_000_000
+CELLS = 2_000_000
 
 
 @cache
@@ -84,24 +84,29 @@ def _plan(tables: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
     """The cheapest cuts of several texts: for each (positions from start to end, costs, room) the indexes of the cuts and the end."""
     size = [len(t[0]) for t in tables]
     pos, cost = np.zeros((len(tables), size[0])), np.zeros((len(tables), size[0]))
-    low = np.zeros((len(tables), size[0]), np.int64)
-    equal, room = np.zeros((len(tables), 1)), np.zeros((len(tables), 1))
+    low = np.zeros((len(tables), size[0]), np.int32)
+    equal = np.ones((len(tables), 1))
     for t, (p, c, r) in enumerate(tables):
-        pos[t, : size[t]], cost[t, : size[t]], room[t] = p, c, r
+        pos[t, : size[t]], cost[t, : size[t]] = p, c
         low[t, : size[t]] = np.searchsorted(p, p - r)
         equal[t] = (p[-1] - p[0]) / ceil((p[-1] - p[0]) / r)
-    best, back = np.zeros(pos.shape), np.zeros(pos.shape, np.int64)
+    best, back = np.zeros(pos.shape), np.zeros(pos.shape, np.int32)
+    # ((p_j - p_i) / e - 1)^2 is a part of j, a part of i, and -2 (p_j - e) p_i / e^2.
+    of_i, slope = (pos / equal) ** 2, pos / equal**2
     lengths = -np.array(size)
     for j in range(1, size[0]):
         m = int(np.searchsorted(lengths, -j, side="left"))
-        a = int(low[:m, j].min())
-        part = pos[:m, j : j + 1] - pos[:m, a:j]
-        total = part / equal[:m] - 1
-        total *= total
-        total += best[:m, a:j]
-        total[part > room[:m]] = np.inf
-        k = total.argmin(axis=1)
-        best[:m, j], back[:m, j] = total[np.arange(m), k] + cost[:m, j], a + k
+        first = low[:m, j]
+        a = int(first.min())
+        total = slope[:m, a:j] * (-2 * (pos[:m, j : j + 1] - equal[:m]))
+        total += of_i[:m, a:j]
+        if (first > a).any():
+            total[np.arange(a, j) < first[:, None]] = np.inf
+        k = a + total.argmin(axis=1)
+        rows = np.arange(m)
+        best[:m, j] = best[rows, k] + ((pos[:m, j] - pos[rows, k]) / equal[:m, 0] - 1) ** 2 + cost[:m, j]
+        of_i[:m, j] += best[:m, j]
+        back[:m, j] = k
     out = []
     for t in range(len(tables)):
         cuts, j = [], size[t] - 1
@@ -132,13 +137,14 @@ def cut_all(texts: list[tuple[str, int, int, str | None]]) -> list[list[tuple[in
         marks, kinds = _marks(text, delimiter, overlap, limit - overlap)
         pos = np.concatenate([[overlap], marks, [len(text)]])
         todo.append((i, pos, np.concatenate([[len(KINDS) - 1], kinds, [len(KINDS) - 1]]), overlap, limit - overlap))
-    todo.sort(key=lambda x: (x[4], -len(x[1])))
+    # Texts of like numbers of positions together: a position of the longest is a step for all that have so many.
+    todo.sort(key=lambda x: -len(x[1]))
     at = 0
     while at < len(todo):
         end = at + 1
-        while end < len(todo) and todo[end][4] <= 1.5 * todo[at][4] and (end - at + 1) * max(len(x[1]) for x in (todo[at], todo[end])) <= CELLS:
+        while end < len(todo) and (end - at + 1) * len(todo[at][1]) <= CELLS:
             end += 1
-        group = sorted(todo[at:end], key=lambda x: -len(x[1]))
+        group = todo[at:end]
         for (i, pos, kinds, overlap, _), cuts in zip(group, _plan([(p.astype(float), np.append(np.array(COSTS)[k[:-1]], 0.0), r) for _, p, k, _, r in group])):
             start = 0
             for j in cuts:
