@@ -835,6 +835,30 @@ def position_relative(spark, d):
     return arrays.relative_buckets(spark, 50, 16)
 
 
+# ---------------------------------------------------------------- vocabularies of libraries
+
+#: Where the vocabulary files lie.
+VOCABULARIES = "/opt/tokenizers"
+
+
+def _roundtrip(spark, d, kind, file):
+    """Texts that come back changed from the ids of a byte-level vocabulary: none should."""
+    used = tokenizers.create(kind, path=f"{VOCABULARIES}/{file}")
+    rows = _documents(spark, d).where("text is not null").withColumn("ids", used.encode(F.col("text")))
+    rows = rows.select("text", "ids", used.decode(F.col("ids")).alias("back"))
+    return rows.agg(F.count(F.lit(1)).alias("n_texts"), F.sum((F.col("back") != F.col("text")).cast("int")).cast("bigint").alias("changed"), F.sum((F.size("ids") > F.octet_length("text")).cast("int")).cast("bigint").alias("longer"))
+
+
+@query("SELECT count(*) AS n_texts, CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS longer FROM documents WHERE text IS NOT NULL")
+def tok_ranked_roundtrip(spark, d):
+    return _roundtrip(spark, d, "bpe", "byte_bpe_50k.tiktoken")
+
+
+@query("SELECT count(*) AS n_texts, CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS longer FROM documents WHERE text IS NOT NULL")
+def tok_json_roundtrip(spark, d):
+    return _roundtrip(spark, d, "hf_bpe", "byte_bpe_50k.json")
+
+
 # ---------------------------------------------------------------- multiple-choice items
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The columns of a metric curve, all numbers, blank where nothing was measured.
@@ -56,6 +56,29 @@ def cache_report(spark: SparkSession, folder: str) -> DataFrame:
     return df.withColumn("size", size_text(F.col("n_bytes")))
 
 
+def status_report(caches: DataFrame, totals: DataFrame, curves: DataFrame, status: DataFrame) -> DataFrame:
+    """All that is known of a workspace as rows `section`, `place`, `name`, `detail`: caches by name, sets with their tokens
+    in millions, the last metrics of each curve, and runs, the one that wrote last first.
+
+    The inputs are those of `cache_report`, `token_totals`, `latest_metrics` and `read_status`.
+    """
+    done = F.when(F.col("complete"), "complete").otherwise("incomplete")
+    share = F.when(F.col("max_steps") > 0, F.round(100.0 * F.col("step") / F.col("max_steps"), 1))
+    parts = [
+        ("caches", caches, F.col("source"), F.concat_ws(", ", done, "size"), [F.col("source")]),
+        ("sets", totals, F.col("source"), F.concat(F.format_string("%.1f", F.col("tokens") / 1e6), F.lit(" M tokens, "), F.col("docs"), F.lit(" documents")), [F.col("source")]),
+        ("curves", curves, F.col("run"), F.to_json(F.struct(*CURVE)), [F.col("run")]),
+        ("runs", status, F.col("run"), F.to_json(F.struct("step", "max_steps", share.alias("percent"), "done", "val_loss", "checkpoint", "updated_at")), [F.desc("written_at"), F.col("run")]),
+    ]
+    out = None
+    for section, rows, name, detail, order in parts:
+        # Sections are listings of folders: a few rows each.
+        place = F.row_number().over(Window.partitionBy(F.lit(section)).orderBy(*order))
+        found = rows.select(F.lit(section).alias("section"), place.alias("place"), name.alias("name"), detail.alias("detail"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def token_totals(documents: DataFrame) -> DataFrame:
     """Documents and tokens of each cached source."""
     return documents.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))

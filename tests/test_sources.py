@@ -1,4 +1,5 @@
 import json
+import os
 from types import SimpleNamespace
 
 import numpy as np
@@ -265,3 +266,18 @@ def test_paths(spark, tmp_path):
     assert [p.rpartition("/")[2] for p in paths.listing(spark, f"{tmp_path}/x", ".txt")] == ["a.txt"]
     paths.remove(spark, f"file://{tmp_path}/x")
     assert not paths.exists(spark, where)
+
+
+def test_status_report(spark, tmp_path):
+    for i, name in enumerate(("old", "new")):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"step": 5, "max_steps": 20, "done": bool(i), "val_loss": None}))
+        os.utime(tmp_path / f"{name}.json", (1_000_000 + i, 1_000_000 + i))
+    (tmp_path / "curve.csv").write_text("step,loss,perplexity,lr,grad_norm,tokens_per_sec,gpu_memory_mb,val_loss,test_loss\n1,2.0,7.4,0.1,1,10,5,,\n")
+    (tmp_path / "cache" / "a").mkdir(parents=True)
+    totals = reports.token_totals(spark.createDataFrame([("a", 1_500_000), ("a", 500_000)], "source string, n_tokens bigint"))
+    curves = reports.latest_metrics(reports.read_curves(spark, str(tmp_path / "curve.csv")))
+    rows = reports.status_report(reports.cache_report(spark, str(tmp_path / "cache")), totals, curves, reports.read_status(spark, str(tmp_path / "*.json"))).collect()
+    found = {(r["section"], r["place"]): (r["name"].rpartition("/")[2], r["detail"]) for r in rows}
+    assert found["caches", 1] == ("a", "incomplete, 0.0 B") and found["sets", 1] == ("a", "2.0 M tokens, 2 documents")
+    assert found["runs", 1][0] == "new.json" and json.loads(found["runs", 2][1])["percent"] == 25.0
+    assert json.loads(found["curves", 1][1])["loss"] == 2.0 and len(found) == 5
